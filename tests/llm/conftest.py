@@ -1,0 +1,26 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    return session
+
+
+@pytest.fixture
+def rows():
+    """A frame's rows as a sorted list of tuples."""
+
+    def collect(frame, *columns):
+        return sorted((tuple(r) for r in (frame.select(*columns) if columns else frame).collect()), key=repr)
+
+    return collect
