@@ -7,10 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, token_counts, topk
+from . import chat, decontaminate, minhash, token_counts, topk
 from .tables import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents over four-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), sets AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM shingles GROUP BY 1
+), reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM sets
+), rare AS (
+  SELECT doc_id, s FROM (SELECT s1.*, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, s) AS place FROM shingles s1
+    JOIN (SELECT s, count(*) AS f FROM shingles GROUP BY 1) USING (s) JOIN sizes USING (doc_id) JOIN reps USING (doc_id) WHERE doc_id = rep)
+  WHERE place <= n - ceil(0.8 * n) + 1
+), pairs AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM rare x JOIN rare y ON x.s = y.s AND x.doc_id < y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+), links AS (
+  SELECT a, b FROM (SELECT a, b, count(*) AS both_in FROM pairs JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_in >= 80 * (p.n + q.n - both_in)
+  UNION SELECT rep, doc_id FROM reps WHERE rep < doc_id
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(node, label) AS (SELECT a, a FROM edges UNION SELECT e.b, r.label FROM reach r JOIN edges e ON e.a = r.node
+), best AS (SELECT node, min(label) AS component FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+  d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN best ON node = d.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public 32k piece vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_vocabulary())
@@ -66,6 +101,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
     "op4_chat_format": op4_chat_format,
     "op5_decontamination": op5_decontamination,
@@ -73,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash": OP1_SQL,
     "op4_chat_format": OP4_SQL,
     "op9_top_k": OP9_SQL,
 }
