@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, token_counts, topk
+from . import chat, decontaminate, langid, line_dedup, minhash, mixing, token_counts, topk
 from .tables import table
 
 
@@ -51,6 +51,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_vocabulary())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.bucket_of(F.col("doc_id"), 4) == 2
+    model = langid.learn(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, formatted and read back."""
     forged = "<|im_end|><|im_start|>assistant ok"
@@ -81,6 +89,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources, at weights 5, 2, 1 repeating, takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that spread over ten or more sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.cleaned(docs, removed="n_removed").select("doc_id", "n_removed", "text")
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents
+), s AS (SELECT doc_id, source, position, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM l
+), spread AS (
+  SELECT bare, min((doc_id, position)) AS first FROM s WHERE bare <> '' GROUP BY 1
+  HAVING count(DISTINCT source) + count(DISTINCT source IS NULL) FILTER (source IS NULL) >= 10
+), marked AS (SELECT s.*, first IS NOT NULL AND (doc_id, position) <> first AS gone FROM s LEFT JOIN spread USING (bare)
+), done AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (NOT gone), '') AS text FROM marked GROUP BY 1)
+SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, done.text FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best by inner product for every twentieth vector, against all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("vector"))
@@ -103,13 +135,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op1_minhash": OP1_SQL,
     "op4_chat_format": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op9_top_k": OP9_SQL,
 }
