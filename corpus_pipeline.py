@@ -1,23 +1,55 @@
-"""From raw documents to a mixed training set, stage by stage."""
+"""From raw documents to a mixed training set, stage by stage.
+
+Every stage but the last returns the columns of documents; what it decides holds for all that
+follow.  ``run`` writes each stage's result and reads it again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylight.llm.decontaminate import decontaminate
+from quarrylight.llm import decontaminate, langid, line_dedup, minhash, mixing
 from quarrylight.llm.shared import Scratch
 from quarrylight.llm.tables import table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go."""
+    model = langid.learn(docs, langid.bucket_of(F.col("doc_id"), 4) != 2)
+    return langid.accepted(docs, model)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on ten or more sources go but for their first place; so do documents of which nothing is left."""
+    clean = line_dedup.cleaned(docs, removed="n_removed").where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return clean.select(*columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return minhash.deduplicated(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: doc_id, size, source_size, target, taken; documents it doesn't use go."""
+    return mixing.mix(docs).where("taken > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_near_dedup", minhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing_stage),
 ]
 
 #: Language identification is trained by gradient descent, which SQL can't express.
