@@ -7,10 +7,16 @@ counts only if the Jaccard similarity of the full shingle sets, counted exactly,
 threshold.
 
 No bucket is expanded into all its pairs.  Documents with equal sets are one node from the
-start.  In a first round each bucket links its members to its smallest one.  Groups of what
-was verified are then found, and only buckets whose members are still in different groups
-give pairs in the second round: those between different groups.  So every pair that shares a
-bucket is either verified or already known to be connected.  Before texts are fetched, pairs
+start.  In a first round each bucket's members are compared with its hub, the member whose
+buckets are largest (in a group of copies of one text, that text).  Groups of what was verified
+are then found, and only members that are still in different groups give pairs in the second
+round.  Buckets of up to ``SMALL`` members give those pairs directly.  In larger ones the
+sets' differences from the hub are joined: for sets x and y with differences X and Y from the
+same hub, |x ^ y| = |X| + |Y| - 2 |X & Y|, so a similar pair must share that many elements of its
+differences, hence one among the first few of each in any fixed order (a prefix filter).
+Differences of edited copies are mostly elements that no other copy has, and these come first.
+So every pair that shares a bucket is verified, or known to be connected, or ruled out by an
+exact bound.  Before texts are fetched for pairs of small buckets or of the second round, pairs
 are left out whose set sizes rule the threshold out, and those whose signatures agree on
 so few coordinates that a similar pair would do so less than once in a million.
 
@@ -38,6 +44,8 @@ from .shared import Scratch, own_columns
 from .tokens import chunks, mix64, ngram_hashes
 
 BANDS, ROWS_PER_BAND = 32, 4
+#: Members up to which a bucket gives its pairs of different groups directly.
+SMALL = 32
 _SHINGLES_AT_ONCE = 1024
 
 
@@ -121,22 +129,65 @@ def _least_agreement(coordinates: int, threshold: float) -> int:
     return int(np.floor(coordinates * threshold - 5 * np.sqrt(coordinates * threshold * (1 - threshold))))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int, lower: bool) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
+def _share(percent: int) -> float:
+    """A pair reaches the threshold if its symmetric difference is at most this share of its sizes' sum."""
+    return (100 - percent) / (100 + percent)
+
+
+def _prefix(own: np.ndarray, hub: np.ndarray, linked: bool, percent: int) -> tuple[int, np.ndarray]:
+    """The size of the sets' difference, and its first elements, as many as a similar pair may need.
+
+    Elements that the hub lacks come first, then those that only the hub has, each by value.
+    Of a pair in different groups one is not linked to the hub, so its difference is over
+    ``f * (its size + hub's size)``; with that, the needed overlap is at least half of what a
+    linked one has in its difference.
+    """
+    new, lost = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
+    size, f = len(new) + len(lost), _share(percent)
+    if linked:
+        length = size - int(np.ceil((size + f * (len(hub) - len(own))) / 2 - 1e-9)) + 1
+    else:
+        length = int(f * len(own) * (1 + 100 / percent) + 1e-9) + 1
+    return size, np.concatenate((new, lost))[: max(0, min(size, length))]
+
+
+def compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int, lower: bool) -> DataFrame:
+    """For pairs (a, b, large): linked (the full sets reach the threshold) and, if large, the sizes n_a and n_b, the
+    size d of the difference, and its prefix."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "large", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar = []
-            for x, y in zip(shingle_sets(batch.column(2), words, lower), shingle_sets(batch.column(3), words, lower), strict=True):
+            linked, sizes, prefixes = [], [], []
+            for large, x, y in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(3), words, lower), shingle_sets(batch.column(4), words, lower), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                similar.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                d, prefix = _prefix(x, y, linked[-1], percent) if large else (None, None)
+                sizes.append((len(x), len(y), d))
+                prefixes.append(None if prefix is None else prefix.view(np.int64))
+            numbers = [pa.array([s[i] for s in sizes], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), *numbers, pa.array(prefixes, pa.list_(pa.int64()))], ["a", "b", "large", "linked", "n_a", "n_b", "d", "prefix"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return whole.mapInArrow(check, f"a {kind}, b {kind}").distinct()
+    return whole.mapInArrow(check, f"a {kind}, b {kind}, large boolean, linked boolean, n_a long, n_b long, d long, prefix array<long>")
+
+
+def _differing(families: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups whose differences from a common hub share an element of their prefixes.
+
+    ``families`` has hub, doc_id, n, d, prefix, linked and component.
+    """
+    parts = families.select("hub", "doc_id", "n", "d", "linked", "component", F.posexplode("prefix").alias("place", "element"))
+    one = parts.where(~F.col("linked")).select("hub", "element", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "d", "component", "place")))
+    two = parts.select("hub", "element", "linked", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "d", "component", "place")))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - F.lit(_share(percent)) * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    early = (F.col("place_a") <= F.col("d_a") - needed) & (F.col("place_b") <= F.col("d_b") - needed)
+    once = F.col("linked") | (F.col("doc_id_a") < F.col("doc_id_b"))
+    pairs = one.join(two, ["hub", "element"]).where((F.col("component_a") != F.col("component_b")) & fits & early & once)
+    return pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
@@ -150,12 +201,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     groups = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")).where("size > 1").select("set_hash", "node")
     groups = scratch.keep(groups, "groups")
     placed = every.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
-    placed = scratch.keep(placed.select("doc_id", "n_shingles", "set_hash", F.coalesce("node", "doc_id").alias("node")), "placed")
+    placed = scratch.keep(placed.select("doc_id", "n_shingles", "set_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "placed")
     nodes = named.join(placed.where(F.col("doc_id") != F.col("node")).select("doc_id", "set_hash").distinct(), ["doc_id", "set_hash"], "left_anti")
     nodes = nodes.select("doc_id", "n_shingles", "low", "bands")
     # An id with several sets ties their nodes together.
     several = placed.where(F.col("set_hash").isNotNull()).groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
-    edges = [scratch.keep(placed.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "edges-0")]
+    edges = scratch.keep(placed.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "edges-0")
 
     nodes = scratch.keep(nodes, "nodes")
     scratch.drop("sketches")
@@ -177,35 +228,39 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
-    # Round 1: each bucket's members with its smallest.
-    hubs = members.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    # Round 1: each bucket's members with its hub.
+    sizes = scratch.keep(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = scratch.keep(members.join(sizes, "key"), "shared")
+    popular = shared.groupBy("doc_id").agg((-F.sum("size")).alias("rank"))
+    hubs = shared.join(popular, "doc_id").groupBy("key").agg(F.min(F.struct("rank", "doc_id", "n_shingles")).alias("hub"))
     hubs = scratch.keep(hubs.select("key", F.col("hub.doc_id").alias("b"), F.col("hub.n_shingles").alias("n_b")), "hubs")
-    star = members.join(hubs, "key").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), "b", "n_b").where(fits).select("a", "b").distinct()
-    star = scratch.keep(star, "star")
-    tried = scratch.keep(agreeing(star), "tried-1")
-    edges.append(scratch.keep(verified(tried, texts, percent, shingle_words, lower), "edges-1"))
-    labels = components(edges[0].unionByName(edges[1]), scratch, "components-1")
+    star = shared.join(hubs, "key").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), "b", "n_b", (F.col("size") > SMALL).alias("large"))
+    star = scratch.keep(star.groupBy("a", "b", "n_a", "n_b").agg(F.max("large").alias("large")), "star")
+    near = agreeing(star.where(~F.col("large") & fits).select("a", "b")).withColumn("large", F.lit(False))
+    tried = scratch.keep(near.unionByName(star.where("large").select("a", "b", "large")), "tried-1")
+    met = scratch.keep(compared(tried, texts, percent, shingle_words, lower), "met-1")
+    edges = edges.unionByName(met.where("linked").select("a", "b"))
+    labels = components(edges, scratch, "components-1")
 
     # Round 2: pairs of different groups in buckets that still hold several.
-    owned = members.join(hubs.select("key"), "key").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    owned = scratch.keep(owned.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "owned")
+    component = F.coalesce("component", "doc_id").alias("component")
+    named_labels = labels.withColumnRenamed("node", "doc_id")
+    owned = scratch.keep(shared.where(F.col("size") <= SMALL).join(named_labels, "doc_id", "left").select("key", "doc_id", "n_shingles", component), "owned")
     mixed = scratch.keep(owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "mixed")
-    owned = scratch.keep(owned.join(mixed, "key"), "open")
-    scratch.drop("owned")
-    one = owned.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-    two = owned.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-    cross = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cross = scratch.keep(agreeing(cross).join(tried, ["a", "b"], "left_anti"), "tried-2")
+    one, two = (owned.join(mixed, "key").select("key", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    cross = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    families = met.where("large").select(F.col("b").alias("hub"), F.col("a").alias("doc_id"), F.col("n_a").alias("n"), "d", "prefix", "linked")
+    families = scratch.keep(families.join(named_labels, "doc_id", "left").select("hub", "doc_id", "n", "d", "prefix", "linked", component), "families")
+    cross = cross.unionByName(_differing(families, percent)).distinct()
+    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    cross = scratch.keep(agreeing(cross).join(done, ["a", "b"], "left_anti").withColumn("large", F.lit(False)), "tried-2")
     if cross.limit(1).count():
-        edges.append(scratch.keep(verified(cross, texts, percent, shingle_words, lower), "edges-2"))
-        every_edge = edges[0]
-        for more in edges[1:]:
-            every_edge = every_edge.unionByName(more)
-        labels = components(every_edge, scratch, "components-2")
+        more = scratch.keep(compared(cross, texts, percent, shingle_words, lower).where("linked").select("a", "b"), "edges-2")
+        labels = components(edges.unionByName(more), scratch, "components-2")
 
     result = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     result = scratch.keep(result.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result")
-    scratch.drop("placed", "groups", "nodes", "hubs", "star", "tried-1", "tried-2", "mixed", "open", "edges-0", "edges-1", "edges-2")
+    scratch.drop("placed", "groups", "nodes", "sizes", "shared", "hubs", "star", "tried-1", "met-1", "owned", "mixed", "families", "tried-2", "edges-0", "edges-2")
     return result
 
 
