@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, minhash, mixing, token_counts, topk
+from . import chat, decontaminate, langid, line_dedup, minhash, mixing, substring_dedup, token_counts, topk
 from .tables import table
 
 
@@ -132,6 +132,28 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without 20-word windows that occurred before."""
+    return substring_dedup.removed_spans(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i+19], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+), later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+), each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '') AS rest
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
@@ -141,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -148,4 +171,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_top_k": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
