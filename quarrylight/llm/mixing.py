@@ -19,10 +19,15 @@ that repeat a document id are each in the stream with their own share; other col
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, own_columns
+from .tokens import chunks
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
@@ -32,8 +37,16 @@ BLOCK_WORDS = 1024
 BUCKET_ROWS = 4096
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, text) as doc_id, source, size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.diff(chunk.words()[2]) for chunk in chunks(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "source", "size"])
+
+    doc_type, source_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
+    return docs.mapInArrow(count, f"doc_id {doc_type}, source {source_type}, size long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -70,8 +83,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """doc_id, size, source_size, target (of its source), taken (words of it in the mix, repeats counted)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = own_columns(docs, doc_id=doc_id, text=text, source=source).select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
-    sized = scratch.keep(sized, "sized")
+    sized = scratch.keep(word_counts(own_columns(docs, doc_id=doc_id, source=source, text=text)), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     plan = targets(sums.select("source", "source_size"), weights, repeats).join(sums.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumn("number", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
@@ -86,10 +98,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     # Documents in their source's stream, then their parts in its blocks.
     stream = sized.join(plan.select(F.col("source").alias("s"), "number", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    shuffled = F.xxhash64(F.lit(17), "doc_id", "content")
+    shuffled = F.xxhash64(F.lit(17), "doc_id")
     bucket = F.pmod(F.shiftrightunsigned(shuffled, 8), F.ceil(F.col("rows") / BUCKET_ROWS))
     stream = stream.where("size > 0").withColumns({"shuffled": shuffled, "bucket": bucket})
-    stream = _running(stream, ["number"], "bucket", ["shuffled", "doc_id"], F.col("size"), "start", scratch)
+    stream = _running(stream, ["number"], "bucket", ["shuffled", "doc_id", "size"], F.col("size"), "start", scratch)
+    stream = scratch.keep(stream.select("number", "doc_id", "size", "start"), "stream")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = stream.select("number", "doc_id", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     parts = parts.withColumns({"at": F.greatest("start", F.col("block") * block), "to": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)})
@@ -103,6 +116,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     slots = slots.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     slots = slots.select("slot", "number", F.floor(F.col("slot") / BUCKET_ROWS).alias("bucket"))
     slots = _running(slots, ["number"], "bucket", ["slot"], F.lit(1), "rank", scratch)
+    slots = scratch.keep(slots.select("number", "rank"), "slots")
     needed = plan.where("slots > 0").select("number", "slots", "source_size", "blocks", "words")
     made = slots.groupBy("number").agg(F.count("*").alias("made"))
     lacking = needed.join(made, "number", "left").withColumn("made", F.coalesce("made", F.lit(0))).where("made < slots")
@@ -113,6 +127,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     drawn = drawn.withColumn("left", F.col("words") - F.col("epoch") * F.col("source_size") - F.col("block") * block).where("left > 0")
     full = F.col("left") >= F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     drawn = drawn.groupBy("number", "block").agg(F.sum(F.when(full, 1).otherwise(0)).alias("times"), F.sum(F.when(full, 0).otherwise(F.col("left"))).alias("left"))
+    drawn = scratch.keep(drawn, "drawn")
     inside = F.greatest(F.lit(0), F.least(F.col("to"), F.col("block") * block + F.col("left")) - F.col("at"))
     taken = parts.join(drawn, ["number", "block"]).select("number", "doc_id", "start", "size", (F.col("times") * (F.col("to") - F.col("at")) + inside).alias("taken"))
     none = F.lit(0).cast("long").alias("taken")
