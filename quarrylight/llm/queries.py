@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, minhash, mixing, substring_dedup, token_counts, topk
+from . import chat, ctw, decontaminate, langid, line_dedup, minhash, mixing, substring_dedup, token_counts, topk
 from .tables import table
 
 
@@ -94,6 +94,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under context-tree weighting and under word frequencies."""
+    held_out = langid.bucket_of(F.col("doc_id"), 5) == 1
+    scores = ctw.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that spread over ten or more sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -161,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_context_tree_scores": op7_context_tree_scores,
     "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
