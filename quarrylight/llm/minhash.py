@@ -8,7 +8,8 @@ threshold.
 
 No bucket is expanded into all its pairs.  Documents with equal sets are one node from the
 start.  In a first round each bucket's members are compared with its hub, the member whose
-buckets are largest (in a group of copies of one text, that text).  Groups of what was verified
+buckets are largest (in a group of copies of one text, that text), or for large buckets with the
+best hub of its hub's buckets.  Groups of what was verified
 are then found, and only members that are still in different groups give pairs in the second
 round.  Buckets of up to ``SMALL`` members give those pairs directly.  In larger ones the
 sets' differences from the hub are joined: for sets x and y with differences X and Y from the
@@ -233,6 +234,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     shared = scratch.keep(members.join(sizes, "key"), "shared")
     popular = shared.groupBy("doc_id").agg((-F.sum("size")).alias("rank"))
     hubs = shared.join(popular, "doc_id").groupBy("key").agg(F.min(F.struct("rank", "doc_id", "n_shingles")).alias("hub"))
+    hubs = scratch.keep(hubs.select("key", "hub"), "local-hubs")
+    # A large bucket's members are compared with the best hub that its own hub meets, so that a group has few of them.
+    best = shared.where(F.col("size") > SMALL).join(hubs, "key").groupBy("doc_id").agg(F.min("hub").alias("best"))
+    hubs = hubs.join(best, F.col("hub.doc_id") == F.col("doc_id"), "left").join(sizes, "key").select("key", F.when(F.col("size") > SMALL, F.coalesce("best", "hub")).otherwise(F.col("hub")).alias("hub"))
     hubs = scratch.keep(hubs.select("key", F.col("hub.doc_id").alias("b"), F.col("hub.n_shingles").alias("n_b")), "hubs")
     star = shared.join(hubs, "key").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), "b", "n_b", (F.col("size") > SMALL).alias("large"))
     star = scratch.keep(star.groupBy("a", "b", "n_a", "n_b").agg(F.max("large").alias("large")), "star")
@@ -260,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     result = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     result = scratch.keep(result.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result")
-    scratch.drop("placed", "groups", "nodes", "sizes", "shared", "hubs", "star", "tried-1", "met-1", "owned", "mixed", "families", "tried-2", "edges-0", "edges-2")
+    scratch.drop("placed", "groups", "nodes", "sizes", "shared", "local-hubs", "hubs", "star", "tried-1", "met-1", "owned", "mixed", "families", "tried-2", "edges-0", "edges-2")
     return result
 
 
