@@ -1,0 +1,22 @@
+"""Where results go: drawers by collection, markdown copies, a table of failures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def write_drawers(drawers: DataFrame, path: str) -> None:
+    """Appends drawers, by collection.  Their ids are stable, so readers can drop what was written twice."""
+    drawers.write.mode("append").partitionBy("wing").parquet(path)
+
+
+def write_markdown(texts: DataFrame, path: str) -> None:
+    texts.select("wing", "relative_path", "text").write.mode("append").partitionBy("wing").parquet(path)
+
+
+def split_failures(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows without an error; those with one are appended to the table at ``path``."""
+    if path is not None:
+        frame.where(F.col("error").isNotNull()).withColumn("failed_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return frame.where(F.col("error").isNull()).drop("error")
