@@ -26,12 +26,12 @@ def gated(texts: DataFrame, text: str = "text", least: int = 50) -> DataFrame:
 
 def numbered_chunks(texts: DataFrame, *, key: str, text: str, base: str, target: int = 2000, overlap: int = 200) -> DataFrame:
     """A drawer for each chunk: id (stable, from key and place), content, room, title, tag, chunk_index, n_chunks."""
-    pieces = texts.withColumn("__chunks", chunks(F.col(text), target, overlap))
-    rows = pieces.select("*", F.size("__chunks").alias("n_chunks"), F.posexplode("__chunks").alias("chunk_index", "content"))
+    pieces = texts.select(key, F.col(base).alias("base"), chunks(F.col(text), target, overlap).alias("chunks"))
+    rows = pieces.select(key, "base", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk_index", "content"))
     place = F.concat((F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("n_chunks").cast("string"))
-    title = F.when(F.col("n_chunks") > 1, F.concat(F.col(base), F.lit(" (часть "), place, F.lit(")"))).otherwise(F.col(base))
+    title = F.when(F.col("n_chunks") > 1, F.concat("base", F.lit(" (часть "), place, F.lit(")"))).otherwise(F.col("base"))
     tag = F.concat(F.lit("chunk_"), F.replace(place, F.lit("/"), F.lit("_of_")))
-    return rows.select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_index").cast("string")), 256).alias("id"), F.col(key), "content", F.left(F.col(base), F.lit(60)).alias("room"), title.alias("title"), tag.alias("tag"), "chunk_index", "n_chunks")
+    return rows.select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_index").cast("string")), 256).alias("id"), F.col(key), "content", F.left("base", F.lit(60)).alias("room"), title.alias("title"), tag.alias("tag"), "chunk_index", "n_chunks")
 
 
 def outcomes(attempts: DataFrame, key: str, ok: Column, warn_under: float = 0.8) -> DataFrame:

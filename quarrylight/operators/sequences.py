@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def rate_limited(events: DataFrame, *, user: str, time: str, key: str, window_seconds: float = 60, most: int = 30) -> DataFrame:
@@ -36,7 +37,7 @@ def rate_limited(events: DataFrame, *, user: str, time: str, key: str, window_se
             names = [n for i, n in enumerate(batch.schema.names) if i != at_time]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(verdicts, pa.bool_())], [*names, "accepted"])
 
-    schema = events.schema.add("accepted", "boolean")
+    schema = StructType([*events.schema, StructField("accepted", BooleanType())])
     return rows.mapInArrow(fold, schema)
 
 

@@ -121,3 +121,25 @@ SELECT event_id, ts FROM events WHERE event_id IN (SELECT * FROM d UNION SELECT
 def retention(spark, sf_dir):
     """Snapshots kept: seven daily, four weekly, six monthly."""
     return changes.retained(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "ts")
+
+
+@query(registry.oracles["rate_limit"])
+def streamed_rate_limit(spark, sf_dir):
+    """The same limiter over a stream of events with state per user."""
+    from ..streaming.jobs import limited_stream
+    from ..streaming.once import run_once
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    out = run_once(limited_stream(events, window_seconds=86400, most=5))
+    return out.select(F.col("user").alias("user_id"), F.col("id").alias("event_id"), "accepted")
+
+
+@query("SELECT day, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type FROM events) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY day, event_type")
+def streamed_daily_counts(spark, sf_dir):
+    """Tumbling days closed by a watermark of one hour."""
+    from ..streaming.once import run_once
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    out = run_once(timed.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n"))
+    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")

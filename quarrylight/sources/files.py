@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
 
@@ -155,7 +156,7 @@ def parsed(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}")
             yield frame.assign(text=texts, error=errors)
 
-    return files.mapInPandas(parse, files.schema.add("text", "string").add("error", "string"))
+    return files.mapInPandas(parse, StructType([*files.schema, StructField("text", StringType()), StructField("error", StringType())]))
 
 
 def key_values(lines: DataFrame, key: str, line: str = "value") -> DataFrame:
