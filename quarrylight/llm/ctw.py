@@ -38,7 +38,7 @@ END = 0xFF
 HEAD = 1 << 20
 #: The hash under which the end mark is counted as a word.
 END_WORD = -(2**63)
-_GATHERED = 1_000_000
+_GATHERED = 500_000
 STRING, WORD = 0, 1
 
 

@@ -37,6 +37,8 @@ EPOCHS = 6
 LEARNING_RATE = 0.4
 #: Documents of each language that are learned from, at most.
 SAMPLE = 600
+#: Up to so many sampled ids are broadcast, so that the texts need no shuffle; more are joined by one.
+BROADCAST_IDS = 200_000
 REJECTED_SHARE = 0.001
 MOST_CONFIDENT_REJECTION = 0.5
 UNKNOWN = "und"
@@ -145,7 +147,8 @@ def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
     rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
-    rows = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    n_ids = ids.limit(BROADCAST_IDS + 1).count()
+    rows = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
