@@ -146,7 +146,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
         low = y < 8
         shift[low] -= np.log(y[low])
         y[low] += 1
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return shift + (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
 
 
 def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -75,7 +75,7 @@ def overlaps(
     items = own_columns(benchmark, item_id=item_id, text=item_text)
     trimmed = F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     items = items.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", _token_hashes(trimmed).alias("tokens"))
-    items = items.groupBy("tokens").agg(F.collect_list("item_id").alias("ids"), F.count("*").alias("n_ids"))
+    items = items.groupBy("tokens").agg(F.collect_list(F.struct("item_id")).alias("ids"))
     items = items.withColumnRenamed("tokens", "item_tokens").withColumn("item_key", F.xxhash64("item_tokens"))
     documents = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", _token_hashes(F.col("text")).alias("tokens"))
 
@@ -113,7 +113,7 @@ def overlaps(
         short = tiny.where(F.col("length") == length).select("item_key", "key")
         whole = whole.join(F.broadcast(short) if small else short, "key").select("doc_id", "item_key").distinct()
         found = found.unionByName(whole.withColumns({"n_equal": F.lit(length).cast("long"), "n_compared": F.lit(length).cast("long")}))
-    named = items.select("item_key", F.explode("ids").alias("item_id"))
+    named = items.select("item_key", F.explode("ids").alias("id")).select("item_key", "id.item_id")
     return found.join(named, "item_key").select("doc_id", "item_id", "n_equal", "n_compared")
 
 

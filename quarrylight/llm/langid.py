@@ -167,7 +167,7 @@ def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
 
 
 def _has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def _predictions(model: Model | None, texts: pa.Array, has_letter: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def _predictions(model: Model | None, texts: pa.Array, has_letter: pa.Array) ->
 
 def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, accepted for each document."""
-    source = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", "text", _has_letter(F.col("text")))
+    source = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", "text", _has_letter(F.col("text")).alias("has_letter"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,8 @@ def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", te
 def accepted(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """The documents whose prediction is accepted, with all their columns; no shuffle."""
     at = docs.columns.index(text)
-    marked = docs.select("*", _has_letter(docs[f"`{text}`"]))
+    unused = "_" * (1 + max(map(len, docs.columns)))
+    marked = docs.select("*", _has_letter(docs[f"`{text}`"]).alias(unused))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -104,15 +104,15 @@ def top_k(
     across = max(1, -(-rows.count() // candidates_per_cell))
     down = max(1, -(-chosen.count() // queries_per_cell))
     place = F.xxhash64("row")
-    left = chosen.select(F.pmod(place, F.lit(down)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), "row", "vec_id", "vector")
-    right = rows.select(F.pmod(place, F.lit(across)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), "vec_id", "vector")
+    left = chosen.select(F.pmod(place, F.lit(down)).cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    right = rows.select(F.pmod(place, F.lit(across)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.col("vec_id").alias("candidate_id"), F.col("vector").alias("candidate"))
 
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         rows, query_ids, ids, scores = [], [], [], []
         if queries.num_rows and candidates.num_rows:
-            own = queries["vec_id"].to_numpy()
-            numbers = queries["row"].to_numpy()
-            for i, found, score in search_cell(_matrix(queries["vector"]), own, _matrix(candidates["vector"]), candidates["vec_id"].to_numpy(), k, block):
+            own = queries["query_id"].to_numpy()
+            numbers = queries["query_row"].to_numpy()
+            for i, found, score in search_cell(_matrix(queries["query"]), own, _matrix(candidates["candidate"]), candidates["candidate_id"].to_numpy(), k, block):
                 rows.append(np.full(len(found), numbers[i]))
                 query_ids.append(np.full(len(found), own[i]))
                 ids.append(found)
