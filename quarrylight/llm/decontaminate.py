@@ -33,9 +33,15 @@ SUBSTITUTIONS = 3
 BROADCAST_SEEDS = 500_000
 
 
-def _token_hashes(text: Column) -> Column:
-    """array<bigint>: a hash for each token."""
-    return F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.xxhash64(t))
+def _tokens(frame: DataFrame, key: str) -> DataFrame:
+    """(key, text) as (key, tokens): an array of a hash for each token."""
+    hashed = F.transform(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.xxhash64(t))
+    rows = frame.select(key, hashed.alias("hashed"))
+    # Other characters at the ends leave an empty string there.
+    none = F.xxhash64(F.lit(""))
+    first = F.when(F.get("hashed", F.lit(0)) == none, 2).otherwise(1)
+    last = F.size("hashed") - F.when(F.get("hashed", F.size("hashed") - 1) == none, 1).otherwise(0)
+    return rows.select(key, F.when(F.col("hashed").isNotNull(), F.slice("hashed", first, F.greatest(F.lit(0), last - first + 1))).alias("tokens"))
 
 
 def _seed(tokens: Column, position: Column, number: int, mask: str) -> Column:
@@ -73,11 +79,10 @@ def overlaps(
     One row for each document and benchmark item that overlap.
     """
     items = own_columns(benchmark, item_id=item_id, text=item_text)
-    trimmed = F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    items = items.where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", _token_hashes(trimmed).alias("tokens"))
+    items = _tokens(items.where(F.col("text").rlike(r"[\p{L}\p{N}]")), "item_id")
     items = items.groupBy("tokens").agg(F.collect_list(F.struct("item_id")).alias("ids"))
     items = items.withColumnRenamed("tokens", "item_tokens").withColumn("item_key", F.xxhash64("item_tokens"))
-    documents = own_columns(docs, doc_id=doc_id, text=text).select("doc_id", _token_hashes(F.col("text")).alias("tokens"))
+    documents = _tokens(own_columns(docs, doc_id=doc_id, text=text), "doc_id")
 
     shortest = min(map(len, masks))
     sought = _seeds(items.select("item_key", F.col("item_tokens").alias("tokens")), masks, ["item_key", "tokens"], "j").select("item_key", "j", "key")

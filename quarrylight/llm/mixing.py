@@ -129,7 +129,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     drawn = drawn.groupBy("number", "block").agg(F.sum(F.when(full, 1).otherwise(0)).alias("times"), F.sum(F.when(full, 0).otherwise(F.col("left"))).alias("left"))
     drawn = scratch.keep(drawn, "drawn")
     inside = F.greatest(F.lit(0), F.least(F.col("to"), F.col("block") * block + F.col("left")) - F.col("at"))
-    taken = parts.join(drawn, ["number", "block"]).select("number", "doc_id", "start", "size", (F.col("times") * (F.col("to") - F.col("at")) + inside).alias("taken"))
+    taken = parts.join(drawn.hint("merge"), ["number", "block"])  # never broadcast: sorted columns make its file small for its rows
+    taken = taken.select("number", "doc_id", "start", "size", (F.col("times") * (F.col("to") - F.col("at")) + inside).alias("taken"))
     none = F.lit(0).cast("long").alias("taken")
     counted = taken.unionByName(stream.select("number", "doc_id", "start", "size", none))
     counted = counted.groupBy("number", "doc_id", "start", "size").agg(F.sum("taken").alias("taken")).drop("start")

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_jobs: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +33,13 @@ class Scratch:
     """Intermediate tables of one job.
 
     ``keep`` writes a frame as Parquet and reads it back; ``drop`` removes a table that later
-    steps no longer read.  The tables that the returned frame reads stay until the session's
-    folder is cleared.
+    steps no longer read.  The tables that the returned frame reads stay until ``clear``.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        _jobs.append(self)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -52,6 +53,12 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear() -> None:
+    """Removes all tables of this process's jobs; frames that they returned can't be read any more."""
+    while _jobs:
+        _jobs.pop().drop("")
+
+
 def own_columns(frame: DataFrame, **names: str) -> DataFrame:
     """The named columns under names that the job uses: ``own_columns(docs, doc_id="id")``.
 
