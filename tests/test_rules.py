@@ -140,3 +140,11 @@ def test_wings_and_outcomes(spark):
     assert [value(spark, wing_of(F.lit(p))) for p in ("a.txt", "books/a.txt", "other/a.txt", "misc/b/c.md")] == ["misc", "books", "misc", "misc"]
     tries = spark.createDataFrame([("a", False), ("b", True), *[("b", False)] * 9, *[("c", True)] * 5], "id string, ok boolean")
     assert {r["id"]: r["outcome"] for r in outcomes(tries, "id", F.col("ok")).collect()} == {"a": "failed", "b": "warning", "c": "processed"}
+
+
+def test_two_passes(spark):
+    from quarrylight.operators.generate import drafted
+
+    frame = spark.createDataFrame([(1, "a\n\nkeep"), (2, "b\n\ndrop"), (3, None)], "id long, prompt string")
+    out = drafted(frame, "prompt", clean=lambda texts: ["" if t == "drop" else t.upper() for t in texts])
+    assert {r["id"]: r["body"] for r in out.collect()} == {1: "KEEP", 2: "drop", 3: None}
