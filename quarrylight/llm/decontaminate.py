@@ -80,8 +80,9 @@ def overlaps(
     """
     items = own_columns(benchmark, item_id=item_id, text=item_text)
     items = _tokens(items.where(F.col("text").rlike(r"[\p{L}\p{N}]")), "item_id")
-    items = items.groupBy("tokens").agg(F.collect_list(F.struct("item_id")).alias("ids"))
-    items = items.withColumnRenamed("tokens", "item_tokens").withColumn("item_key", F.xxhash64("item_tokens"))
+    items = items.where(F.size("tokens") > 0).withColumn("item_key", F.xxhash64("tokens"))
+    named = items.select("item_key", "item_id")
+    items = items.select("item_key", F.col("tokens").alias("item_tokens")).dropDuplicates(["item_key"])
     documents = _tokens(own_columns(docs, doc_id=doc_id, text=text), "doc_id")
 
     shortest = min(map(len, masks))
@@ -98,7 +99,7 @@ def overlaps(
     reach = window + max(map(len, masks))
     first = F.greatest(F.lit(0), F.col("j") - reach, F.col("j") - F.col("i"))
     hits = hits.select("doc_id", "item_key", "j", first.alias("from_j"), F.slice("tokens", F.col("i") - F.col("j") + first + 1, F.col("j") - first + reach).alias("part"))
-    pieces = items.select("item_key", "item_tokens")
+    pieces = items.where(F.size("item_tokens") >= shortest).select("item_key", "item_tokens")  # each has as many seeds as tokens, nearly
     laid = hits.join(F.broadcast(pieces) if small else pieces, "item_key")
     equal = F.zip_with("part", F.slice("item_tokens", F.col("from_j") + 1, F.size("part")), lambda a, b: F.when(a == b, 1).otherwise(0))
     laid = laid.select("doc_id", "item_key", "j", "from_j", equal.alias("equal"), F.least(F.size("item_tokens"), F.lit(window)).alias("length"), F.size("item_tokens").alias("item_size"))
@@ -111,14 +112,14 @@ def overlaps(
     allowed = F.floor(F.col("length") * substitutions / window)
     found = laid.where(F.col("n_equal") >= F.col("length") - allowed).groupBy("doc_id", "item_key").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("length").cast("long").alias("n_compared"))
 
+    few = tiny.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     for length in sorted(r["length"] for r in tiny.select("length").distinct().collect()):  # under the shortest mask's few tokens
         spans = F.when(F.size("tokens") >= length, F.sequence(F.lit(1), F.size("tokens") - length + 1))
         whole = documents.select("doc_id", "tokens", F.explode(spans).alias("i"))
         whole = whole.select("doc_id", F.xxhash64(F.slice("tokens", F.col("i"), length)).alias("key"))
         short = tiny.where(F.col("length") == length).select("item_key", "key")
-        whole = whole.join(F.broadcast(short) if small else short, "key").select("doc_id", "item_key").distinct()
+        whole = whole.join(F.broadcast(short) if few else short, "key").select("doc_id", "item_key").distinct()
         found = found.unionByName(whole.withColumns({"n_equal": F.lit(length).cast("long"), "n_compared": F.lit(length).cast("long")}))
-    named = items.select("item_key", F.explode("ids").alias("id")).select("item_key", "id.item_id")
     return found.join(named, "item_key").select("doc_id", "item_id", "n_equal", "n_compared")
 
 
