@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, strip
 
-#: Folders that are collections by themselves; files of others go to the last one.
-WINGS = ("books", "articles", "13-33pubs", "13-33scenarios", "13-33interviews", "13-33main", "13-33drafts", "misc")
+#: Folders that are collections by themselves; files of others go to the last one.
+WINGS = ("books", "articles", "drafts", "misc")
 OTHER = "misc"
 
 

@@ -81,11 +81,11 @@ def upload_outcomes(spark, sf_dir):
     return ingest.outcomes(table(spark, sf_dir, "events"), "user_id", F.col("value") < 60)
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'misc' WHEN 1 THEN 'books' WHEN 2 THEN 'misc' ELSE '13-33main' END AS wing FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'misc' WHEN 1 THEN 'books' WHEN 2 THEN 'misc' ELSE 'drafts' END AS wing FROM pages")
 def wings_of_paths(spark, sf_dir):
     """Collections by first folder."""
     n = F.col("page_id") % 4
-    path = F.when(n == 0, "file.txt").when(n == 1, "books/a/b.txt").when(n == 2, "unknown/b.txt").otherwise("13-33main/c.md")
+    path = F.when(n == 0, "file.txt").when(n == 1, "books/a/b.txt").when(n == 2, "unknown/b.txt").otherwise("drafts/c.md")
     return table(spark, sf_dir, "pages").select("page_id", ingest.wing_of(path).alias("wing"))
 
 
@@ -132,3 +132,21 @@ def key_value_lines(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("line"), F.concat(F.lit("TOKEN= "), "n_name", F.lit("  ")).alias("value"))
     stripped = tx.strip(F.substring("value", F.lit(len("TOKEN=") + 1), F.length("value")))
     return n.where(F.col("value").startswith("TOKEN=")).select("line", stripped.alias("token"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE doc_id / 10.0::DOUBLE END AS distance, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 20) END AS content FROM documents")
+def hit_defaults(spark, sf_dir):
+    """Hits without a distance count as 1, without a text as empty."""
+    d = table(spark, sf_dir, "documents")
+    hits = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") / 10.0).alias("distance"), F.when(F.col("doc_id") % 4 != 0, F.left("text", F.lit(20))).alias("content"))
+    return hits.select("id", F.coalesce("distance", F.lit(1.0)).alias("distance"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+@query("SELECT 'orders' AS name UNION ALL SELECT 'nation'")
+def catalog_listing(spark, sf_dir):
+    """Which of some names the catalog has."""
+    for name in ("orders", "nation"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"listed_{name}")
+    have = [(t.name.removeprefix("listed_"),) for t in spark.catalog.listTables() if t.name.startswith("listed_")]
+    names = spark.createDataFrame(have, "name string")
+    return names.where(F.col("name").isin("orders", "nation", "missing"))

@@ -75,3 +75,10 @@ def kg_both_directions(spark, sf_dir):
 @query(f"WITH {_TRIPLES} SELECT 'triples' AS metric, '' AS name, count(*) AS n FROM triples UNION ALL SELECT 'entities', '', count(DISTINCT e) FROM (SELECT subject AS e FROM triples UNION ALL SELECT object FROM triples) UNION ALL SELECT 'predicate', predicate, count(*) FROM triples GROUP BY predicate")
 def kg_stats(spark, sf_dir):
     return graph.graph_stats(_triples(spark, sf_dir))
+
+
+@query(f"WITH {_NEAR.format('e.label = 3 AND e.vec_id % 2 = 1')} SELECT query_id, vec_id, place::INTEGER AS place FROM t WHERE place <= 5 AND distance <= 4")
+def vector_two_key_filter(spark, sf_dir):
+    """Both keys must match before the search."""
+    hits = vectors.nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), key="vec_id", max_distance=4, before=(F.col("label") == 3) & (F.col("vec_id") % 2 == 1))
+    return hits.select("query_id", "vec_id", "place")

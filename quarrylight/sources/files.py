@@ -148,7 +148,7 @@ def parsed(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataFrame:
                 parser = parsers.get(ending[0].lower()) if ending else None
                 try:
                     if parser is None:
-                        raise ValueError(f"Unsupported file extension: {ending[0].lower() if ending else ''}")
+                        raise ValueError(f"no parser for {ending[0].lower() if ending else 'files without an extension'}")
                     texts.append(parser(bytes(content)).strip())
                     errors.append(None)
                 except Exception as e:  # one bad file is a row with its error, not a failed job

@@ -21,7 +21,7 @@ def drawers_of(files: DataFrame, failures: str | None, target: int = 2000, overl
     good = split_failures(gated_errors(texts), failures)
     named = good.withColumns({"wing": wing_of(F.col("relative_path")), "stem": F.regexp_extract("relative_path", r"([^/]+?)(?:\.[^./]*)?$", 1)})
     drawers = numbered_chunks(named, key="relative_path", text="text", base="stem", target=target, overlap=overlap)
-    return drawers.withColumn("wing", wing_of(F.col("relative_path"))).withColumn("added_by", F.lit("bulk_uploader"))
+    return drawers.withColumn("wing", wing_of(F.col("relative_path"))).withColumn("added_by", F.lit("ingest"))
 
 
 def gated_errors(texts: DataFrame, least: int = 50) -> DataFrame:

@@ -65,5 +65,5 @@ def test_key_values_and_front_matter(spark):
 def test_unknown_extension_is_an_error(spark):
     rows = spark.createDataFrame([("x.zip", b"1"), ("y.txt", b" t ")], "path string, content binary")
     got = {r["path"]: (r["text"], r["error"]) for r in files.parsed(rows).select("path", "text", "error").collect()}
-    assert got["y.txt"] == ("t", None) and "Unsupported" in got["x.zip"][1]
+    assert got["y.txt"] == ("t", None) and "no parser for .zip" in got["x.zip"][1]
     assert files.parsed(rows.where(F.lit(False))).count() == 0
