@@ -9,8 +9,8 @@ then smallest position), so that the corpus keeps one copy of what it says.
 
 Defined results: a null text has no lines and stays null; blank lines are never boilerplate; a
 null site counts as one site of its own; a null document id comes last in the order of
-places; rows that repeat a document id are one document each but share places, so
-a first place that occurs twice is kept twice; other columns are carried along by ``cleaned``
+places; rows that repeat an id are documents of their own, in the order of a hash of their texts,
+and rows that repeat id and text are treated alike; other columns are carried along by ``cleaned``
 whatever their names.
 """
 
@@ -32,11 +32,11 @@ def _stripped(line: Column) -> Column:
 
 
 def spread(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines on at least ``min_sites`` sites: hash, size, first (doc_id, position).
+    """Lines on at least ``min_sites`` sites: hash, size, first (doc_id, version, position).
 
-    ``lines`` has hash, size, site (not null), doc_id, position.
+    ``lines`` has hash, size, site (not null), doc_id, version, position.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "position")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "position")
     merged = lines.groupBy("hash", "size").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sites"), F.min(place).alias("first"), F.count("*").alias("copies"))
     merged = merged.where(F.col("copies") >= min_sites).select("hash", "size", "first", F.hll_sketch_estimate("sites").alias("estimate"))
     likely = scratch.keep(merged.where(F.col("estimate") >= min_sites * (1 - NEAR)), "likely")
@@ -48,17 +48,17 @@ def spread(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> Da
 
 
 def boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, scratch: Scratch | None = None) -> DataFrame:
-    """The lines to remove of each document that has some: doc_id, positions (from 0)."""
+    """The lines to remove of each document that has some: doc_id, version (hash of its text), positions (from 0)."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     named = own_columns(docs, doc_id=doc_id, text=text, site=site)
     site_name = F.when(F.col("site").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("site").cast("string")))
-    lines = named.select("doc_id", site_name.alias("site"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    lines = lines.select("doc_id", "site", "position", _stripped(F.col("line")).alias("line"))
-    lines = lines.where(F.col("line") != "").select("doc_id", "site", "position", F.xxhash64("line").alias("hash"), F.length("line").alias("size"))
+    lines = named.select("doc_id", F.xxhash64("text").alias("version"), site_name.alias("site"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    lines = lines.select("doc_id", "version", "site", "position", _stripped(F.col("line")).alias("line"))
+    lines = lines.where(F.col("line") != "").select("doc_id", "version", "site", "position", F.xxhash64("line").alias("hash"), F.length("line").alias("size"))
     found = spread(lines, scratch, min_sites)
-    hits = lines.select("doc_id", "position", "hash", "size").join(found, ["hash", "size"])
-    hits = hits.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("position") == F.col("first.position"))))
-    return hits.groupBy("doc_id").agg(F.collect_set("position").alias("positions"))
+    hits = lines.select("doc_id", "version", "position", "hash", "size").join(found, ["hash", "size"])
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("position") == F.col("first.position"))
+    return hits.where(~here).groupBy("doc_id", "version").agg(F.collect_set("position").alias("positions"))
 
 
 def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", removed: str | None = None, **options) -> DataFrame:
@@ -67,8 +67,9 @@ def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remo
     ``removed`` names a column for the number of lines taken out, if it is wanted.
     """
     gone = boilerplate(docs, doc_id=doc_id, text=text, **options)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("positions").alias("__positions"))
-    joined = docs.join(gone, docs[f"`{doc_id}`"].eqNullSafe(gone["__id"]), "left")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("positions").alias("__positions"))
+    same = docs[f"`{doc_id}`"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["__version"])
+    joined = docs.join(gone, same, "left")
     lines = F.split(docs[f"`{text}`"], "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__positions"), i)), "\n")
     rest = F.when(F.col("__positions").isNull(), docs[f"`{text}`"]).otherwise(kept)

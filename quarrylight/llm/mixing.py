@@ -38,15 +38,16 @@ BUCKET_ROWS = 4096
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, text) as doc_id, source, size."""
+    """(doc_id, source, text) as doc_id, source, size, content (a hash of the text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [np.diff(chunk.words()[2]) for chunk in chunks(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), batch.column(3)], ["doc_id", "source", "size", "content"])
 
     doc_type, source_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
-    return docs.mapInArrow(count, f"doc_id {doc_type}, source {source_type}, size long")
+    hashed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("content"))
+    return hashed.mapInArrow(count, f"doc_id {doc_type}, source {source_type}, size long, content long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
     # Documents in their source's stream, then their parts in its blocks.
     stream = sized.join(plan.select(F.col("source").alias("s"), "number", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    shuffled = F.xxhash64(F.lit(17), "doc_id")
+    shuffled = F.xxhash64(F.lit(17), "doc_id", "content")
     bucket = F.pmod(F.shiftrightunsigned(shuffled, 8), F.ceil(F.col("rows") / BUCKET_ROWS))
     stream = stream.where("size > 0").withColumns({"shuffled": shuffled, "bucket": bucket})
     stream = _running(stream, ["number"], "bucket", ["shuffled", "doc_id", "size"], F.col("size"), "start", scratch)
