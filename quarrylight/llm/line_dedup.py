@@ -71,7 +71,7 @@ def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remo
     same = docs[f"`{doc_id}`"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["__version"])
     joined = docs.join(gone, same, "left")
     lines = F.split(docs[f"`{text}`"], "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__positions"), i)), "\n")
-    rest = F.when(F.col("__positions").isNull(), docs[f"`{text}`"]).otherwise(kept)
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone["__positions"], i)), "\n")
+    rest = F.when(gone["__positions"].isNull(), docs[f"`{text}`"]).otherwise(kept)
     columns = [rest.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*columns, *([F.coalesce(F.size("__positions"), F.lit(0)).cast("long").alias(removed)] if removed else []))
+    return joined.select(*columns, *([F.coalesce(F.size(gone["__positions"]), F.lit(0)).cast("long").alias(removed)] if removed else []))

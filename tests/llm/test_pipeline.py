@@ -75,3 +75,17 @@ def test_mix(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Extra columns keep their names and values; stages take tables without rows."""
+    extra = ["n_removed", "__positions", "__id", "__gone", "__overlaps", "has_letter", "hash", "key", "bands", "position", "size", "number", "taken", "tokens", "content", "version"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").withColumns({c: F.lit(f"mine {c}") for c in extra})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*extra).collect()} == {tuple(f"mine {c}" for c in extra)}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, SF).columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert last(spark, docs.limit(0), SF).count() == 0
