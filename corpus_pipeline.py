@@ -24,7 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on ten or more sources go but for their first place; so do documents of which nothing is left."""
-    clean = line_dedup.cleaned(docs, removed="n_removed").where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    removed = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    clean = line_dedup.cleaned(docs, removed=removed)
+    clean = clean.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     columns = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return clean.select(*columns)
 
