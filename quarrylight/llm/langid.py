@@ -144,11 +144,16 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> M
 
 def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model from the labelled documents where ``usable`` (over doc_id) holds."""
-    rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
+    rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & (F.col("lang") != ""))
+    # A share of each language that leaves about three times the sample goes into the ranking, however many there are.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    span = 1 << 30
+    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n")) * span
+    drawn = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share)  # as many rows as languages
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(span)), "doc_id")
+    ids = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
     n_ids = ids.limit(BROADCAST_IDS + 1).count()
-    rows = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
