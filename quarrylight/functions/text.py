@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All Unicode white space, and the four separators that count as such in text stripping.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"(?U)[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"{BLANK}+\z|\A{BLANK}+", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def fold_ascii(text: Column) -> Column:
@@ -28,7 +29,7 @@ def like_folded(text: Column, needle: str) -> Column:
 
 def first_line_title(text: Column, fallback: str, cap: int = 80) -> Column:
     """The stripped first line, at most ``cap`` characters and then three dots; the fallback if it is empty."""
-    line = strip(F.element_at(F.split(strip(F.coalesce(text, F.lit(""))), "\n"), 1))
+    line = strip(F.regexp_extract(F.coalesce(text, F.lit("")), rf"\A{BLANK}*([^\n]*)", 1))
     capped = F.when(F.length(line) > cap, F.concat(F.left(line, F.lit(cap)), F.lit("..."))).otherwise(line)
     return F.when(line == "", F.lit(fallback)).otherwise(capped)
 
