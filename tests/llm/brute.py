@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import re
+from collections import Counter
 
 from quarrylight.llm import decontaminate as dc
 
@@ -24,8 +25,11 @@ def overlap(doc, item, masks=dc.MASKS, window=dc.WINDOW, substitutions=dc.SUBSTI
         return None
     if len(t) < min(map(len, masks)):
         return len(t) if any(d[i : i + len(t)] == t for i in range(len(d) - len(t) + 1)) else None
-    length, best = min(len(t), window), None
-    for diagonal in range(-len(t) + 1, len(d)):
+    length, best, places = min(len(t), window), None, {}
+    for i, x in enumerate(d):
+        places.setdefault(x, []).append(i)
+    shared = Counter(i - j for j, x in enumerate(t) for i in places.get(x, ()))
+    for diagonal in (g for g, n in shared.items() if n >= min(m.count("1") for m in masks)):  # others can't hit
         equal = {j: d[j + diagonal] == t[j] for j in range(max(0, -diagonal), min(len(t), len(d) - diagonal))}
         for j in equal:
             if any(all(bit == "0" or equal.get(j + p, False) for p, bit in enumerate(m)) and j + len(m) - 1 in equal for m in masks):
