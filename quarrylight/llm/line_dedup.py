@@ -28,7 +28,7 @@ NEAR = 0.1
 
 
 def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\v\f\r"))
 
 
 def spread(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
