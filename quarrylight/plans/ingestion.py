@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import ingest
 from ..sources import files
 from .registry import Registry
-from .tables import bare, table
+from .tables import bare, dealt, table
 
 registry = Registry()
 query = registry.query
@@ -22,7 +22,7 @@ def _sentences_sql(text: str) -> str:
 
 @query(f"SELECT doc_id, i AS position, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql('text')} AS s FROM documents))")
 def sentence_split(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("position", "sentence"))
+    s = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("position", "sentence"))
     return s.withColumn("position", (F.col("position") + 1).cast("long"))
 
 
@@ -47,7 +47,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER
 
 
 def _chunks(spark, sf_dir, text, target, overlap):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunks(text, target, overlap)).alias("chunk_index", "content"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(tx.chunks(text, target, overlap)).alias("chunk_index", "content"))
 
 
 @query(_chunks_sql("text", 2000, 200))
@@ -67,7 +67,7 @@ SELECT sha256(doc_id || ':' || chunk_index) AS id, doc_id, left('doc-' || doc_id
   'chunk_' || (chunk_index + 1) || '_of_' || n AS tag, content FROM n""")
 def numbered_chunks(spark, sf_dir):
     """Chunks as drawers with stable ids."""
-    d = table(spark, sf_dir, "documents").withColumn("base", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    d = dealt(table(spark, sf_dir, "documents")).withColumn("base", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
     return ingest.numbered_chunks(d, key="doc_id", text="text", base="base").select("id", "doc_id", "room", "title", "tag", "content")
 
 
@@ -92,7 +92,7 @@ def wings_of_paths(spark, sf_dir):
 @query()
 def html_to_markdown(spark, sf_dir):
     """Raw pages as markdown."""
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    pages = dealt(table(spark, sf_dir, "pages")).select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return files.parsed(pages).select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id"), F.col("text").alias("markdown"), "error")
 
 

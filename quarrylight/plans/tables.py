@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(frame: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores.
+
+    A table of one small file is one task.  Where a scan gives fewer tasks than cores its rows are
+    dealt out, for work that costs more per row than a shuffle does; larger scans are left alone.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: id, title, snippet, tags, wing, room, content."""
     d = table(spark, sf_dir, "documents")
