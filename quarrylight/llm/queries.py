@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, ctw, decontaminate, langid, line_dedup, minhash, mixing, substring_dedup, token_counts, topk
-from .tables import table
+from .tables import documents, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over four-word shingles."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return minhash.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
 
 OP1_SQL = r"""
@@ -48,12 +48,12 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN best ON node = d.doc_i
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the public 32k piece vocabulary."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_vocabulary())
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.read_vocabulary())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of the labelled ones."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = langid.bucket_of(F.col("doc_id"), 4) == 2
     model = langid.learn(docs, ~held_out)
     return langid.identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
@@ -86,7 +86,7 @@ FROM escaped GROUP BY conv_id
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap."""
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 #: Masks, window and substitutions are the operator's.
@@ -108,19 +108,19 @@ SELECT DISTINCT doc_id, item_id, e::BIGINT AS n_equal, n::BIGINT AS n_compared F
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources, at weights 5, 2, 1 repeating, takes of each document."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(documents(spark, sf_dir))
 
 
 def op7_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under context-tree weighting and under word frequencies."""
     held_out = langid.bucket_of(F.col("doc_id"), 5) == 1
-    scores = ctw.score(table(spark, sf_dir, "documents"), ~held_out)
+    scores = ctw.score(documents(spark, sf_dir), ~held_out)
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that spread over ten or more sources."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return line_dedup.cleaned(docs, removed="n_removed").select("doc_id", "n_removed", "text")
 
 
@@ -160,7 +160,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without 20-word windows that occurred before."""
-    return substring_dedup.removed_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.removed_spans(documents(spark, sf_dir))
 
 
 OP10_SQL = r"""
