@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import decontaminate, langid, line_dedup, minhash, mixing
 from quarrylight.llm.shared import Scratch
-from quarrylight.llm.tables import table
+from quarrylight.llm.tables import documents, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
