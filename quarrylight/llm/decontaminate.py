@@ -9,8 +9,11 @@ covers the hit has at least ``window - substitutions`` equal tokens.
 
 Tokens are the runs of letters and digits of the lower-cased text, so case, punctuation and
 line breaks don't hide an overlap.  Benchmark texts shorter than ``window`` tokens are
-compared in full, with substitutions in proportion; those shorter than every mask are
-compared as a whole through one hash of all their tokens (no substitutions).
+compared in full, with substitutions in proportion: they are cut into one piece more than
+substitutions are allowed, so that some piece is intact, and the pieces are their seeds.
+Those shorter than every mask are compared as a whole through one hash of all their tokens
+(no substitutions).  So no overlap is without a seed under the default masks; for another
+``window`` or ``substitutions``, the masks have to be chosen to match.
 
 Defined results: a text that is null, empty or without a token overlaps nothing; a null id
 takes part like any other; repeated benchmark texts are searched once and reported under
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import own_columns
 
 #: Ones are compared, zeros ignored.  With these, a run of 13 tokens keeps a matching position
-#: under any two substitutions and 262 of the 286 ways to place three; a run of 20, under any four.
-MASKS = ("111111", "11011011", "1110000111", "101100111")
+#: under each of the 286 ways to place three substitutions.
+MASKS = ("111111", "11011011", "1110000111", "101100111", "11001010011", "1110111", "11110011")
 WINDOW = 13
 SUBSTITUTIONS = 3
 #: Up to so many seed rows (about 40 bytes each) the benchmark's hashes are broadcast.
@@ -61,6 +64,12 @@ def _seeds(frame: DataFrame, masks: tuple[str, ...], keep: list[str], start: str
     return frame.select(*keep, start, F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
+def _pieces(length: int, number: int) -> list[tuple[int, str]]:
+    """So many pieces of a text of ``length`` tokens, as even as they come: start and mask."""
+    edges = [length * p // number for p in range(number + 1)]
+    return [(low, "1" * (high - low)) for low, high in zip(edges, edges[1:], strict=False)]
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -86,21 +95,28 @@ def overlaps(
     documents = _tokens(own_columns(docs, doc_id=doc_id, text=text), "doc_id")
 
     shortest = min(map(len, masks))
-    sought = _seeds(items.select("item_key", F.col("item_tokens").alias("tokens")), masks, ["item_key", "tokens"], "j").select("item_key", "j", "key")
+    size = F.size("item_tokens")
+    lengths = sorted(r["length"] for r in items.where(size < max(window, shortest)).select(size.alias("length")).distinct().collect())  # fewer than the window's tokens
+    pieces = {n: _pieces(n, n * substitutions // window + 1) for n in lengths if n >= shortest}
+    every = masks + tuple(sorted({mask for found in pieces.values() for _, mask in found} - set(masks)))
+    sought = _seeds(items.where(size >= max(window, shortest)).select("item_key", F.col("item_tokens").alias("tokens")), masks, ["item_key", "tokens"], "j").select("item_key", "j", "key")
+    for n, found in pieces.items():
+        seeds = F.array(*(F.struct(F.lit(j).alias("j"), _seed(F.col("item_tokens"), F.lit(j), every.index(mask), mask).alias("key")) for j, mask in found))
+        sought = sought.unionByName(items.where(size == n).select("item_key", F.inline(seeds)))
     tiny = items.where(F.size("item_tokens") < shortest).select("item_key", F.size("item_tokens").alias("length"), F.xxhash64("item_tokens").alias("key"))
     n_seeds = sought.limit(broadcast_seeds + 1).count()
     small = n_seeds <= broadcast_seeds
     sought = F.broadcast(sought) if small else sought
 
-    at = _seeds(documents, masks, ["doc_id", "tokens"], "i")
+    at = _seeds(documents, every, ["doc_id", "tokens"], "i")
     hits = at.join(sought, "key").select("doc_id", "tokens", "i", "item_key", "j")
     # The document's tokens on the hit's diagonal, at most `window` to either side of the hit's
     # start; nothing longer leaves the row.
     reach = window + max(map(len, masks))
     first = F.greatest(F.lit(0), F.col("j") - reach, F.col("j") - F.col("i"))
     hits = hits.select("doc_id", "item_key", "j", first.alias("from_j"), F.slice("tokens", F.col("i") - F.col("j") + first + 1, F.col("j") - first + reach).alias("part"))
-    pieces = items.where(F.size("item_tokens") >= shortest).select("item_key", "item_tokens")  # each has as many seeds as tokens, nearly
-    laid = hits.join(F.broadcast(pieces) if small else pieces, "item_key")
+    texts = items.where(size >= shortest).select("item_key", "item_tokens")  # each has at least a seed for every six tokens
+    laid = hits.join(F.broadcast(texts) if small else texts, "item_key")
     equal = F.zip_with("part", F.slice("item_tokens", F.col("from_j") + 1, F.size("part")), lambda a, b: F.when(a == b, 1).otherwise(0))
     laid = laid.select("doc_id", "item_key", "j", "from_j", equal.alias("equal"), F.least(F.size("item_tokens"), F.lit(window)).alias("length"), F.size("item_tokens").alias("item_size"))
     # Runs of `length` aligned tokens that lie in both texts and cover the hit's first token.
@@ -113,7 +129,7 @@ def overlaps(
     found = laid.where(F.col("n_equal") >= F.col("length") - allowed).groupBy("doc_id", "item_key").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("length").cast("long").alias("n_compared"))
 
     few = tiny.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    for length in sorted(r["length"] for r in tiny.select("length").distinct().collect()):  # under the shortest mask's few tokens
+    for length in (n for n in lengths if n < shortest):  # under the shortest mask's few tokens
         spans = F.when(F.size("tokens") >= length, F.sequence(F.lit(1), F.size("tokens") - length + 1))
         whole = documents.select("doc_id", "tokens", F.explode(spans).alias("i"))
         whole = whole.select("doc_id", F.xxhash64(F.slice("tokens", F.col("i"), length)).alias("key"))
