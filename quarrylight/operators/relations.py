@@ -23,10 +23,9 @@ def inherit(frame: DataFrame, related: DataFrame, foreign: str, key: str, column
 
 
 def fan_out(frame: DataFrame, channels: DataFrame, variants: Sequence[str], most_channels: int = 10_000) -> DataFrame:
-    """Every row with every channel and variant.  The channels are sent to all executors; their number is checked."""
-    if channels.limit(most_channels + 1).count() > most_channels:
-        raise ValueError(f"more than {most_channels} channels")
-    return frame.crossJoin(F.broadcast(channels)).withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    """Every row with every channel and variant.  Up to ``most_channels`` channels are sent to all executors; more meet the rows part by part."""
+    few = channels.limit(most_channels + 1).count() <= most_channels
+    return frame.crossJoin(F.broadcast(channels) if few else channels).withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
 
 
 #: Prefixes of media types and their folders, in the order in which they are tried.

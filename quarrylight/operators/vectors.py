@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.vectors import METRICS
 
 
+def _grid(rows: DataFrame, queries: DataFrame, k: int, metric: str, key: str, vector: str, rows_per_cell: int, blocks: int) -> DataFrame:
+    """The k nearest of each cell of rows for each query, with their distance.
+
+    Rows are dealt into cells and a cell is one array, which the queries of a block meet one
+    by one; of each meeting only k rows are kept, so pairs are never laid out as rows.
+    """
+    across = max(1, -(-rows.count() // rows_per_cell))
+    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    cells = rows.select(deal(across).alias("x"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    cells = cells.groupBy("x").agg(F.collect_list("row").alias("cell")).select("x", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
+    asked = queries.select("query_id", "query_vector", deal(blocks).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"))
+    ranks = F.transform("cell", lambda row, i: F.struct(METRICS[metric](row[vector], F.col("query_vector")).alias("distance"), row[key].alias("key"), i.alias("i")))
+    met = asked.join(cells, ["x", "y"]).select("query_id", "cell", F.explode(F.slice(F.array_sort(ranks), 1, k)).alias("best"))
+    return met.select(F.get("cell", F.col("best.i")).alias("row"), "query_id", F.col("best.distance").alias("distance")).select("row.*", "query_id", "distance")
+
+
 def nearest(
     frame: DataFrame,
     queries: DataFrame,
@@ -20,19 +36,21 @@ def nearest(
     key: str = "id",
     vector: str = "embedding",
     most_queries: int = 1000,
+    rows_per_cell: int = 1024,
 ) -> DataFrame:
     """For each query (query_id, query_vector) its k nearest rows, then without those too far or that ``after`` rejects.
 
     ``before`` restricts what is searched.  Filters behind the top k don't make it look further, so
-    fewer than k rows are normal.  The queries are sent to all executors: at most ``most_queries``
-    of them, which is checked.  Each partition keeps only its k best per query before the shuffle.
+    fewer than k rows are normal.  Up to ``most_queries`` queries are sent to all executors, and each
+    partition keeps only its k best per query before the shuffle; more are dealt into blocks of about
+    so many, and the blocks meet the rows, ``rows_per_cell`` at a time, in a grid.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in parts")
     rows = frame if before is None else frame.where(before)
-    pairs = rows.crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
-    pairs = pairs.withColumn("distance", METRICS[metric](F.col(vector), F.col("query_vector"))).drop("query_vector")
+    if queries.limit(most_queries + 1).count() <= most_queries:
+        pairs = rows.crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
+        pairs = pairs.withColumn("distance", METRICS[metric](F.col(vector), F.col("query_vector"))).drop("query_vector")
+    else:
+        pairs = _grid(rows, queries, k, metric, key, vector, rows_per_cell, -(-queries.count() // most_queries))
     place = Window.partitionBy("query_id").orderBy("distance", key)
     top = pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
     top = top.where(F.col("distance") <= max_distance)
