@@ -126,12 +126,13 @@ def retention(spark, sf_dir):
 @query(registry.oracles["rate_limit"])
 def streamed_rate_limit(spark, sf_dir):
     """The same limiter over a stream of events with state per user."""
-    from ..streaming.jobs import limited_stream
-    from ..streaming.once import run_once
+    from ..streaming.jobs import limit_stream, verdicts
+    from ..streaming.once import new_folder
 
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
-    out = run_once(limited_stream(events, window_seconds=86400, most=5))
-    return out.select(F.col("user").alias("user_id"), F.col("id").alias("event_id"), "accepted")
+    folder = new_folder(spark)
+    limit_stream(events, f"{folder}/out", f"{folder}/state", window_seconds=86400, most=5, once=True).awaitTermination()
+    return verdicts(spark, f"{folder}/out").select(F.col("user").alias("user_id"), F.col("id").alias("event_id"), "accepted")
 
 
 @query("SELECT day, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type FROM events) WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY day, event_type")

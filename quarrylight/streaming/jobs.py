@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import gated, numbered_chunks, wing_of
 from ..sources.files import PARSERS, extension, parsed
@@ -50,24 +49,64 @@ def ingest_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str, *,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def limited_stream(events: DataFrame, *, user: str = "user_id", time: str = "ts", key: str = "event_id", window_seconds: float = 60, most: int = 30) -> DataFrame:
+def passed(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Verdicts on rows (user, micros, id, kept) that are sorted by user, with a user's kept times, if any, in its first row.
+
+    A batch's verdicts leave before the next batch is read; after a user's last row its kept times follow.
+    """
+    current, kept, began = None, [], False
+    for batch in batches:
+        users, ids, verdicts, states = [], [], [], []
+
+        def put(user, key, verdict, state, users=users, ids=ids, verdicts=verdicts, states=states) -> None:
+            users.append(user)
+            ids.append(key)
+            verdicts.append(verdict)
+            states.append(state)
+
+        for user, now, key, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not began or user != current:
+                if began:
+                    put(current, None, None, kept)
+                current, kept, began = user, [], True
+            if before is not None:
+                kept = before
+                continue
+            kept = [t for t in kept if now - t < span]
+            verdict = len(kept) < most
+            if verdict:
+                kept.append(now)
+            put(user, key, verdict, None)
+        yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(ids, pa.int64()), pa.array(verdicts, pa.bool_()), pa.array(states, pa.list_(pa.int64()))], _NAMES)
+    if began:
+        yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([kept], pa.list_(pa.int64()))], _NAMES)
+
+
+_NAMES = ["user", "id", "accepted", "kept"]
+_VERDICTS = "user long, id long, accepted boolean, kept array<long>"
+
+
+def limit_stream(events: DataFrame, out: str, checkpoint: str, *, user: str = "user_id", time: str = "ts", key: str = "event_id", window_seconds: float = 60, most: int = 30, once: bool = False) -> StreamingQuery:
     """The rate limiter over a stream: each event's key and whether it is accepted, in time order within a batch.
 
-    The state of a user is the accepted times still in the window, at most ``most``.
+    A user's rows pass as a sorted stream, never as a group.  The state of a user is the accepted
+    times still in the window, at most ``most``; it is written with a batch's verdicts and is the
+    next one's beginning.  A batch that is run again overwrites what it wrote.  ``verdicts`` reads them.
     """
     span = int(window_seconds * 1_000_000)
+    rows = events.select(F.col(user).alias("user"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"), F.col(key).alias("id"), F.lit(None).cast("array<long>").alias("kept"))
 
-    def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(frames).sort_values(["micros", "id"])
-        verdicts = []
-        for now in rows["micros"]:
-            kept = [t for t in kept if now - t < span]
-            verdicts.append(len(kept) < most)
-            if verdicts[-1]:
-                kept.append(int(now))
-        state.update((kept,))
-        yield pd.DataFrame({"user": group[0], "id": rows["id"].to_numpy(), "accepted": verdicts})
-
-    rows = events.select(F.col(user).alias("user"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"), F.col(key).alias("id"))
-    return rows.groupBy("user").applyInPandasWithState(fold, "user long, id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    def store(batch: DataFrame, number: int) -> None:
+        if number:
+            last = batch.sparkSession.read.schema(_VERDICTS).parquet(f"{out}/batch={number - 1}").where(F.col("kept").isNotNull())
+            batch = batch.unionByName(last.select("user", F.lit(None).cast("long").alias("micros"), F.lit(None).cast("long").alias("id"), "kept"))
+        ordered = batch.repartition("user").sortWithinPartitions("user", F.col("kept").isNull(), "micros", "id")
+        ordered.mapInArrow(lambda batches: passed(batches, span, most), _VERDICTS).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def verdicts(spark: SparkSession, out: str) -> DataFrame:
+    """What ``limit_stream`` wrote: user, id, accepted."""
+    return spark.read.schema(_VERDICTS).parquet(out).where(F.col("accepted").isNotNull()).select("user", "id", "accepted")

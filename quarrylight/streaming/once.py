@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder that all executors share: below ``spark.checkpoint.dir``, or our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -26,7 +26,7 @@ def _folder(spark: SparkSession) -> str:
 def run_once(stream: DataFrame) -> DataFrame:
     """All rows that an append-mode stream gives for the input at hand."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark)
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
