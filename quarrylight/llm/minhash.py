@@ -11,13 +11,19 @@ start.  In a first round each bucket's members are compared with its hub, the me
 buckets are largest (in a group of copies of one text, that text), or for large buckets with the
 best hub of its hub's buckets.  Groups of what was verified
 are then found, and only members that are still in different groups give pairs in the second
-round.  Buckets of up to ``SMALL`` members give those pairs directly.  In larger ones the
-sets' differences from the hub are joined: for sets x and y with differences X and Y from the
-same hub, |x ^ y| = |X| + |Y| - 2 |X & Y|, so a similar pair must share that many elements of its
-differences, hence one among the first few of each in any fixed order (a prefix filter).
-Differences of edited copies are mostly elements that no other copy has, and these come first.
+round.  Buckets of up to ``SMALL`` members give those pairs directly.  The members of larger
+ones, a family around a hub, are known by their sets' differences from the hub, with which links
+are counted exactly: for sets x and y with differences X and Y from one hub,
+|x ^ y| = |X| + |Y| - 2 |X & Y|.  So a similar pair shares an element among the first few of each
+difference in any fixed order (a prefix filter); what the hub lacks comes first, which in edited
+copies is mostly what no other copy has.  Members that share such an element are a smaller
+family.  One with up to ``SMALL`` members gives its pairs; in a larger one all members
+are compared with a pivot, the one nearest to the hub, differences are taken from the pivot
+(X ^ P, without the edits that all share), and the family is divided again.  Each step is
+linear in a family's members, and members linked to a pivot count as one group from then on.
+After ``DIVISIONS`` steps what is left gives its pairs, whatever its size.
 So every pair that shares a bucket is verified, or known to be connected, or ruled out by an
-exact bound.  Before texts are fetched for pairs of small buckets or of the second round, pairs
+exact bound.  Before texts are fetched for pairs of small buckets, pairs
 are left out whose set sizes rule the threshold out, and those whose signatures agree on
 so few coordinates that a similar pair would do so less than once in a million.
 
@@ -45,32 +51,34 @@ from .shared import Scratch, own_columns
 from .tokens import chunks, mix64, ngram_hashes
 
 BANDS, ROWS_PER_BAND = 32, 4
-#: Members up to which a bucket gives its pairs of different groups directly.
+#: Members up to which a bucket or family gives its pairs of different groups directly.
 SMALL = 32
+#: Times that a family is divided before it gives its pairs.
+DIVISIONS = 8
 _SHINGLES_AT_ONCE = 1024
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
-    """The second permutation of 32-bit integers, in place."""
+def _permuted(x: np.ndarray, one: int, two: int) -> np.ndarray:
+    """A permutation of 32-bit integers (odd factors ``one`` and ``two``), in place."""
     t = x >> np.uint32(16)
     x ^= t
-    x *= np.uint32(0x7FEB352D)
+    x *= np.uint32(one)
     np.right_shift(x, np.uint32(15), out=t)
     x ^= t
-    x *= np.uint32(0x846CA68B)
+    x *= np.uint32(two)
     np.right_shift(x, np.uint32(16), out=t)
     x ^= t
     return x
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """Minima of the circularly shifted second permutation over the set; the hashes' high halves are its first permutation."""
-    first = (shingles >> np.uint64(32)).astype(np.uint32)
+    """Minima of the circularly shifted second permutation over the set under the first."""
+    first = _permuted((shingles >> np.uint64(32)).astype(np.uint32), 0x21F0AAAD, 0xD35A2D97)
     shifts = np.arange(coordinates, dtype=np.uint32)[:, None]
     out = np.full(coordinates, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(first), _SHINGLES_AT_ONCE):
         part = first[None, at : at + _SHINGLES_AT_ONCE] - shifts
-        np.minimum(out, _permuted(part).min(axis=1), out=out)
+        np.minimum(out, _permuted(part, 0x7FEB352D, 0x846CA68B).min(axis=1), out=out)
     return out
 
 
@@ -135,60 +143,116 @@ def _share(percent: int) -> float:
     return (100 - percent) / (100 + percent)
 
 
-def _prefix(own: np.ndarray, hub: np.ndarray, linked: bool, percent: int) -> tuple[int, np.ndarray]:
-    """The size of the sets' difference, and its first elements, as many as a similar pair may need.
+def _difference(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """Elements of one set only: those that the hub lacks, then those that only the hub has, each by value."""
+    return np.concatenate((np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)))
+
+
+def _recentred(own: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """The difference from a pivot, from both differences from a hub: elements that the pivot's lacks first, in their order."""
+    return np.concatenate((own[~np.isin(own, pivot)], pivot[~np.isin(pivot, own)]))
+
+
+def _linked(difference: int, sizes: int, percent: int) -> bool:
+    """Whether sets with so large a difference and sum of sizes reach the threshold."""
+    return difference < sizes and 100 * (sizes - difference) >= percent * (sizes + difference)
+
+
+def _prefix_length(size: int, n: int, n_hub: int, linked: bool, percent: int) -> int:
+    """How many first elements of a difference of so many a similar pair in different groups may need.
 
-    Elements that the hub lacks come first, then those that only the hub has, each by value.
     Of a pair in different groups one is not linked to the hub, so its difference is over
     ``f * (its size + hub's size)``; with that, the needed overlap is at least half of what a
     linked one has in its difference.
     """
-    new, lost = np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)
-    size, f = len(new) + len(lost), _share(percent)
+    f = _share(percent)
     if linked:
-        length = size - int(np.ceil((size + f * (len(hub) - len(own))) / 2 - 1e-9)) + 1
+        length = size - int(np.ceil((size + f * (n_hub - n)) / 2 - 1e-9)) + 1
     else:
-        length = int(f * len(own) * (1 + 100 / percent) + 1e-9) + 1
-    return size, np.concatenate((new, lost))[: max(0, min(size, length))]
+        length = int(f * n * (1 + 100 / percent) + 1e-9) + 1
+    return max(0, min(size, length))
 
 
 def compared(pairs: DataFrame, texts: DataFrame, percent: int, words: int, lower: bool) -> DataFrame:
-    """For pairs (a, b, large): linked (the full sets reach the threshold) and, if large, the sizes n_a and n_b, the
-    size d of the difference, and its prefix."""
+    """For pairs (a, b, large): linked (the full sets reach the threshold) and, if large, the size n of a's set, its
+    difference from b's, and the length of the prefix."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "large", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, sizes, prefixes = [], [], []
+            linked, sizes, lengths, differences = [], [], [], []
             for large, x, y in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(3), words, lower), shingle_sets(batch.column(4), words, lower), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                d, prefix = _prefix(x, y, linked[-1], percent) if large else (None, None)
-                sizes.append((len(x), len(y), d))
-                prefixes.append(None if prefix is None else prefix.view(np.int64))
-            numbers = [pa.array([s[i] for s in sizes], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), *numbers, pa.array(prefixes, pa.list_(pa.int64()))], ["a", "b", "large", "linked", "n_a", "n_b", "d", "prefix"])
+                difference = _difference(x, y) if large else None
+                sizes.append(len(x))
+                lengths.append(_prefix_length(len(difference), len(x), len(y), linked[-1], percent) if large else None)
+                differences.append(difference.view(np.int64) if large else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(differences, pa.list_(pa.int64()))], ["a", "b", "large", "linked", "n", "length", "difference"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return whole.mapInArrow(check, f"a {kind}, b {kind}, large boolean, linked boolean, n_a long, n_b long, d long, prefix array<long>")
+    return whole.mapInArrow(check, f"a {kind}, b {kind}, large boolean, linked boolean, n long, length long, difference array<long>")
 
 
-def _differing(families: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups whose differences from a common hub share an element of their prefixes.
+def _around_pivots(members: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Members (family, doc_id, n, component, difference) but their family's pivot, compared with it: linked, pivot,
+    and difference, length and component anew."""
+    own = ["family", "doc_id", "n", "component", "difference"]
+    pivots = members.groupBy("family").agg(F.min(F.struct(F.size("difference").alias("d"), "doc_id", "n", "component", "difference")).alias("p"))
+    pivots = scratch.keep(pivots.select("family", "p.*").drop("d").toDF("family", *(f"pivot_{c}" for c in own[1:])), name)
+    wide = members.join(pivots, "family").where(F.col("doc_id") != F.col("pivot_doc_id")).select(*own, *(f"pivot_{c}" for c in own[1:]))
 
-    ``families`` has hub, doc_id, n, d, prefix, linked and component.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, lengths, differences = [], [], []
+            n, pivot_n = (batch.column(c).to_pylist() for c in ("n", "pivot_n"))
+            for i in range(batch.num_rows):
+                difference = _recentred(*(batch.column(c)[i].values.to_numpy() for c in ("difference", "pivot_difference")))
+                linked.append(_linked(len(difference), n[i] + pivot_n[i], percent))
+                lengths.append(_prefix_length(len(difference), n[i], pivot_n[i], linked[-1], percent))
+                differences.append(difference)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "doc_id", "n", "component", "pivot_doc_id", "pivot_component")), pa.array(linked, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(differences, pa.list_(pa.int64()))], ["family", "doc_id", "n", "old", "pivot", "new", "linked", "length", "difference"])
+
+    kind = members.schema["doc_id"].dataType.simpleString()
+    found = wide.mapInArrow(compare, f"family string, doc_id {kind}, n long, old {kind}, pivot {kind}, new {kind}, linked boolean, length long, difference array<long>")
+    return found.select("family", "doc_id", "n", "linked", "length", "difference", "pivot", F.when(F.col("linked"), F.col("new")).otherwise(F.col("old")).alias("component"))
+
+
+def family_links(families: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:
+    """Tables of links (a, b) that tie all similar members of different components of a family together.
+
+    ``families`` has family, doc_id, n, component, linked (to the hub), length (of the prefix) and difference (from the hub).
     """
-    parts = families.select("hub", "doc_id", "n", "d", "linked", "component", F.posexplode("prefix").alias("place", "element"))
-    one = parts.where(~F.col("linked")).select("hub", "element", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "d", "component", "place")))
-    two = parts.select("hub", "element", "linked", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "d", "component", "place")))
-    needed = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - F.lit(_share(percent)) * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-9))
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    early = (F.col("place_a") <= F.col("d_a") - needed) & (F.col("place_b") <= F.col("d_b") - needed)
-    once = F.col("linked") | (F.col("doc_id_a") < F.col("doc_id_b"))
-    pairs = one.join(two, ["hub", "element"]).where((F.col("component_a") != F.col("component_b")) & fits & early & once)
-    return pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
+    links: list[DataFrame] = []
+    for turn in range(DIVISIONS + 1):
+        parts = families.select("family", "doc_id", "component", F.explode(F.slice("difference", 1, F.col("length").cast("int"))).alias("element"))
+        groups = parts.groupBy("family", "element").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("doc_id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("two"))
+        groups = groups.where("x <> y").groupBy("family", "size", "one", "two").agg(F.min("element").alias("element"))  # elements with the same members once
+        groups = scratch.keep(groups.select("family", "element", "size", F.md5(F.concat_ws(" ", "family", "element").cast("binary")).alias("part")), f"groups-{turn}")
+        placed = parts.select("family", "doc_id", "element").join(groups, ["family", "element"]).select("family", "doc_id", "size", "part")
+        members = placed.join(families.select("family", "doc_id", "n", "component", "linked", "difference"), ["family", "doc_id"])
+        members = scratch.keep(members.select(F.col("part").alias("family"), "size", "doc_id", "n", "component", "linked", "difference"), f"members-{turn}")
+        direct = members if turn == DIVISIONS else members.where(F.col("size") <= SMALL)
+        one = direct.where(~F.col("linked")).select("family", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "component", "difference")))
+        two = direct.select("family", "linked", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component", "difference")))
+        sizes = F.col("n_a") + F.col("n_b")
+        d_a, d_b = F.size("difference_a"), F.size("difference_b")
+        once = F.col("linked") | (F.col("doc_id_a") < F.col("doc_id_b"))
+        apart = F.abs(d_a - d_b)
+        possible = (apart < sizes) & (100 * (sizes - apart) >= percent * (sizes + apart))
+        difference = d_a + d_b - 2 * F.size(F.array_intersect("difference_a", "difference_b"))
+        linked = (difference < sizes) & (100 * (sizes - difference) >= percent * (sizes + difference))
+        pairs = one.join(two, "family").where((F.col("component_a") != F.col("component_b")) & once & possible & linked)
+        links.append(scratch.keep(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), f"family-links-{turn}"))
+        large = members.where(F.col("size") > SMALL)
+        if turn == DIVISIONS or not large.limit(1).count():
+            scratch.drop(f"groups-{turn}", f"members-{turn}")
+            return links
+        families = scratch.keep(_around_pivots(large, percent, scratch, f"pivots-{turn}"), f"divided-{turn}")
+        links.append(families.where("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
@@ -247,25 +311,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     edges = edges.unionByName(met.where("linked").select("a", "b"))
     labels = components(edges, scratch, "components-1")
 
-    # Round 2: pairs of different groups in buckets that still hold several.
+    # Round 2: pairs of different groups, in large buckets' families and in small buckets that still hold several.
     component = F.coalesce("component", "doc_id").alias("component")
     named_labels = labels.withColumnRenamed("node", "doc_id")
-    owned = scratch.keep(shared.where(F.col("size") <= SMALL).join(named_labels, "doc_id", "left").select("key", "doc_id", "n_shingles", component), "owned")
+    families = met.where("large").select(F.col("b").cast("string").alias("family"), F.col("b").alias("hub"), F.col("a").alias("doc_id"), "n", "length", "difference", "linked")
+    families = scratch.keep(families.join(named_labels, "doc_id", "left").select("family", "hub", "doc_id", "n", "length", "difference", "linked", component), "families")
+    more = family_links(families.drop("hub"), percent, scratch) if families.limit(1).count() else []
+    in_families = families.select("doc_id", "hub").unionByName(families.select(F.col("hub").alias("doc_id"), "hub")).groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
+    owned = shared.where(F.col("size") <= SMALL).join(named_labels, "doc_id", "left").join(in_families, "doc_id", "left").select("key", "doc_id", "n_shingles", "hubs", component)
+    owned = scratch.keep(owned, "owned")
     mixed = scratch.keep(owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "mixed")
-    one, two = (owned.join(mixed, "key").select("key", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    cross = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    families = met.where("large").select(F.col("b").alias("hub"), F.col("a").alias("doc_id"), F.col("n_a").alias("n"), "d", "prefix", "linked")
-    families = scratch.keep(families.join(named_labels, "doc_id", "left").select("hub", "doc_id", "n", "d", "prefix", "linked", component), "families")
-    cross = cross.unionByName(_differing(families, percent)).distinct()
+    one, two = (owned.join(mixed, "key").select("key", F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("hubs").alias(f"hubs_{x}")) for x in "ab")
+    known = F.coalesce(F.arrays_overlap("hubs_a", "hubs_b"), F.lit(False))  # their family has settled it
+    cross = one.join(two, "key").where((F.col("c_a") < F.col("c_b")) & fits & ~known).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     cross = scratch.keep(agreeing(cross).join(done, ["a", "b"], "left_anti").withColumn("large", F.lit(False)), "tried-2")
     if cross.limit(1).count():
-        more = scratch.keep(compared(cross, texts, percent, shingle_words, lower).where("linked").select("a", "b"), "edges-2")
-        labels = components(edges.unionByName(more), scratch, "components-2")
+        more.append(scratch.keep(compared(cross, texts, percent, shingle_words, lower).where("linked").select("a", "b"), "edges-2"))
+    for links in more:
+        edges = edges.unionByName(links)
+    if any(links.limit(1).count() for links in more):
+        labels = components(edges, scratch, "components-2")
 
     result = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     result = scratch.keep(result.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result")
-    scratch.drop("placed", "groups", "nodes", "sizes", "shared", "local-hubs", "hubs", "star", "tried-1", "met-1", "owned", "mixed", "families", "tried-2", "edges-0", "edges-2")
+    scratch.keep_only("result")
     return result
 
 

@@ -1,13 +1,14 @@
 """Tables that jobs write on the way, in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Where that is unset (tests, one
-machine) a folder of this process is made and removed at exit.  A written table cuts the
+The folder is the session's ``spark.checkpoint.dir``.  Where that is unset on a local master (tests,
+one machine) a folder of this process is made and removed at exit; on a cluster it has to be set.  A written table cuts the
 lineage: a lost executor costs only the running stage, never what came before it.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,10 +20,12 @@ _jobs: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own if it is unset."""
+    """``spark.checkpoint.dir`` of the session, or on a local master a folder of our own if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quarrylight-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -39,10 +42,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         _jobs.append(self)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
+        self.names.append(name)
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
@@ -53,9 +58,20 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def clear() -> None:
-    """Removes all tables of this process's jobs; frames that they returned can't be read any more."""
-    while _jobs:
+    def keep_only(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(n for n in self.names if n not in names))
+        self.names = list(names)
+
+
+def jobs() -> int:
+    """How many jobs of this process have tables; a mark for ``clear``."""
+    return len(_jobs)
+
+
+def clear(since: int = 0) -> None:
+    """Removes all tables of this process's jobs, or of those begun after the mark; frames that they returned can't be read any more."""
+    while len(_jobs) > since:
         _jobs.pop().drop("")
 
 

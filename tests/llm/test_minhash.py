@@ -77,7 +77,8 @@ def test_prefixes_of_similar_pairs_meet():
         for own in sets:
             both = len(np.intersect1d(own, hub))
             linked = 100 * both >= 80 * (len(own) + len(hub) - both)
-            rows.append((own, linked, *minhash._prefix(own, hub, linked, 80)))
+            d = minhash._difference(own, hub)
+            rows.append((own, linked, len(d), d[: minhash._prefix_length(len(d), len(own), len(hub), linked, 80)]))
         for (x, lx, dx, px), (y, ly, dy, py) in combinations(rows, 2):
             both = len(np.intersect1d(x, y))
             if 100 * both < 80 * (len(x) + len(y) - both) or (lx and ly) or not dx or not dy:
@@ -86,6 +87,47 @@ def test_prefixes_of_similar_pairs_meet():
             assert set(px[: max(0, dx - needed + 1)].tolist()) & set(py[: max(0, dy - needed + 1)].tolist())
 
 
+def shared_edits(seed, members):
+    """Copies of one text of 40 words with one to three words replaced by one shared word; none reaches the threshold with most others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for _ in range(members):
+        own = list(base)
+        for at in rng.sample(range(40), rng.randint(1, 3)):
+            own[at] = "other"
+        texts.append(" ".join(own) + (f" z{rng.randint(0, members)}" if rng.random() < 0.3 else ""))
+    return texts
+
+
+def test_large_family_with_shared_edits(spark):
+    docs = list(enumerate(shared_edits(5, 2000)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame).collect()}
+    assert got == brute_force(docs, 5)
+
+
+@pytest.mark.parametrize("divisions", [0, 1, 8])
+def test_families_are_divided_without_loss(spark, monkeypatch, divisions):
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "DIVISIONS", divisions)
+    docs = list(enumerate(shared_edits(6, 150) + family(8, 60)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame).collect()}
+    assert got == brute_force(docs, 5)
+
+
+def test_text_longer_than_a_chunk(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 10**7)}" for _ in range(90_000)]  # over 512 KB
+    near = [w if rng.random() > 0.01 else "x" for w in words]
+    docs = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:80_000])), (4, "other words of a short text here")]
+    assert len(docs[0][1]) > 1 << 19
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame).collect()}
+    assert got == brute_force(docs, 5)
+
+
 def test_defined_cases(spark, rows):
     docs = spark.createDataFrame([(7, "a b c d e f", 1), (7, "p q r s t u", 2), (9, "p q r s t u", 3), (3, "a b c d e f", 4), (None, "a b c d e f", 5), (11, None, 6), (12, "x", 7), (13, "x", 8)], "doc_id long, text string, n_shingles int")
     got = rows(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept")
