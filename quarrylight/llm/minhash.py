@@ -17,7 +17,7 @@ are counted exactly: for sets x and y with differences X and Y from one hub,
 |x ^ y| = |X| + |Y| - 2 |X & Y|.  So a similar pair shares an element among the first few of each
 difference in any fixed order (a prefix filter); what the hub lacks comes first, which in edited
 copies is mostly what no other copy has.  Members that share such an element are a smaller
-family.  One with up to ``SMALL`` members gives its pairs; in a larger one all members
+family.  One with up to ``PART`` members gives its pairs; in a larger one all members
 are compared with a pivot, the one nearest to the hub, differences are taken from the pivot
 (X ^ P, without the edits that all share), and the family is divided again.  Each step is
 linear in a family's members, and members linked to a pivot count as one group from then on.
@@ -51,8 +51,10 @@ from .shared import Scratch, own_columns
 from .tokens import chunks, mix64, ngram_hashes
 
 BANDS, ROWS_PER_BAND = 32, 4
-#: Members up to which a bucket or family gives its pairs of different groups directly.
+#: Members up to which a bucket gives its pairs of different groups directly.
 SMALL = 32
+#: The same for a part of a family; its pairs are compared where they meet, and only links leave the join.
+PART = 512
 #: Times that a family is divided before it gives its pairs.
 DIVISIONS = 8
 _SHINGLES_AT_ONCE = 1024
@@ -228,13 +230,14 @@ def family_links(families: DataFrame, percent: int, scratch: Scratch) -> list[Da
     links: list[DataFrame] = []
     for turn in range(DIVISIONS + 1):
         parts = families.select("family", "doc_id", "component", F.explode(F.slice("difference", 1, F.col("length").cast("int"))).alias("element"))
+        parts = scratch.keep(parts, f"parts-{turn}")
         groups = parts.groupBy("family", "element").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("doc_id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("two"))
         groups = groups.where("x <> y").groupBy("family", "size", "one", "two").agg(F.min("element").alias("element"))  # elements with the same members once
         groups = scratch.keep(groups.select("family", "element", "size", F.md5(F.concat_ws(" ", "family", "element").cast("binary")).alias("part")), f"groups-{turn}")
         placed = parts.select("family", "doc_id", "element").join(groups, ["family", "element"]).select("family", "doc_id", "size", "part")
         members = placed.join(families.select("family", "doc_id", "n", "component", "linked", "difference"), ["family", "doc_id"])
         members = scratch.keep(members.select(F.col("part").alias("family"), "size", "doc_id", "n", "component", "linked", "difference"), f"members-{turn}")
-        direct = members if turn == DIVISIONS else members.where(F.col("size") <= SMALL)
+        direct = members if turn == DIVISIONS else members.where(F.col("size") <= PART)
         one = direct.where(~F.col("linked")).select("family", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "component", "difference")))
         two = direct.select("family", "linked", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component", "difference")))
         sizes = F.col("n_a") + F.col("n_b")
@@ -246,9 +249,9 @@ def family_links(families: DataFrame, percent: int, scratch: Scratch) -> list[Da
         linked = (difference < sizes) & (100 * (sizes - difference) >= percent * (sizes + difference))
         pairs = one.join(two, "family").where((F.col("component_a") != F.col("component_b")) & once & possible & linked)
         links.append(scratch.keep(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), f"family-links-{turn}"))
-        large = members.where(F.col("size") > SMALL)
+        large = members.where(F.col("size") > PART)
         if turn == DIVISIONS or not large.limit(1).count():
-            scratch.drop(f"groups-{turn}", f"members-{turn}")
+            scratch.drop(*(f"{t}-{n}" for t in ("parts", "groups", "members") for n in range(turn + 1)))
             return links
         families = scratch.keep(_around_pivots(large, percent, scratch, f"pivots-{turn}"), f"divided-{turn}")
         links.append(families.where("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))

@@ -110,6 +110,7 @@ def test_large_family_with_shared_edits(spark):
 @pytest.mark.parametrize("divisions", [0, 1, 8])
 def test_families_are_divided_without_loss(spark, monkeypatch, divisions):
     monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "PART", 5)
     monkeypatch.setattr(minhash, "DIVISIONS", divisions)
     docs = list(enumerate(shared_edits(6, 150) + family(8, 60)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
