@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import decontaminate, langid, line_dedup, minhash, mixing
-from quarrylight.llm.shared import Scratch
+from quarrylight.llm.shared import Scratch, clear, jobs
 from quarrylight.llm.tables import documents, table
 
 
@@ -42,8 +42,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken; documents it doesn't use go."""
-    return mixing.mix(docs).where("taken > 0")
+    """The mixed training set: passages of documents with their texts, in the order of the schedule's slots."""
+    return mixing.mixture(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -59,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what the stages before the last wrote is removed."""
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
+        mark = jobs()
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        clear(since=mark)
+        scratch.keep_only(name)
     return docs

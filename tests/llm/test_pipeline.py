@@ -65,10 +65,13 @@ def test_mix(stages):
     sizes = {}
     for r in stages[4]:
         sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
-    targets, taken = brute_targets(sizes), dict.fromkeys(sizes, 0)
+    targets, taken, by_doc = brute_targets(sizes), dict.fromkeys(sizes, 0), {}
     for r in stages[5]:
-        assert 0 < r["taken"] <= 3 * r["size"]
+        assert 0 < r["taken"] == len(words(r["text"]))
         taken[source[r["doc_id"]]] += r["taken"]
+        by_doc[r["doc_id"]] = by_doc.get(r["doc_id"], 0) + r["taken"]
+    size = {r["doc_id"]: len(words(r["text"])) for r in stages[4]}
+    assert all(n <= 3 * size[d] for d, n in by_doc.items())
     for s in sizes:
         assert taken[s] == pytest.approx(math.floor(targets[s] + 1e-9), abs=1)
 
@@ -87,5 +90,5 @@ def test_clashing_columns_and_empty_tables(spark):
         assert {tuple(r) for r in out.select(*extra).collect()} == {tuple(f"mine {c}" for c in extra)}
         assert stage(spark, docs.limit(0), SF).count() == 0
     last = corpus_pipeline.STAGES[-1][1]
-    assert last(spark, docs, SF).columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert last(spark, docs, SF).columns == ["doc_id", "size", "source_size", "target", "taken", "slot", "place", "text"]
     assert last(spark, docs.limit(0), SF).count() == 0
