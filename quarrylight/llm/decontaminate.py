@@ -59,7 +59,7 @@ def _seeds(frame: DataFrame, masks: tuple[str, ...], keep: list[str], start: str
     shortest = min(map(len, masks))
     # No filter on the size: it would be pushed below the projection and split the text twice.
     places = F.when(F.size("tokens") >= shortest, F.sequence(F.lit(0), F.size("tokens") - shortest))
-    frame = frame.select(*keep, F.explode(places).alias(start))
+    frame = frame.select(*dict.fromkeys([*keep, "tokens"]), F.explode(places).alias(start))
     keys = F.array(*(_seed(F.col("tokens"), F.col(start), i, mask) for i, mask in enumerate(masks)))
     return frame.select(*keep, start, F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
@@ -92,7 +92,8 @@ def overlaps(
     items = items.where(F.size("tokens") > 0).withColumn("item_key", F.xxhash64("tokens"))
     named = items.select("item_key", "item_id")
     items = items.select("item_key", F.col("tokens").alias("item_tokens")).dropDuplicates(["item_key"])
-    documents = _tokens(own_columns(docs, doc_id=doc_id, text=text), "doc_id")
+    named_docs = own_columns(docs, doc_id=doc_id, text=text)
+    documents = _tokens(named_docs, "doc_id")
 
     shortest = min(map(len, masks))
     size = F.size("item_tokens")
@@ -108,8 +109,14 @@ def overlaps(
     small = n_seeds <= broadcast_seeds
     sought = F.broadcast(sought) if small else sought
 
-    at = _seeds(documents, every, ["doc_id", "tokens"], "i")
-    hits = at.join(sought, "key").select("doc_id", "tokens", "i", "item_key", "j")
+    if small:
+        hits = _seeds(documents, every, ["doc_id", "tokens"], "i").join(sought, "key").select("doc_id", "tokens", "i", "item_key", "j")
+    else:  # the places are shuffled without the tokens, which join again where there is a hit
+        versions = named_docs.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
+        versions = _tokens(versions, "row").select(F.col("row.doc_id").alias("doc_id"), F.col("row.version").alias("version"), "tokens")
+        hits = _seeds(versions, every, ["doc_id", "version"], "i").join(sought, "key").select("doc_id", "version", "i", "item_key", "j").distinct()
+        whole = versions.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "tokens")
+        hits = hits.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc_id", "tokens", "i", "item_key", "j")
     # The document's tokens on the hit's diagonal, at most `window` to either side of the hit's
     # start; nothing longer leaves the row.
     reach = window + max(map(len, masks))

@@ -89,17 +89,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-#: Masks, window and substitutions are the operator's.
+#: Without masks: a run of 13 tokens with up to three substitutions, or of 6 to 12 with their share, has three equal
+#: tokens in a row, so all diagonals on which three are equal are compared in full.
 OP5_SQL = r"""
-WITH masks(m, span, ones) AS (VALUES (0, 6, [1,2,3,4,5,6]), (1, 8, [1,2,4,5,7,8]), (2, 10, [1,2,3,8,9,10]), (3, 9, [1,3,4,7,8,9])),
-d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
 b AS (SELECT row_number() OVER () AS s, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT r, m, i, array_to_string(list_transform(ones, lambda o: t[i + o - 1]), ' ') AS seed FROM (SELECT r, t, m, span, ones, unnest(range(1, len(t) - span + 2)) AS i FROM d, masks WHERE len(t) >= span)),
-bs AS (SELECT s, m, j, array_to_string(list_transform(ones, lambda o: t[j + o - 1]), ' ') AS seed FROM (SELECT s, t, m, span, ones, unnest(range(1, len(t) - span + 2)) AS j FROM b, masks WHERE len(t) >= span)),
-hits AS (SELECT DISTINCT r, s, i - j AS g, j FROM ds JOIN bs USING (m, seed)),
-runs AS (SELECT h.r, h.s, h.g, least(len(b.t), 13) AS n, unnest(range(greatest(1, 1 - h.g, h.j - least(len(b.t), 13) + 1), least(h.j, len(b.t) - least(len(b.t), 13) + 1, len(d.t) - h.g - least(len(b.t), 13) + 1) + 1)) AS p
-  FROM hits h JOIN d USING (r) JOIN b USING (s)),
-equal AS (SELECT DISTINCT r, s, g, p, n, len(list_filter(range(p, p + n), lambda x: d.t[x + g] = b.t[x])) AS e FROM (SELECT DISTINCT * FROM runs) JOIN d USING (r) JOIN b USING (s)),
+d3 AS (SELECT r, i, array_to_string(t[i:i + 2], ' ') AS gram FROM (SELECT r, t, unnest(range(1, len(t) - 1)) AS i FROM d WHERE len(t) >= 3)),
+b3 AS (SELECT s, j, array_to_string(t[j:j + 2], ' ') AS gram FROM (SELECT s, t, unnest(range(1, len(t) - 1)) AS j FROM b WHERE len(t) >= 6)),
+hits AS (SELECT DISTINCT r, s, i - j AS g FROM d3 JOIN b3 USING (gram)),
+runs AS (SELECT r, s, g, least(len(b.t), 13) AS n, unnest(range(greatest(1, 1 - g), least(len(b.t), len(d.t) - g) - least(len(b.t), 13) + 2)) AS p FROM hits JOIN d USING (r) JOIN b USING (s)),
+equal AS (SELECT r, s, n, len(list_filter(range(p, p + n), lambda x: d.t[x + g] = b.t[x])) AS e FROM runs JOIN d USING (r) JOIN b USING (s)),
 found AS (SELECT r, s, max(e) AS e, max(n) AS n FROM equal WHERE e >= n - n * 3 // 13 GROUP BY 1, 2),
 tiny AS (SELECT DISTINCT r, s, len(b.t) AS e, len(b.t) AS n FROM b JOIN d ON len(b.t) BETWEEN 1 AND 5 AND len(list_filter(range(1, len(d.t) - len(b.t) + 2), lambda i: d.t[i:i + len(b.t) - 1] = b.t)) > 0)
 SELECT DISTINCT doc_id, item_id, e::BIGINT AS n_equal, n::BIGINT AS n_compared FROM (SELECT * FROM found UNION ALL SELECT * FROM tiny) JOIN d USING (r) JOIN b USING (s)
