@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes a training example of its own: all preceding turns of the
+Every assistant turn is exploded into a training example, a row of its own: all preceding turns of the
 conversation are its context, and only that reply is trainable.  Written out, the examples of
-a conversation take space with the square of its length, so the output has the turns once, as
-segments, and each assistant segment carries its example's bounds: the example's text is
-the concatenation of all segments up to and including it, the context is its first
+a conversation take space with the square of its length, so contexts are referenced: the output has the
+turns once, as segments, and after its assistant turn each example as a row of bounds: the example's
+text is the concatenation of all segments up to and including its ``position``, the context is its first
 ``context_chars`` characters, and ``loss_start`` to ``loss_end`` is the reply.  ``expanded``
 writes the texts out where they are wanted.
 
@@ -53,8 +53,9 @@ def _unescape_role(role: str) -> str:
 
 
 def format_chats(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """The segments: conv_id, position (from 0), segment, start (of the segment in the conversation's text),
-    example (from 0; null for other roles), context_chars, loss_start, loss_end (within the example's text).
+    """Segments, with conv_id, position (from 0), segment and start (of the segment in the conversation's text), and
+    examples, with conv_id, position (of the reply), example (from 0), context_chars, loss_start and loss_end (within
+    the example's text); what a row doesn't have is null.
 
     Rows of a conversation are in one partition, in order.
     """
@@ -74,31 +75,34 @@ def format_chats(conversations: DataFrame, *, conv_id: str = "conv_id", turn: st
                 if conv != current:
                     current, position, start, example = conv, 0, 0, 0
                 end = start + len(segment)
-                rows.append((position, start, *((example, start, start + head, end - tail) if trained else (None,) * 4)))
+                rows.append((conv, position, segment, start, None, None, None, None))
+                if trained:
+                    rows.append((conv, position, None, None, example, start, start + head, end - tail))
                 position, start, example = position + 1, end, example + trained
-            numbers = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), numbers[0], batch.column(1), *numbers[1:]], ["conv_id", "position", "segment", "start", "example", "context_chars", "loss_start", "loss_end"])
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["conv_id", "position", "segment", "start", "example", "context_chars", "loss_start", "loss_end"])
 
     return turns.mapInArrow(place, f"conv_id {kind}, position long, segment string, start long, example long, context_chars long, loss_start long, loss_end long")
 
 
-def expanded(segments: DataFrame) -> DataFrame:
+def expanded(formatted: DataFrame) -> DataFrame:
     """The examples written out: conv_id, example, text, context_chars, loss_start, loss_end."""
-    examples = segments.where(F.col("example").isNotNull()).select(F.col("conv_id").alias("c"), F.col("position").alias("last"), "example", "context_chars", "loss_start", "loss_end")
+    examples, segments = formatted.where(F.col("example").isNotNull()), formatted.where(F.col("segment").isNotNull())
+    examples = examples.select(F.col("conv_id").alias("c"), F.col("position").alias("last"), "example", "context_chars", "loss_start", "loss_end")
     parts = segments.select("conv_id", "position", "segment").join(examples, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") <= F.col("last")))
     texts = parts.groupBy("conv_id", "example", "context_chars", "loss_start", "loss_end").agg(F.array_sort(F.collect_list(F.struct("position", "segment"))).alias("s"))
     return texts.select("conv_id", "example", F.array_join("s.segment", "").alias("text"), "context_chars", "loss_start", "loss_end")
 
 
-def digests(segments: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame) -> DataFrame:
     """Read back from the output, a row for each conversation: conv_id, n_turns, turns_sha256 (role, line break,
-    text, line break of each turn), loss_chars and loss_sha256 (the trainable text), formatted_chars."""
-    kind = segments.schema["conv_id"].dataType.simpleString()
+    text, line break of each turn), loss_chars and loss_sha256 (the text under the examples' loss bounds), formatted_chars."""
+    kind = formatted.schema["conv_id"].dataType.simpleString()
     fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = object()
-        current, state, done = none, None, []
+        current, state, done, segment, start = none, None, [], "", 0
 
         def close() -> None:
             if current is not none:
@@ -113,21 +117,23 @@ def digests(segments: DataFrame) -> DataFrame:
         conv_type = None
         for batch in batches:
             conv_type = batch.schema.field("conv_id").type
-            for conv, segment, start, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "loss_start", "loss_end")), strict=True):
+            for conv, found, begin, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "loss_start", "loss_end")), strict=True):
                 if current is none or conv != current:
                     close()
                     current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = _TURN.fullmatch(segment).groups()
-                state[0] += 1
-                state[1].update(f"{_unescape_role(role)}\n{unescape(text)}\n".encode())
-                if loss_start is not None:
+                if found is None:  # an example; its text ends with the last segment
                     reply = unescape(segment[loss_start - start : loss_end - start])
                     state[2] += len(reply)
                     state[3].update(reply.encode())
+                    continue
+                segment, start = found, begin
+                role, text = _TURN.fullmatch(segment).groups()
+                state[0] += 1
+                state[1].update(f"{_unescape_role(role)}\n{unescape(text)}\n".encode())
                 state[4] += len(segment)
             yield flush()
         close()
         if done:
             yield flush()
 
-    return segments.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -24,7 +24,11 @@ def test_round_trip(spark):
     text = lambda: "".join(rng.choices(bits, k=rng.randint(0, 8)))
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", "a\nb", "x\\n<|im_start|>", None]), rng.choice([text(), text(), None]), "z") for c in [*range(40), None] for t in range(rng.randint(1, 9))]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
-    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(frame)).collect()}
+    formatted = chat.format_chats(frame)
+    got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    examples = {}
+    for e in chat.expanded(formatted).orderBy("conv_id", "example").collect():
+        examples.setdefault(e["conv_id"], []).append(e)
     assert set(got) == {r[0] for r in rows}
     for conv, r in got.items():
         turns = sorted((t, role or "", text or "") for c, t, role, text, _ in rows if c == conv)
@@ -32,6 +36,10 @@ def test_round_trip(spark):
         assert r["n_turns"] == len(turns)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        written = examples.get(conv, [])
+        assert [chat.unescape(e["text"][e["loss_start"] : e["loss_end"]]) for e in written] == [text for _, role, text in turns if role == "assistant"]
+        assert all(e["text"].endswith("<|im_end|>\n") and e["context_chars"] < e["loss_start"] and len(e["text"]) == e["loss_end"] + 11 for e in written)
+        assert all(late["text"].startswith(early["text"]) for early, late in zip(written, written[1:], strict=False))
         assert r["formatted_chars"] >= sum(len(text) for _, _, text in turns)
 
 
