@@ -4,10 +4,13 @@ A text's subwords are the runs of 2, 3 and 4 bytes of its A-Z lower-cased text i
 everything ASCII but letters is a blank.  Each hashes to one of ``BUCKETS`` embeddings; a linear
 softmax over their average gives the languages' probabilities.  Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on at most ``SAMPLE`` documents of each
-language (those with the smallest hash of their id), whose whole texts are turned to counts by
+language (those with the smallest hash of their id) and ``SAMPLE_IN_ALL`` of all languages, of which the
+``LANGUAGES`` with most documents are learned; whole texts are turned to counts by
 the executors.  A fifth of the sample is set aside to calibrate: a temperature makes the
-probabilities match what is observed, and the rejection threshold is the largest confidence, up
-to ``MOST_CONFIDENT_REJECTION``, under which at most ``REJECTED_SHARE`` of that fifth falls.
+probabilities match what is observed.  Each text set aside also gives a text that is no language,
+its letters in random order.  The rejection threshold is the confidence under which
+all but ``ACCEPTED_JUNK`` of those fall, unless more than ``REJECTED_SHARE`` of the texts
+themselves fall there; then it is the largest under which no more do.
 
 A prediction reads a text and the model, nothing else.  As the model is linear after the average,
 embeddings times softmax weights is one table of ``BUCKETS`` rows that executors look up.
@@ -19,6 +22,7 @@ text are not learned from; repeated rows are each predicted; other columns are n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +41,15 @@ EPOCHS = 6
 LEARNING_RATE = 0.4
 #: Documents of each language that are learned from, at most.
 SAMPLE = 600
+#: One text in so many of the sample is set aside.
+ASIDE = 5
+#: Documents of all languages that are learned from, at most (about 20 KB each on the driver), and languages.
+SAMPLE_IN_ALL = 6000
+LANGUAGES = 512
 #: Up to so many sampled ids are broadcast, so that the texts need no shuffle; more are joined by one.
 BROADCAST_IDS = 200_000
 REJECTED_SHARE = 0.001
-MOST_CONFIDENT_REJECTION = 0.5
+ACCEPTED_JUNK = 0.001
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 0x20, dtype=np.uint8)
@@ -103,9 +112,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
-    """A model from (language, buckets, counts) of each sampled text."""
-    languages = sorted({lang for lang, _, _ in samples})
+def jumbled(chunk: Chunk) -> Chunk:
+    """The chunk with the bytes of each text that are no blanks after folding in an order of no meaning, the same for the same text."""
+    data = _LETTERS[chunk.data]
+    for low, high in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True):
+        at = low + np.flatnonzero(data[low:high] != 0x20)
+        data[at] = np.random.default_rng(zlib.crc32(data[low:high].tobytes())).permutation(data[at])
+    return Chunk(chunk.first_row, data, chunk.offsets)
+
+
+def train(samples: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
+    """A model from (language, buckets, counts, buckets and counts of the jumbled text) of each sampled text; those with a jumbled text are set aside."""
+    languages = sorted({s[0] for s in samples})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
@@ -113,13 +131,14 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> M
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     number = {lang: i for i, lang in enumerate(languages)}
-    data = [(number[lang], at.astype(np.int64), (counts / counts.sum()).astype(np.float32)) for lang, at, counts in samples if len(at)]
-    order = rng.permutation(len(data))
-    aside, learned = order[: len(data) // 5], order[len(data) // 5 :]
+    share = lambda counts: (counts / counts.sum()).astype(np.float32)
+    data = [(number[lang], at.astype(np.int64), share(n), *((None, None) if jumble is None else (jumble.astype(np.int64), share(m)))) for lang, at, n, jumble, m in samples if len(at)]
+    aside = [i for i, d in enumerate(data) if d[3] is not None]
+    learned = np.array([i for i, d in enumerate(data) if d[3] is None], dtype=np.int64)
     steps, step = EPOCHS * max(1, len(learned)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learned):
-            label, at, share = data[i]
+            label, at, share = data[i][:3]
             rate = LEARNING_RATE * (1 - step / steps)
             step += 1
             mean = share @ embeddings[at]
@@ -138,18 +157,24 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> M
         losses = [-np.log(_softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(losses))])
         confidence = np.sort(model.probabilities(logits).max(axis=1))
-        model.threshold = float(min(MOST_CONFIDENT_REJECTION, confidence[int(REJECTED_SHARE * len(confidence))]))
+        junk = np.stack([data[i][4] @ model.table[data[i][3]] + model.bias for i in aside])
+        junk = np.sort(model.probabilities(junk).max(axis=1))
+        model.threshold = float(min(np.nextafter(junk[-1 - int(ACCEPTED_JUNK * len(junk))], 2), confidence[int(REJECTED_SHARE * len(confidence))]))
     return model
 
 
-def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
+def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, in_all: int = SAMPLE_IN_ALL, most_languages: int = LANGUAGES) -> Model | None:
     """A model from the labelled documents where ``usable`` (over doc_id) holds."""
     rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & (F.col("lang") != ""))
     # A share of each language that leaves about three times the sample goes into the ranking, however many there are.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not sizes:
+        return None
+    sample = max(1, min(sample, in_all // len(sizes)))
+    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, n long")
     span = 1 << 30
     share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n")) * span
-    drawn = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share)  # as many rows as languages
+    drawn = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share)  # at most `most_languages` rows
     first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(span)), "doc_id")
     ids = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
     n_ids = ids.limit(BROADCAST_IDS + 1).count()
@@ -157,18 +182,25 @@ def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, counts = [], []
+            found, counts = ([], []), ([], [])
             for chunk in chunks(batch.column(1)):
-                parts = list(subwords(chunk))
-                for r in range(chunk.n_rows):
-                    at, n = np.unique(np.concatenate([b[f[r] : f[r + 1]] for b, f in parts]), return_counts=True)
-                    found.append(at.astype(np.uint16).tobytes())
-                    counts.append(n.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(counts, pa.binary())], ["lang", "buckets", "counts"])
-
-    got = rows.mapInArrow(count, "lang string, buckets binary, counts binary").toArrow().to_pylist()
+                aside = [zlib.crc32(chunk.data[a:b].tobytes()) % ASIDE == 0 for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
+                for which, source in enumerate((chunk, jumbled(chunk))):
+                    parts = list(subwords(source))
+                    for r in range(chunk.n_rows):
+                        if which and not aside[r]:
+                            found[1].append(None)
+                            counts[1].append(None)
+                            continue
+                        at, n = np.unique(np.concatenate([b[f[r] : f[r + 1]] for b, f in parts]), return_counts=True)
+                        found[which].append(at.astype(np.uint16).tobytes())
+                        counts[which].append(n.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (found[0], counts[0], found[1], counts[1]))], ["lang", *names])
+
+    names = ["buckets", "counts", "jumbled_buckets", "jumbled_counts"]
+    got = rows.mapInArrow(count, "lang string, " + ", ".join(f"{n} binary" for n in names)).toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["buckets"], r["counts"]))
-    return train([(r["lang"], np.frombuffer(r["buckets"], dtype=np.uint16), np.frombuffer(r["counts"], dtype=np.float32)) for r in got])
+    return train([(r["lang"], *(None if r[n] is None else np.frombuffer(r[n], dtype=np.float32 if "counts" in n else np.uint16) for n in names)) for r in got])
 
 
 def _has_letter(text: Column) -> Column:
