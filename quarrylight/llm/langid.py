@@ -8,9 +8,10 @@ language (those with the smallest hash of their id) and ``SAMPLE_IN_ALL`` of all
 ``LANGUAGES`` with most documents are learned; whole texts are turned to counts by
 the executors.  A fifth of the sample is set aside to calibrate: a temperature makes the
 probabilities match what is observed.  Each text set aside also gives a text that is no language,
-its letters in random order.  The rejection threshold is the confidence under which
+of letters drawn at random.  The rejection threshold is the confidence under which
 all but ``ACCEPTED_JUNK`` of those fall, unless more than ``REJECTED_SHARE`` of the texts
-themselves fall there; then it is the largest under which no more do.
+themselves would fall there; then it is the largest under which no more do.  Fewer texts than can tell so small
+a share give it as twice as far from 1 as the least confident of them.
 
 A prediction reads a text and the model, nothing else.  As the model is linear after the average,
 embeddings times softmax weights is one table of ``BUCKETS`` rows that executors look up.
@@ -49,7 +50,7 @@ LANGUAGES = 512
 #: Up to so many sampled ids are broadcast, so that the texts need no shuffle; more are joined by one.
 BROADCAST_IDS = 200_000
 REJECTED_SHARE = 0.001
-ACCEPTED_JUNK = 0.001
+ACCEPTED_JUNK = 0.02
 UNKNOWN = "und"
 
 _LETTERS = np.full(256, 0x20, dtype=np.uint8)
@@ -113,11 +114,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def jumbled(chunk: Chunk) -> Chunk:
-    """The chunk with the bytes of each text that are no blanks after folding in an order of no meaning, the same for the same text."""
+    """The chunk with each letter's bytes replaced by letters a to z that are drawn evenly, the same for the same text."""
     data = _LETTERS[chunk.data]
     for low, high in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True):
         at = low + np.flatnonzero(data[low:high] != 0x20)
-        data[at] = np.random.default_rng(zlib.crc32(data[low:high].tobytes())).permutation(data[at])
+        data[at] = np.random.default_rng(zlib.crc32(data[low:high].tobytes())).integers(ord("a"), ord("z") + 1, len(at), dtype=np.uint8)
     return Chunk(chunk.first_row, data, chunk.offsets)
 
 
@@ -132,34 +133,37 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     bias = np.zeros(len(languages), dtype=np.float32)
     number = {lang: i for i, lang in enumerate(languages)}
     share = lambda counts: (counts / counts.sum()).astype(np.float32)
-    data = [(number[lang], at.astype(np.int64), share(n), *((None, None) if jumble is None else (jumble.astype(np.int64), share(m)))) for lang, at, n, jumble, m in samples if len(at)]
+    data = [s for s in samples if len(s[1])]
     aside = [i for i, d in enumerate(data) if d[3] is not None]
     learned = np.array([i for i, d in enumerate(data) if d[3] is None], dtype=np.int64)
     steps, step = EPOCHS * max(1, len(learned)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learned):
-            label, at, share = data[i][:3]
+            label, at, own = number[data[i][0]], data[i][1], share(data[i][2])
             rate = LEARNING_RATE * (1 - step / steps)
             step += 1
-            mean = share @ embeddings[at]
+            mean = own @ embeddings[at]
             error = -_softmax(mean @ weights + bias)
             error[label] += 1
             pull = weights @ error
             weights += rate * np.outer(mean, error)
             bias += rate * 0.1 * error
             # An embedding's gradient is scaled by its share; scaled up again, so that it learns as fast as the softmax.
-            embeddings[at] += (rate * min(len(at), 200)) * share[:, None] * pull[None, :]
+            embeddings[at] += (rate * min(len(at), 200)) * own[:, None] * pull[None, :]
     model = Model(languages, (embeddings @ weights).astype(np.float32), bias.astype(np.float64))
     if len(aside):
-        logits = np.stack([data[i][2] @ model.table[data[i][1]] + model.bias for i in aside])
-        labels = np.array([data[i][0] for i in aside])
+        logits = np.stack([share(data[i][2]) @ model.table[data[i][1]] + model.bias for i in aside])
+        labels = np.array([number[data[i][0]] for i in aside])
         grid = np.geomspace(0.05, 20, 60)
-        losses = [-np.log(_softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(losses))])
+        sure = 1 - 1 / (len(labels) + 1)  # so many texts can't tell a higher probability apart; of equal temperatures the highest
+        losses = np.array([-np.log(np.clip(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-12, sure)).mean() for t in grid])
+        model.temperature = float(grid[np.flatnonzero(losses <= losses.min() + 1e-9)[-1]])
         confidence = np.sort(model.probabilities(logits).max(axis=1))
-        junk = np.stack([data[i][4] @ model.table[data[i][3]] + model.bias for i in aside])
+        junk = np.stack([share(data[i][4]) @ model.table[data[i][3]] + model.bias for i in aside])
         junk = np.sort(model.probabilities(junk).max(axis=1))
-        model.threshold = float(min(np.nextafter(junk[-1 - int(ACCEPTED_JUNK * len(junk))], 2), confidence[int(REJECTED_SHARE * len(confidence))]))
+        rank = int(REJECTED_SHARE * len(confidence))
+        most = confidence[rank] if rank else 2 * confidence[0] - 1
+        model.threshold = float(max(0.0, min(np.nextafter(junk[-1 - int(ACCEPTED_JUNK * len(junk))], 2), most)))
     return model
 
 
@@ -198,9 +202,14 @@ def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (found[0], counts[0], found[1], counts[1]))], ["lang", *names])
 
     names = ["buckets", "counts", "jumbled_buckets", "jumbled_counts"]
-    got = rows.mapInArrow(count, "lang string, " + ", ".join(f"{n} binary" for n in names)).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["buckets"], r["counts"]))
-    return train([(r["lang"], *(None if r[n] is None else np.frombuffer(r[n], dtype=np.float32 if "counts" in n else np.uint16) for n in names)) for r in got])
+    got = rows.mapInArrow(count, "lang string, " + ", ".join(f"{n} binary" for n in names)).toArrow()
+    columns = [[None if not x.is_valid else np.frombuffer(x.as_buffer(), dtype=np.float32 if "counts" in n else np.uint16) for x in got[n]] for n in names]  # views, no copies
+    samples = list(zip(got["lang"].to_pylist(), *columns, strict=True))
+    order = lambda x: (x[0], zlib.crc32(x[1]), zlib.crc32(x[2]), len(x[1]), x[1].tobytes()[:64], x[2].tobytes()[:64])
+    model = train(sorted(samples, key=order))
+    del got, columns, samples
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _has_letter(text: Column) -> Column:
