@@ -28,20 +28,43 @@ def tag_pairs(tagged: DataFrame, *, key: str = "id", tag: str = "tag") -> DataFr
     return first.select("a", F.explode(F.slice("tags", F.col("i") + 2, F.size("tags"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+#: Tags of an object up to which its subsets are listed (2**n - 1 of them).
+SUBSET_TAGS = 6
+
+
+def _weighed(frame: DataFrame, key: str, tags: str, weights: DataFrame | None, keep: list[str]) -> DataFrame:
+    """Objects with their weighed tags, sorted: key, kept columns, tags, weights."""
+    each = frame.select(F.col(key).alias("key"), *keep, F.explode(F.array_distinct(tags)).alias("tag")).where(F.col("tag").isNotNull())
+    each = each.withColumn("weight", F.lit(1.0)) if weights is None else each.join(weights.where("weight > 0"), "tag")
+    found = each.groupBy("key", *keep).agg(F.array_sort(F.collect_list(F.struct("tag", "weight"))).alias("t"))
+    return found.select("key", *keep, F.col("t.tag").alias("tags"), F.col("t.weight").alias("weights"))
+
+
 def related(items: DataFrame, candidates: DataFrame, *, key: str = "id", tags: str = "tags", weights: DataFrame | None = None, penalty: Column | None = None, most: int = 6) -> DataFrame:
     """For each item the candidates that share most tags: key, other, score, rank.
 
-    score = sum of the shared tags' weights (1 if none are given) less the candidate's penalty.
-    Shared tags are summed by an equi-join on tags with partial aggregation; tags that most
-    objects have should be left out or weighed 0 by the caller, which drops them before the join.
+    score = sum of the shared tags' weights (positive; 1 if none are given) less the candidate's penalty.
+    Keys are unique.  For each set of tags only the ``most + 1`` candidates with the smallest penalty that have all of it can
+    be among an item's best by sharing just that set.  So each item looks up the subsets of its tags, and no tag is
+    expanded into all its pairs; objects with more than ``SUBSET_TAGS`` tags are joined tag by tag.
     """
-    left = items.select(F.col(key).alias("id"), F.explode(F.array_distinct(tags)).alias("tag"))
-    right = candidates.select(F.col(key).alias("other"), (penalty if penalty is not None else F.lit(0.0)).alias("penalty"), F.explode(F.array_distinct(tags)).alias("tag"))
-    if weights is None:
-        left = left.withColumn("weight", F.lit(1.0))
-    else:
-        left = left.join(weights.where("weight <> 0"), "tag")
-    shared = left.join(right, "tag").where(F.col("id") != F.col("other"))
-    scored = shared.groupBy("id", "other", "penalty").agg(F.sum("weight").alias("score")).select("id", "other", (F.col("score") - F.col("penalty")).alias("score"))
-    place = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most)
+    left = _weighed(items, key, tags, weights, [])
+    right = _weighed(candidates.withColumn("__penalty", penalty if penalty is not None else F.lit(0.0)), key, tags, weights, ["__penalty"]).withColumnRenamed("__penalty", "penalty")
+    few, many = F.size("tags") <= SUBSET_TAGS, F.size("tags") > SUBSET_TAGS
+    numbers = F.sequence(F.lit(1), F.expr("shiftleft(1, size(tags)) - 1"))
+    subsets = F.explode(F.transform(numbers, lambda m: F.filter("tags", lambda t, i: F.getbit(m, i) == 1)))
+    value = F.aggregate(F.filter(F.arrays_zip("tags", "weights"), lambda x: F.array_contains("subset", x["tags"])), F.lit(0.0).cast("double"), lambda a, x: a + x["weights"])
+    place = Window.partitionBy("subset").orderBy("penalty", "other")
+    best = right.where(few).select(F.col("key").alias("other"), "penalty", subsets.alias("subset")).withColumn("place", F.row_number().over(place)).where(F.col("place") <= most + 1)
+    asked = left.where(few).select(F.col("key").alias("id"), "tags", "weights", subsets.alias("subset")).select("id", "subset", value.alias("value"))
+    scored = asked.join(best, "subset").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.max("value").alias("value"))
+
+    def by_tag(left: DataFrame, right: DataFrame) -> DataFrame:
+        one = left.select(F.col("key").alias("id"), F.inline(F.arrays_zip(F.col("tags").alias("tag"), F.col("weights").alias("weight"))))
+        two = right.select(F.col("key").alias("other"), "penalty", F.explode("tags").alias("tag"))
+        return one.join(two, "tag").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.sum("weight").alias("value"))
+
+    scored = scored.unionByName(by_tag(left.where(few), right.where(many))).unionByName(by_tag(left.where(many), right))
+    scored = scored.select("id", "other", (F.col("value") - F.col("penalty")).alias("score"))
+    rank = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)

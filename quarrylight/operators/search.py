@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterable
 from functools import reduce
 
@@ -71,3 +73,11 @@ def local_then_remote(local: DataFrame, remote: DataFrame, *, key: str, most: in
     others = remote.join(local.select(key), key, "left_anti").join(F.broadcast(full), ~F.col("__full")).drop("__full")
     both = local.withColumn("source_rank", F.lit(0)).unionByName(others.withColumn("source_rank", F.lit(1)), allowMissingColumns=True)
     return both.orderBy("source_rank", key).limit(most) if relimit else both
+
+
+def by_shared_words(frame: DataFrame, phrase: str, *, key: str = "id", text: str = "text", most: int = 50) -> DataFrame:
+    """Rows that have words of the phrase, in any case, by how many different ones (``score``), then by key; the first ``most``."""
+    words = list(dict.fromkeys(re.findall(r"[^\W_]+", phrase.lower())))
+    found = F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, words)))
+    rows = frame.withColumn("score", F.size(found)).where(F.col("score") > 0)
+    return rows.orderBy(F.desc("score"), key).limit(most)

@@ -62,13 +62,13 @@ def dead_tags(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT p_partkey AS id, [p_brand, p_type, 's' || p_size] AS tags, p_size FROM part),
-t AS (SELECT id, unnest(tags) AS tag FROM i WHERE id % 50 = 0), c AS (SELECT id AS other, unnest(tags) AS tag, (id % 10) / 100.0::DOUBLE AS penalty FROM i WHERE p_size > 10),
+t AS (SELECT id, unnest(tags) AS tag FROM i), c AS (SELECT id AS other, unnest(tags) AS tag, (id % 10) / 100.0::DOUBLE AS penalty FROM i WHERE p_size > 10),
 w AS (SELECT id, other, sum(CASE WHEN tag LIKE 'Brand%' THEN 0.5 WHEN tag LIKE 's%' THEN 1.0 ELSE 2.0 END::DOUBLE) - any_value(penalty) AS score FROM t JOIN c USING (tag) WHERE id <> other GROUP BY 1, 2)
 SELECT id, other, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INTEGER AS rank FROM w) WHERE rank <= 6""")
 def related_items(spark, sf_dir):
-    """Six cards for every fiftieth item, by weighed shared tags less a penalty."""
+    """Six cards for every item, by weighed shared tags less a penalty."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type", F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("tags"), "p_size")
     tags = p.select(F.explode("tags").alias("tag")).distinct()
     weights = tags.withColumn("weight", F.when(F.col("tag").startswith("Brand"), 0.5).when(F.col("tag").startswith("s"), 1.0).otherwise(2.0))
-    out = graph.related(p.where("id % 50 = 0"), p.where("p_size > 10"), weights=weights, penalty=(F.col("id") % 10) / F.lit(100.0))
+    out = graph.related(p, p.where("p_size > 10"), weights=weights, penalty=(F.col("id") % 10) / F.lit(100.0))
     return out.select("id", "other", F.round("score", 6).alias("score"), "rank")

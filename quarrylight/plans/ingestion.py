@@ -134,11 +134,11 @@ def key_value_lines(spark, sf_dir):
     return n.where(F.col("value").startswith("TOKEN=")).select("line", stripped.alias("token"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE doc_id / 10.0::DOUBLE END AS distance, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 20) END AS content FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE doc_id / 10.0::DOUBLE END AS distance, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(text, '') END AS content FROM documents")
 def hit_defaults(spark, sf_dir):
     """Hits without a distance count as 1, without a text as empty."""
     d = table(spark, sf_dir, "documents")
-    hits = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") / 10.0).alias("distance"), F.when(F.col("doc_id") % 4 != 0, F.left("text", F.lit(20))).alias("content"))
+    hits = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") / 10.0).alias("distance"), F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("content"))
     return hits.select("id", F.coalesce("distance", F.lit(1.0)).alias("distance"), F.coalesce("content", F.lit("")).alias("content"))
 
 

@@ -100,11 +100,19 @@ def site_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.lower("text").contains("apache license")).select("doc_id", "lang", "source")
 
 
-_LOCAL = "local AS (SELECT doc_id AS id, left(text, 40) AS title FROM documents WHERE lang = 'fr' AND doc_id % 7 = 3 ORDER BY doc_id DESC LIMIT {0}), remote AS (SELECT doc_id AS id, left(text, 40) AS title FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT {0})"
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x IN ('apache', 'license', 'software', 'the'))) AS found FROM documents WHERE lang = 'en')
+SELECT doc_id, len(found)::INTEGER AS score FROM t WHERE len(found) > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+def site_search_ranked(spark, sf_dir):
+    """Documents by how many different words of a query they have."""
+    english = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    return search.by_shared_words(english, "The Apache Software License", key="doc_id", most=50).select("doc_id", "score")
+
+
+_LOCAL = "local AS (SELECT doc_id AS id, text AS title FROM documents WHERE lang = 'fr' AND doc_id % 7 = 3 ORDER BY doc_id DESC LIMIT {0}), remote AS (SELECT doc_id AS id, text AS title FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT {0})"
 
 
 def _union(spark, sf_dir, most):
-    fr = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("title"))
+    fr = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     local, remote = search.newest(fr.where("id % 7 = 3"), "id", "id", most), search.newest(fr, "id", "id", most)
     return search.local_then_remote(local, remote, key="id", most=most)
 

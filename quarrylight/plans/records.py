@@ -146,10 +146,10 @@ def streamed_daily_counts(spark, sf_dir):
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("""WITH l AS (SELECT doc_id % 400 AS id, doc_id AS seq, left(text, 30) AS content, doc_id % 9 = 0 AS gone FROM documents),
+@query("""WITH l AS (SELECT doc_id // 3 AS id, doc_id AS seq, text AS content, doc_id % 9 = 0 AS gone FROM documents),
 k AS (SELECT id, arg_max(content, seq) AS content, arg_max(gone, seq) AS gone FROM l GROUP BY 1) SELECT id, content, count(*) OVER () AS total FROM k WHERE NOT gone""")
 def drawer_store(spark, sf_dir):
     """Drawers written, written over and deleted by id, and how many there are."""
-    log = table(spark, sf_dir, "documents").select((F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("seq"), F.left("text", F.lit(30)).alias("content"), (F.col("doc_id") % 9 == 0).alias("gone"))
+    log = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"), (F.col("doc_id") % 9 == 0).alias("gone"))
     out = changes.fold(log, "id", ["seq"], take_last=["content"], deleted=F.col("gone"))
     return out.crossJoin(F.broadcast(out.agg(F.count("*").alias("total"))))  # one row

@@ -12,12 +12,12 @@ registry = Registry()
 query = registry.query
 
 _NEAR = """d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))) AS distance
-  FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 7, 42) AND {0}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d)"""
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {0}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d)"""
 
 
 def _queries(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id").isin(1, 7, 42)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"WITH {_NEAR.format('true')} SELECT query_id, vec_id, place::INTEGER AS place, round(distance, 5) AS distance FROM t WHERE place <= 5 AND distance <= 1.5")
@@ -45,7 +45,7 @@ def context_assembly(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) / (e.norm * q.norm) AS distance FROM n e, n q WHERE q.vec_id IN (1, 7, 42))
+d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) / (e.norm * q.norm) AS distance FROM n e, n q WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(abs(distance), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 4""")
 def vector_topk_cosine(spark, sf_dir):
     hits = vectors.nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), key="vec_id", k=4, max_distance=9, metric="cosine")
@@ -61,6 +61,14 @@ def _triples(spark, sf_dir):
     return l.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.col("l_returnflag").alias("predicate"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("object"), F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")).alias("valid_from"))
 
 
+@query("""WITH v AS (SELECT min(vec_id) AS id, embedding FROM embeddings GROUP BY embedding), d AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)) AS distance FROM v a JOIN v b ON a.id < b.id)
+SELECT a, b, round(distance, 5) AS distance FROM d WHERE distance <= 1.2""")
+def idea_near_duplicates(spark, sf_dir):
+    """Ideas whose embeddings are nearly the same, of equal ones the first."""
+    pairs = vectors.near_pairs(table(spark, sf_dir, "embeddings"), key="vec_id", max_distance=1.2)
+    return pairs.select("a", "b", F.round("distance", 5).alias("distance"))
+
+
 @query(f"WITH {_TRIPLES} SELECT * FROM triples WHERE subject = 'c7' AND (valid_from IS NULL OR valid_from <= TIMESTAMP '1997-06-01')")
 def kg_as_of(spark, sf_dir):
     """What held of an entity at a time, outgoing."""

@@ -20,14 +20,14 @@ def relevance_score(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", tx.relevance(d).alias("relevance"))
 
 
-@query(r"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || left(text, 30) WHEN doc_id % 3 = 1 THEN ' wing:' || source || '  ' || left(text, 20) ELSE 'wing:' || source END AS q FROM documents),
+@query(r"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' || text WHEN doc_id % 3 = 1 THEN ' wing:' || source || '  ' || text ELSE 'wing:' || source END AS q FROM documents),
 t AS (SELECT doc_id, """ + bare("q") + r""" AS q FROM q)
 SELECT doc_id, CASE WHEN starts_with(q, 'wing:') THEN regexp_extract(q, '^wing:(\S*)', 1) END AS wing,
   CASE WHEN starts_with(q, 'wing:') THEN """ + bare(r"regexp_replace(q, '^wing:\S*', '')") + r""" ELSE q END AS rest FROM t""")
 def scoped_queries(spark, sf_dir):
     """Queries with and without ``wing:name`` in front."""
     d = F.col("doc_id") % 3
-    q = F.when(d == 0, F.concat(F.lit("  "), F.left("text", F.lit(30)))).when(d == 1, F.concat(F.lit(" wing:"), "source", F.lit("  "), F.left("text", F.lit(20)))).otherwise(F.concat(F.lit("wing:"), "source"))
+    q = F.when(d == 0, F.concat(F.lit("  "), "text")).when(d == 1, F.concat(F.lit(" wing:"), "source", F.lit("  "), "text")).otherwise(F.concat(F.lit("wing:"), "source"))
     wing, rest = tx.scoped_query(q)
     return table(spark, sf_dir, "documents").select("doc_id", wing.alias("wing"), rest.alias("rest"))
 
@@ -198,9 +198,13 @@ def direction_from_topic(spark, sf_dir):
     return c.join(n, "topic", "left").select("c_custkey", F.coalesce("n_regionkey", F.col("c_custkey") % 5).cast("int").alias("direction"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10) || chr(10), '## Канал' || chr(10) || source, CASE WHEN doc_id % 2 = 0 THEN '## Тема' || chr(10) || lang END, '## Исходная идея' || chr(10) || left(text, 100)) AS prompt FROM documents")
+@query("SELECT doc_id, concat_ws(chr(10) || chr(10), '## Канал' || chr(10) || source, '## Тон' || chr(10) || CASE WHEN doc_id % 3 = 1 THEN 'Тон 1 (Душевный)' ELSE 'Тон 2 (Живой)' END, CASE WHEN doc_id % 5 = 0 THEN '## Направление' || chr(10) || lang END, CASE WHEN doc_id % 2 = 0 THEN '## Тема' || chr(10) || lang END, CASE WHEN doc_id % 7 = 0 THEN '## Подход A' || chr(10) || 'A' END, '## Исходная идея' || chr(10) || text, '## Задача' || chr(10) || 'Напиши пост по этой идее' || CASE WHEN doc_id % 7 = 0 THEN ' и подходе A.' ELSE '.' END) AS prompt FROM documents")
 def prompt_assembly(spark, sf_dir):
     """Sections apart by blank lines; those without a value are left out."""
     section = lambda head, value: F.concat(F.lit(f"## {head}\n"), value)
-    topic = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n\n", section("Канал", F.col("source")), section("Тема", topic), section("Исходная идея", F.left("text", F.lit(100)))).alias("prompt"))
+    every = lambda n: F.col("doc_id") % n == 0
+    tone = F.when(F.col("doc_id") % 3 == 1, "Тон 1 (Душевный)").otherwise("Тон 2 (Живой)")
+    task = F.concat(F.lit("Напиши пост по этой идее"), F.when(every(7), " и подходе A.").otherwise("."))
+    topic = F.when(every(2), F.col("lang"))
+    heads = [("Канал", F.col("source")), ("Тон", tone), ("Направление", F.when(every(5), F.col("lang"))), ("Тема", topic), ("Подход A", F.when(every(7), F.lit("A"))), ("Исходная идея", F.col("text")), ("Задача", task)]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n\n", *(section(head, value) for head, value in heads)).alias("prompt"))

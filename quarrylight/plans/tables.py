@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(frame: DataFrame) -> DataFrame:
-    """The frame in at least as many partitions as there are cores.
+    """The frame in at least as many partitions as there are cores, or 32.
 
-    A table of one small file is one task.  Where a scan gives fewer tasks than cores its rows are
-    dealt out, for work that costs more per row than a shuffle does; larger scans are left alone.
+    A table of one small file is one task.  Where a scan gives so few tasks its rows are
+    dealt out, for work that costs more per row than a shuffle does; scans of more tasks are left alone.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
+    cores = min(32, frame.sparkSession.sparkContext.defaultParallelism)
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
