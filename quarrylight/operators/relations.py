@@ -83,12 +83,12 @@ def classify(files: DataFrame, rules: DataFrame, *, key: str = "id", name: str =
 def numbered(frame: DataFrame, group: str, order: Sequence[str | Column], line: Column, most: int, more: str = "...и ещё ") -> DataFrame:
     """One text per group: ``i. line`` of the first rows, and how many more there are."""
     ordered = Window.partitionBy(group).orderBy(*order)
-    counts = frame.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("n"))
-    rows = frame.withColumn("i", F.row_number().over(ordered)).where(F.col("i") <= most)  # a bounded number of rows per group leaves each task
-    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda s: F.concat(s["i"].cast("string"), F.lit(". "), s["line"])), "\n")
-    rest = F.when(F.max("n") > most, F.concat(F.lit("\n" + more), (F.max("n") - most).cast("string"))).otherwise("")
-    return rows.groupBy(group).agg(F.concat(text, rest).alias("text"), F.max("n").alias("n"))
+    counts = frame.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    rows = frame.select(F.col(group), line.alias("__line"), F.row_number().over(ordered).alias("__i")).where(F.col("__i") <= most)  # a bounded number of rows per group leaves each task
+    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("__group")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__line"))), lambda s: F.concat(s["__i"].cast("string"), F.lit(". "), s["__line"])), "\n")
+    rest = F.when(F.max("__n") > most, F.concat(F.lit("\n" + more), (F.max("__n") - most).cast("string"))).otherwise("")
+    return rows.groupBy(group).agg(F.concat(text, rest).alias("text"), F.max("__n").alias("n"))
 
 
 def counted(parents: DataFrame, key: str, children: DataFrame, foreign: str, name: str) -> DataFrame:
