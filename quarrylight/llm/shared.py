@@ -8,6 +8,7 @@ lineage: a lost executor costs only the running stage, never what came before it
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -52,10 +53,13 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Removes tables.  Shuffles and broadcasts of what is no longer used are freed when the driver collects garbage, so it is asked to."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
     def keep_only(self, *names: str) -> None:
