@@ -15,10 +15,14 @@ are compacted where they are read:
 * A key with several contents branches (or a shared span begins or ends inside the piece).  Only these
   pieces are taken apart into their edges, which are counted and joined in the same way.
 
-The joins give source coordinates: for each document the starts of windows that a smaller
-document id also has.  Then each document is read once more, windows that repeat within it are
+The joins give source coordinates: for each piece or edge of a document that a smaller document id
+also has, the place where it is first.  Pieces that follow each other in both documents are one path:
+anti-joins with predecessors and successors leave the paths' heads and ends, which are joined in order.
+The words at each path's source coordinates are fetched as a cryptographic digest and compared with those at
+its own.  Then each document is read once more, windows that repeat within it are
 found there, and all words covered by a window that is not the first of its kind are removed.
-Neighbouring pieces make one span again at that point.  Windows are told apart by two 64-bit hashes.
+Documents of which a path differs from its source (64-bit hashes that collided) are done again with the
+words themselves as keys.
 
 Defined results: a null or empty text has no words; a document with fewer words than a window
 keeps all; rows that repeat a document id count as the same place in the order, so they don't
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, own_columns
@@ -114,15 +118,81 @@ def _spans(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 16, packed & 0xFFFF
 
 
-def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def _digest(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, low: int, n: int, stop: int) -> bytes | None:
+    """Of n words from word ``low``, joined by one space; None if they run over word ``stop``."""
+    if low + n > stop:
+        return None
+    own = slice(low, low + n)
+    return hashlib.blake2b(b" ".join([chunk.data[s:e].tobytes() for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]), digest_size=16).digest()
+
+
+_PLACE = ["doc_id", "version"]
+_SOURCE = ["s_doc", "s_version"]
+
+
+def _joined(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], how: str) -> DataFrame:
+    """A join on pairs of columns that may be null; the right side's columns have names of their own."""
+    condition = F.lit(True)
+    for one, two in equal:
+        condition = condition & F.col(one).eqNullSafe(F.col(two))
+    return left.join(right, condition, how)
+
+
+def compacted(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Paths (doc_id, version, start, n windows, s_doc, s_version, s_start) of neighbouring pieces with neighbouring sources."""
+    rows = found.withColumn("diagonal", F.col("start") - F.col("s_start")).withColumn("stop", F.col("start") + F.col("n"))
+    rows = scratch.keep(rows, "pieces")
+    line = [*_PLACE, *_SOURCE, "diagonal"]
+    other = lambda at: rows.select(*(F.col(c).alias(f"o_{c}") for c in [*line, at])).distinct()
+    same = [(c, f"o_{c}") for c in line]
+    heads = _joined(rows, other("stop"), [*same, ("start", "o_stop")], "left_anti").select(*line, "start")
+    ends = _joined(rows, other("start"), [*same, ("stop", "o_start")], "left_anti").select(*line, "stop")
+    heads = heads.withColumn("number", F.row_number().over(Window.partitionBy(*line).orderBy("start")))
+    ends = ends.withColumn("number", F.row_number().over(Window.partitionBy(*line).orderBy("stop")))
+    ends = ends.select(*(F.col(c).alias(f"o_{c}") for c in [*line, "number", "stop"]))
+    paths = _joined(heads, ends, [*same, ("number", "o_number")], "inner")
+    return paths.select(*_PLACE, "start", (F.col("o_stop") - F.col("start")).alias("n"), *_SOURCE, (F.col("start") - F.col("diagonal")).alias("s_start"))
+
+
+def _exact(texts: DataFrame, doubtful: DataFrame, window: int, kind: str, scratch: Scratch) -> DataFrame:
+    """doc_id, version, start of the windows of doubtful documents (d, v) that a smaller id also has, told apart by their words."""
+
+    def windows(batches: Iterator[pa.RecordBatch], with_words: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(2)):
+                starts, ends, first = chunk.words()
+                hashes = chunk.hashes(starts, ends, lower=False)
+                for r in range(chunk.n_rows):
+                    one = ngram_hashes(hashes[first[r] : first[r + 1]], window).view(np.int64)
+                    row = pa.array(np.full(len(one), chunk.first_row + r))
+                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.arange(len(one))), pa.array(one)]
+                    names = [*_PLACE, "start", "one"]
+                    if with_words:
+                        own = [chunk.data[s:e].tobytes().decode() for s, e in zip(starts[first[r] : first[r + 1]].tolist(), ends[first[r] : first[r + 1]].tolist(), strict=True)]
+                        columns.append(pa.array([" ".join(own[i : i + window]) for i in range(len(one))], pa.string()))
+                        names.append("words")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"doc_id {kind}, version long, start long, one long"
+    own = [("doc_id", "d"), ("version", "v")]
+    sought = _joined(texts, doubtful, own, "left_semi").mapInArrow(lambda b: windows(b, False), schema).select(F.col("one").alias("o")).distinct()
+    sought = scratch.keep(sought, "sought")
+    holders = texts.mapInArrow(lambda b: windows(b, False), schema).join(sought, F.col("one") == F.col("o"), "left_semi").select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
+    worded = _joined(texts, holders, own, "left_semi").mapInArrow(lambda b: windows(b, True), f"{schema}, words string")
+    worded = scratch.keep(worded.join(sought, F.col("one") == F.col("o"), "left_semi"), "worded")
+    firsts = worded.groupBy("words").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first"))
+    later = worded.join(firsts, "words").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    return scratch.keep(_joined(later, doubtful, own, "left_semi").select(*_PLACE, "start"), "exact")
+
+
+def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each document."""
     scratch = Scratch(docs.sparkSession, "spans")
     source = own_columns(docs, doc_id=doc_id, text=text)
     kind = source.schema["doc_id"].dataType.simpleString()
-    # Coordinates are by document id, and by content too where ids repeat.
-    repeated = source.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    content_id = F.xxhash64("text") if repeated else F.lit(0).cast("long")
-    texts = source.select("doc_id", content_id.alias("version"), "text")
+    # Coordinates are by document id and content, as ids may repeat.
+    texts = source.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    short = np.int64(-1) if hash_bits == 64 else np.int64((1 << hash_bits) - 1)  # fewer bits make hashes collide, for tests
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,21 +200,22 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 own, key, content, start, count = pieces(chunk, window)
                 at = pa.array(own + chunk.first_row)
                 place = (start << 16) | count
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(content), pa.array(place)], ["doc_id", "version", "key", "content", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key & short), pa.array(content & short), pa.array(place)], ["doc_id", "version", "key", "content", "place"])
 
     found = texts.mapInArrow(read, f"doc_id {kind}, version long, key long, content long, place long")
-    paths = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first"))
+    place_of = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", F.shiftright("place", 16).alias("start"))
+    paths = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min(place_of).alias("first"))
     paths = scratch.keep(paths.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("branching"), "first"), "paths")
-    later = ~F.col("doc_id").eqNullSafe(F.col("first"))
-    met = found.join(paths, "key").where(F.col("branching") | later).groupBy("doc_id", "version", "branching").agg(F.collect_list("place").alias("places"))
-    met = scratch.keep(met, "met")
+    later = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    sourced = [F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(0xFFFF).alias("n"), F.col("first.doc_id").alias("s_doc"), F.col("first.version").alias("s_version"), F.col("first.start").alias("s_start")]
+    met = scratch.keep(found.join(paths, "key").where(F.col("branching") | later).select(*_PLACE, "branching", "place", "first"), "met")
 
     def take(side: DataFrame, name: str) -> DataFrame:
         side = side.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("places").alias(name))
         return side
 
     # Pieces at branches, taken apart into edges.
-    branches = take(met.where("branching"), "places")
+    branches = take(met.where("branching").groupBy("doc_id", "version").agg(F.collect_list("place").alias("places")), "places")
     apart = texts.join(branches, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc_id", "version", "text", "places")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,30 +235,50 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     twos.append(two[at])
                     places.append((at << 16) | 1)
                 take_rows = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take_rows), batch.column(1).take(take_rows), pa.array(np.concatenate(ones).view(np.int64)), pa.array(np.concatenate(twos).view(np.int64)), pa.array(np.concatenate(places))], ["doc_id", "version", "one", "two", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take_rows), batch.column(1).take(take_rows), pa.array(np.concatenate(ones).view(np.int64) & short), pa.array(np.concatenate(twos).view(np.int64) & short), pa.array(np.concatenate(places))], ["doc_id", "version", "one", "two", "place"])
 
     edges = scratch.keep(apart.mapInArrow(split, f"doc_id {kind}, version long, one long, two long, place long"), "edges")
-    firsts = edges.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("one", "two", "first")
+    firsts = edges.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place_of).alias("first")).where("n > 1").select("one", "two", "first")
     firsts = scratch.keep(firsts, "firsts")
-    single = edges.join(firsts, ["one", "two"]).where(later).groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"))
-    gone = met.where(~F.col("branching")).select("doc_id", "version", "places").unionByName(single).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("places")).alias("places"))
+    single = edges.join(firsts, ["one", "two"]).where(later).select(*_PLACE, *sourced)
+    spans = scratch.keep(compacted(met.where(~F.col("branching")).select(*_PLACE, *sourced).unionByName(single), scratch), "spans")
+    scratch.drop("paths", "met", "edges", "firsts", "pieces")
+
+    # The words at the source coordinates.
+    asked = spans.select(*_SOURCE, "s_start", "n").distinct().groupBy(*_SOURCE).agg(F.collect_list(F.struct("s_start", "n")).alias("asked"))
+    asked = _joined(texts.dropDuplicates(_PLACE), asked, [("doc_id", "s_doc"), ("version", "s_version")], "inner").select("doc_id", "version", "text", "asked")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(3).to_pylist()
+            for chunk in chunks(batch.column(2)):
+                starts, ends, first = chunk.words()
+                rows = [(chunk.first_row + r, w["s_start"], w["n"], _digest(chunk, starts, ends, first[r] + w["s_start"], w["n"] + window - 1, first[r + 1])) for r in range(chunk.n_rows) for w in wanted[chunk.first_row + r]]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.binary())))], ["w_doc", "w_version", "w_start", "w_n", "digest"])
+
+    words = asked.mapInArrow(fetch, f"w_doc {kind}, w_version long, w_start long, w_n long, digest binary")
+    gone = _joined(spans, words, [("s_doc", "w_doc"), ("s_version", "w_version"), ("s_start", "w_start"), ("n", "w_n")], "left")
+    gone = gone.groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "n", F.coalesce("digest", F.lit(b"")).alias("digest"))).alias("places"))
     gone = take(scratch.keep(gone, "gone"), "places")
-    scratch.drop("paths", "met", "edges", "firsts")
-    whole = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left").select("doc_id", "text", "places")
+    own = [("doc_id", "d"), ("version", "v")]
+    whole = _joined(texts, gone, own, "left").select("doc_id", "version", "text", "places")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, digests = [], [], []
-            for chunk in chunks(batch.column(1)):
+            sizes, removed, digests, doubtful = [], [], [], []
+            for chunk in chunks(batch.column(2)):
                 starts, ends, first = chunk.words()
                 hashes = chunk.hashes(starts, ends, lower=False)
                 for r in range(chunk.n_rows):
                     low, n = first[r], int(first[r + 1] - first[r])
-                    cover = np.zeros(n + 1, dtype=np.int64)
+                    cover, doubt = np.zeros(n + 1, dtype=np.int64), False
                     if n >= window:
-                        at, counts = _spans(batch.column(2), chunk.first_row + r)
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, np.minimum(at + counts + window - 1, n), -1)
+                        for span in batch.column(3)[chunk.first_row + r].as_py() or ():
+                            at, m = span["start"], span["n"]
+                            doubt |= span["digest"] is not None and span["digest"] != _digest(chunk, starts, ends, low + at, m + window - 1, low + n)
+                            cover[at] += 1
+                            cover[min(at + m + window - 1, n)] -= 1
                         one = ngram_hashes(hashes[low : low + n], window)
                         order = np.argsort(one, kind="stable")
                         again = order[1:][one[order[1:]] == one[order[:-1]]]
@@ -198,6 +289,17 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     sizes.append(n)
                     removed.append(n - len(words))
                     digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                    doubtful.append(doubt)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(doubtful, pa.bool_())], [*_PLACE, *fields, "doubtful"])
 
-    return whole.mapInArrow(clean, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    fields = ["n_words", "n_removed", "kept_sha256"]
+    schema = f"doc_id {kind}, version long, n_words long, n_removed long, kept_sha256 string, doubtful boolean"
+    result = scratch.keep(whole.mapInArrow(clean, schema), "result")
+    doubtful = result.where("doubtful").select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
+    if doubtful.limit(1).count():
+        single = _exact(texts, doubtful, window, kind, scratch)
+        single = single.groupBy(*_PLACE).agg(F.collect_list(F.struct("start", F.lit(1).cast("long").alias("n"), F.lit(None).cast("binary").alias("digest"))).alias("places"))
+        again = _joined(_joined(texts, doubtful, own, "left_semi"), take(single, "places"), own, "left").select("doc_id", "version", "text", "places")
+        result = scratch.keep(result.where(~F.col("doubtful")).unionByName(again.mapInArrow(clean, schema)), "again")
+    scratch.keep_only("result", "again")
+    return result.select("doc_id", *fields)

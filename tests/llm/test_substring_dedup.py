@@ -41,3 +41,19 @@ def test_defined_cases(spark):
     same = removed_spans(spark.createDataFrame([(7, passage), (7, passage)], "doc_id long, text string"))
     assert [r["n_removed"] for r in same.collect()] == [0, 0]
     assert removed_spans(frame.limit(0)).count() == 0
+
+
+def test_colliding_hashes_are_told_apart_by_words(spark):
+    docs = fixture(3, 60) + [(5000, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for bits in (2, 12):
+        assert sorted(map(tuple, removed_spans(frame, window=8, hash_bits=bits).collect())) == want(docs, 8)
+
+
+def test_text_longer_than_a_chunk(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(100_000)]  # over 512 KB
+    docs = [(1, " ".join(words[:60_000])), (2, " ".join(words)), (3, " ".join(words[70_000:70_100] + ["x"] + words[:30]))]
+    assert len(docs[1][1]) > 1 << 19
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, removed_spans(frame).collect())) == want(docs, 20)
