@@ -140,18 +140,16 @@ def _joined(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], how
 
 def compacted(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Paths (doc_id, version, start, n windows, s_doc, s_version, s_start) of neighbouring pieces with neighbouring sources."""
-    rows = found.withColumn("diagonal", F.col("start") - F.col("s_start")).withColumn("stop", F.col("start") + F.col("n"))
-    rows = scratch.keep(rows, "pieces")
-    line = [*_PLACE, *_SOURCE, "diagonal"]
-    other = lambda at: rows.select(*(F.col(c).alias(f"o_{c}") for c in [*line, at])).distinct()
-    same = [(c, f"o_{c}") for c in line]
-    heads = _joined(rows, other("stop"), [*same, ("start", "o_stop")], "left_anti").select(*line, "start")
-    ends = _joined(rows, other("start"), [*same, ("stop", "o_start")], "left_anti").select(*line, "stop")
-    heads = heads.withColumn("number", F.row_number().over(Window.partitionBy(*line).orderBy("start")))
-    ends = ends.withColumn("number", F.row_number().over(Window.partitionBy(*line).orderBy("stop")))
-    ends = ends.select(*(F.col(c).alias(f"o_{c}") for c in [*line, "number", "stop"]))
-    paths = _joined(heads, ends, [*same, ("number", "o_number")], "inner")
-    return paths.select(*_PLACE, "start", (F.col("o_stop") - F.col("start")).alias("n"), *_SOURCE, (F.col("start") - F.col("diagonal")).alias("s_start"))
+    line = F.xxhash64(*_PLACE, *_SOURCE, F.col("start") - F.col("s_start")).alias("line")  # a document's pieces from one place of one source
+    rows = scratch.keep(found.select(*_PLACE, *_SOURCE, "start", "s_start", (F.col("start") + F.col("n")).alias("stop"), line), "pieces")
+    scratch.drop("met", "edges", "firsts")
+    before = rows.select(F.col("line").alias("o_line"), F.col("stop").alias("o_stop"))
+    after = rows.select(F.col("line").alias("o_line"), F.col("start").alias("o_start"))
+    heads = rows.drop("stop").join(before, (F.col("line") == F.col("o_line")) & (F.col("start") == F.col("o_stop")), "left_anti")
+    ends = rows.select("line", "stop").join(after, (F.col("line") == F.col("o_line")) & (F.col("stop") == F.col("o_start")), "left_anti")
+    heads = heads.withColumn("number", F.row_number().over(Window.partitionBy("line").orderBy("start")))
+    ends = ends.withColumn("number", F.row_number().over(Window.partitionBy("line").orderBy("stop")))
+    return heads.join(ends, ["line", "number"]).select(*_PLACE, "start", (F.col("stop") - F.col("start")).alias("n"), *_SOURCE, "s_start")
 
 
 def _exact(texts: DataFrame, doubtful: DataFrame, window: int, kind: str, scratch: Scratch) -> DataFrame:
@@ -214,6 +212,8 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         side = side.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("places").alias(name))
         return side
 
+    scratch.drop("paths")
+
     # Pieces at branches, taken apart into edges.
     branches = take(met.where("branching").groupBy("doc_id", "version").agg(F.collect_list("place").alias("places")), "places")
     apart = texts.join(branches, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc_id", "version", "text", "places")
@@ -242,7 +242,7 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     firsts = scratch.keep(firsts, "firsts")
     single = edges.join(firsts, ["one", "two"]).where(later).select(*_PLACE, *sourced)
     spans = scratch.keep(compacted(met.where(~F.col("branching")).select(*_PLACE, *sourced).unionByName(single), scratch), "spans")
-    scratch.drop("paths", "met", "edges", "firsts", "pieces")
+    scratch.drop("pieces")
 
     # The words at the source coordinates.
     asked = spans.select(*_SOURCE, "s_start", "n").distinct().groupBy(*_SOURCE).agg(F.collect_list(F.struct("s_start", "n")).alias("asked"))
