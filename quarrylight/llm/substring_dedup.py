@@ -188,8 +188,8 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     scratch = Scratch(docs.sparkSession, "spans")
     source = own_columns(docs, doc_id=doc_id, text=text)
     kind = source.schema["doc_id"].dataType.simpleString()
-    # Coordinates are by document id and content, as ids may repeat.
-    texts = source.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    # Coordinates are by document id and a 32-bit hash of the content, as ids may repeat.
+    texts = source.select("doc_id", F.hash("text").cast("long").alias("version"), "text")
     short = np.int64(-1) if hash_bits == 64 else np.int64((1 << hash_bits) - 1)  # fewer bits make hashes collide, for tests
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     paths = scratch.keep(paths.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("branching"), "first"), "paths")
     later = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     sourced = [F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(0xFFFF).alias("n"), F.col("first.doc_id").alias("s_doc"), F.col("first.version").alias("s_version"), F.col("first.start").alias("s_start")]
-    met = scratch.keep(found.join(paths, "key").where(F.col("branching") | later).select(*_PLACE, "branching", "place", "first"), "met")
+    met = scratch.keep(found.join(paths, "key").where(F.col("branching") | later).select(*_PLACE, "branching", "place", F.when(~F.col("branching"), F.col("first")).alias("first")), "met")
 
     def take(side: DataFrame, name: str) -> DataFrame:
         side = side.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("places").alias(name))
@@ -238,8 +238,10 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take_rows), batch.column(1).take(take_rows), pa.array(np.concatenate(ones).view(np.int64) & short), pa.array(np.concatenate(twos).view(np.int64) & short), pa.array(np.concatenate(places))], ["doc_id", "version", "one", "two", "place"])
 
     edges = scratch.keep(apart.mapInArrow(split, f"doc_id {kind}, version long, one long, two long, place long"), "edges")
+    scratch.drop()  # nothing but the shuffles so far
     firsts = edges.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(place_of).alias("first")).where("n > 1").select("one", "two", "first")
     firsts = scratch.keep(firsts, "firsts")
+    scratch.drop()
     single = edges.join(firsts, ["one", "two"]).where(later).select(*_PLACE, *sourced)
     spans = scratch.keep(compacted(met.where(~F.col("branching")).select(*_PLACE, *sourced).unionByName(single), scratch), "spans")
     scratch.drop("pieces")
