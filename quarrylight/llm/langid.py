@@ -44,7 +44,7 @@ LEARNING_RATE = 0.4
 SAMPLE = 600
 #: One text in so many of the sample is set aside.
 ASIDE = 5
-#: Documents of all languages that are learned from, at most (about 20 KB each on the driver), and languages.
+#: Documents of all languages that are learned from, at most (about 20 KB each in the task that trains), and languages.
 SAMPLE_IN_ALL = 6000
 LANGUAGES = 512
 #: Up to so many sampled ids are broadcast, so that the texts need no shuffle; more are joined by one.
@@ -202,14 +202,24 @@ def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (found[0], counts[0], found[1], counts[1]))], ["lang", *names])
 
     names = ["buckets", "counts", "jumbled_buckets", "jumbled_counts"]
-    got = rows.mapInArrow(count, "lang string, " + ", ".join(f"{n} binary" for n in names)).toArrow()
-    columns = [[None if not x.is_valid else np.frombuffer(x.as_buffer(), dtype=np.float32 if "counts" in n else np.uint16) for x in got[n]] for n in names]  # views, no copies
-    samples = list(zip(got["lang"].to_pylist(), *columns, strict=True))
-    order = lambda x: (x[0], zlib.crc32(x[1]), zlib.crc32(x[2]), len(x[1]), x[1].tobytes()[:64], x[2].tobytes()[:64])
-    model = train(sorted(samples, key=order))
-    del got, columns, samples
-    pa.default_memory_pool().release_unused()
-    return model
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = []
+        for batch in batches:
+            columns = [[None if not x.is_valid else np.frombuffer(x.as_buffer(), dtype=np.float32 if "counts" in n else np.uint16) for x in batch[n]] for n in names]  # views, no copies
+            samples.extend(zip(batch["lang"].to_pylist(), *columns, strict=True))
+        order = lambda x: (x[0], zlib.crc32(x[1]), zlib.crc32(x[2]), len(x[1]), x[1].tobytes()[:64], x[2].tobytes()[:64])
+        model = train(sorted(samples, key=order))
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([{"languages": model.languages, "table": model.table.tobytes(), "bias": model.bias.tobytes(), "temperature": model.temperature, "threshold": model.threshold}])
+
+    # One task of an executor trains on the whole sample, which is bounded; the driver gets the model alone.
+    counted = rows.mapInArrow(count, "lang string, " + ", ".join(f"{n} binary" for n in names)).repartition(1)
+    trained = counted.mapInArrow(fit, "languages array<string>, table binary, bias binary, temperature double, threshold double").collect()
+    if not trained:
+        return None
+    got = trained[0]
+    table = np.frombuffer(got["table"], dtype=np.float32).reshape(BUCKETS, len(got["languages"]))
+    return Model(list(got["languages"]), table, np.frombuffer(got["bias"], dtype=np.float64), got["temperature"], got["threshold"])
 
 
 def _has_letter(text: Column) -> Column:
