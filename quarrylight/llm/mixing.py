@@ -146,6 +146,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int, block: int)
     slots = F.least("words", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("words") / block)))
     plan = scratch.keep(plan.withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(0)), "plan")
     slots = scratch.keep(schedule(plan.select("number", "slots"), scratch), "slots")
+    scratch.keep_only("sized", "plan", "slots")
 
     # Documents in their source's stream.
     stream = sized.join(plan.select(F.col("source").alias("s"), "number", "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
@@ -155,6 +156,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int, block: int)
     stream = stream.where("size > 0").withColumns({"shuffled": shuffled, "bucket": bucket})
     stream = _running(stream, ["number"], "bucket", ["shuffled", "doc_id", "size"], F.col("size"), "start", scratch)
     stream = scratch.keep(stream.select("number", "doc_id", "content", "size", "start"), "stream")
+    scratch.keep_only("sized", "plan", "slots", "stream")
 
     # Their parts in the blocks: for each round of the stream the words from `at` to before `to` of block `rank`.
     needs = plan.where("slots > 0").select("number", "source_size", "words", "slots")
