@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, langid, line_dedup, minhash, mixing, substring_dedup, token_counts, topk
+from . import centroids, chat, ctw, decontaminate, langid, lexical, line_dedup, minhash, mixing, quality_rules, substring_dedup, token_counts, topk
 from .tables import documents, table
 
 
@@ -177,6 +177,77 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and what the rule table says of it."""
+    judged = quality_rules.judged(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
+def _broken_sql(rules: Sequence[quality_rules.Rule]) -> str:
+    bounds = [(f"1000 * {r.of}" + (f" {sign} " + (f"{bound}" if r.per is None else f"{bound} * {r.per} AND {r.per} > 0"))) for r in rules for sign, bound in (("<", r.least), (">", r.most)) if bound is not None]
+    below = [f"{r.per} = 0" for r in rules if r.per is not None and r.least]  # a ratio over nothing counts as 0
+    return " OR ".join(f"({b})" for b in bounds + below)
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+again AS (SELECT DISTINCT r, unnest(range(i, i + 5)) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(*) AS n_repeat_words FROM again GROUP BY 1),
+m AS (SELECT r, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '!')) AS n_exclamations,
+  len(list_filter(regexp_extract_all(regexp_replace(lower(t), '[.,;:!?"()]', '', 'g'), '[^\x20\x09-\x0D]+'), lambda x: x IN ({", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop_words,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_ellipsis_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN repeats USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, {", ".join(f"{c}::BIGINT AS {c}" for c in quality_rules.MEASURES)}, base_failed, NOT base_failed AND NOT ({_broken_sql(quality_rules.RULES)}) AS kept FROM v JOIN d USING (r)
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for every benchmark item."""
+    found = lexical.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("query_id", "item_id")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_all, sum(len(w)) AS l_all FROM d),
+tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+terms AS (SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_all),
+parts AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))) AS part FROM tf JOIN terms USING (term), s),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN parts USING (term) GROUP BY 1, 2 HAVING sum(part) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores) WHERE rank <= 10
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings").select("vec_id", centroids.quantized(F.col("embedding")).alias("vector")))
+
+
+def _clusters_sql() -> str:
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < 8)",
+    ]
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    for i in range(11):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, c.c, {distance} AS d FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.c) = 1)")
+        if i < 10:
+            parts.append(f"s{i} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{i} JOIN v USING (r)) GROUP BY 1, 2)")
+            parts.append(f"n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{i} GROUP BY 1)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.x, o.x) AS x FROM c{i} o LEFT JOIN n{i} n USING (c))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a10 a JOIN v USING (r) JOIN c10 c ON c.c = a.c"""
+
+
+OP13_SQL = _clusters_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_token_counts": op2_token_counts,
@@ -188,6 +259,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_top_k": op9_top_k,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -197,4 +271,7 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_quality_rules": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
