@@ -57,26 +57,6 @@ def nearest(
     return top if after is None else top.where(after)
 
 
-def near_pairs(frame: DataFrame, *, key: str = "id", vector: str = "embedding", max_distance: float = 0.5, coordinates: int = 2) -> DataFrame:
-    """Pairs (a, b, squared distance) of different vectors at most ``max_distance`` apart; a row that repeats a vector
-    is known by the smallest key that has it.
-
-    Vectors lie in a grid over their first coordinates, of cells as wide as the distance, so near ones are in the
-    same cell or in neighbours; what meets there is compared in full.  Null vectors and keys take no part.
-    """
-    rows = frame.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(F.col(vector).alias("v")).agg(F.min(key).alias("id"))
-    width = max(max_distance, 1e-12) ** 0.5
-    place = [F.floor(F.coalesce(F.get("v", F.lit(i)).cast("double"), F.lit(0.0)) / width).cast("long").alias(f"c{i}") for i in range(coordinates)]
-    cells = rows.select("id", "v", *place)
-    near = cells.select(F.col("id").alias("a"), F.col("v").alias("v_a"), *(f"c{i}" for i in range(coordinates)))
-    for i in range(coordinates):
-        near = near.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
-    other = cells.select(F.col("id").alias("b"), F.col("v").alias("v_b"), *(f"c{i}" for i in range(coordinates)))
-    distance = METRICS["l2sq"](F.col("v_a"), F.col("v_b"))
-    met = near.join(other, [f"c{i}" for i in range(coordinates)]).where((F.col("a") < F.col("b")) & (distance <= max_distance))
-    return met.select("a", "b", distance.alias("distance"))
-
-
 def context(hits: DataFrame, *, title: str = "title", scope: str = "wing", content: str = "content", cut: int = 1500, header: str = "Источник") -> DataFrame:
     """One text per query: for each hit, in order, a header and the content's beginning."""
     place = Window.partitionBy("query_id").orderBy("place")

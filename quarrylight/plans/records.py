@@ -127,7 +127,7 @@ def retention(spark, sf_dir):
 def streamed_rate_limit(spark, sf_dir):
     """The same limiter over a stream of events with state per user."""
     from ..streaming.jobs import limit_stream, verdicts
-    from ..streaming.once import new_folder
+    from ..scratch import new_folder
 
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     folder = new_folder(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, vectors
+from ..operators import graph, metric, vectors
 from .registry import Registry
 from .tables import NOTES_SQL, notes, table
 
@@ -65,7 +65,7 @@ def _triples(spark, sf_dir):
 SELECT a, b, round(distance, 5) AS distance FROM d WHERE distance <= 1.2""")
 def idea_near_duplicates(spark, sf_dir):
     """Ideas whose embeddings are nearly the same, of equal ones the first."""
-    pairs = vectors.near_pairs(table(spark, sf_dir, "embeddings"), key="vec_id", max_distance=1.2)
+    pairs = metric.near_pairs(table(spark, sf_dir, "embeddings"), key="vec_id", max_distance=1.2)
     return pairs.select("a", "b", F.round("distance", 5).alias("distance"))
 
 

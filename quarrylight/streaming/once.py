@@ -2,26 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="quarrylight-stream-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame
 
+from ..scratch import new_folder
 
 def run_once(stream: DataFrame) -> DataFrame:
     """All rows that an append-mode stream gives for the input at hand."""

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarrylight.operators import graph, relations, vectors
+from quarrylight.operators import graph, relations, metric
 
 
 def test_related_equals_brute_force_for_few_and_many_tags(spark):
@@ -26,7 +26,7 @@ def test_related_equals_brute_force_for_few_and_many_tags(spark):
 def test_near_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(200, [0.0] * 4), (201, [0.0] * 4), (202, [0.1, 0.0, 0.0, 0.0]), (203, None), (None, [0.0] * 4)]
-    got = {(r["a"], r["b"]) for r in vectors.near_pairs(spark.createDataFrame(rows, "id long, embedding array<double>"), max_distance=0.5).collect()}
+    got = {(r["a"], r["b"]) for r in metric.near_pairs(spark.createDataFrame(rows, "id long, embedding array<double>"), max_distance=0.5).collect()}
     alone = [(i, v) for i, v in rows if v is not None and i is not None and i != 201]
     want = {(a, b) for a, x in alone for b, y in alone if a < b and sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) <= 0.5}
     assert got == want and (200, 202) in got
