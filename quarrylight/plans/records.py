@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calendar, changes, sequences
+from ..operators import calendar, changes, dialogs, sequences
 from .registry import Registry
 from .tables import bare, table
 
@@ -90,6 +90,55 @@ def dialog_fold(spark, sf_dir):
     return out.withColumn("tags", F.array_join("tags", "|"))
 
 
+#: What a user says at an event, so that users' events are conversations of many dialogs.
+_SAYINGS = ["/event", "/note", "/add_rule", "25.12.2025 14:00", " 26.12.2025 09:30 ", "31.02.2025 10:00", "45", "0", "да", "Yes ", "нет", "/skip", " /skip ", "", "two  words\\there", "/cancel", "да", "d", "1.2.2026 7:05", "y"]
+
+
+def _sayings_sql() -> str:
+    answer = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAYINGS)).replace("\\t", "' || chr(9) || '")
+    no = f"({bare('e.text')} <> '/cancel')"
+    step = "r.command || r.step"
+    wait = "(r.command IS NOT NULL AND r.state IS NULL)"
+    time_ok = f"try_strptime({bare('e.text')}, '%d.%m.%Y %H:%M') IS NOT NULL"
+    digits = f"regexp_full_match({bare('e.text')}, '[0-9]+')"
+    skipped = f"{bare('e.text')} = '/skip'"
+    iso = "strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')"
+    words = f"array_to_string(list_filter(regexp_split_to_array({bare('e.text')}, '\\s+'), lambda x: x <> ''), ' ')"
+    confirms = f"lower({bare('e.text')}) IN ('да', 'yes', 'д', 'y')"
+    # What an answer does in each state: is it taken, what is kept, in which state does it end the dialog.
+    taken = f"""CASE WHEN {step} IN ('/note1', '/note2', '/event3') THEN {no} WHEN {step} = '/event1' THEN {no} AND {time_ok} WHEN {step} = '/event2' THEN {no} AND ({digits} OR {time_ok}) ELSE {no} AND e.text <> '' END"""
+    value = f"""CASE WHEN {step} IN ('/note1', '/note2', '/event3') AND {skipped} THEN '' WHEN {step} IN ('/note2', '/add_rule1') THEN {words} WHEN {step} = '/add_rule2' THEN {bare('e.text')}
+      WHEN {step} = '/event1' OR ({step} = '/event2' AND NOT {digits}) THEN {iso.format(f"try_strptime({bare('e.text')}, '%d.%m.%Y %H:%M')")}
+      WHEN {step} = '/event2' THEN {iso.format(f"strptime(r.v[2], '%Y-%m-%dT%H:%M:%S+00:00') + to_minutes(try_cast({bare('e.text')} AS INTEGER))")} ELSE e.text END"""
+    last = "(CASE r.command WHEN '/event' THEN 4 ELSE 3 END)"
+    end = f"""CASE WHEN NOT {no} THEN 'cancelled' WHEN e.text = '' AND {step} NOT IN ('/note1', '/note2', '/event3') THEN 'ended'
+      WHEN r.step = {last} AND NOT {confirms} THEN 'cancelled' WHEN r.step = {last} AND r.command = '/event' AND r.v[2] >= r.v[3] THEN 'rejected' WHEN r.step = {last} THEN 'done' END"""
+    begins = f"{bare('e.text')} IN ('/event', '/note', '/add_rule')"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, i, CASE m {answer} END AS text, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT user_id, (event_id * 7 + floor(value)::BIGINT) % {len(_SAYINGS)} AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::VARCHAR AS command, NULL::VARCHAR AS state, 0 AS step, 0 AS number, 0 AS turns, []::VARCHAR[] AS v FROM e WHERE i = 1
+  UNION ALL SELECT r.user_id, e.i, CASE WHEN {wait} THEN r.command WHEN {begins} THEN {bare('e.text')} END,
+    CASE WHEN {wait} THEN {end} END,
+    CASE WHEN {wait} THEN r.step + (CASE WHEN {taken} AND r.step < {last} THEN 1 ELSE 0 END) ELSE 0 END,
+    r.number + (CASE WHEN NOT {wait} AND {begins} THEN 1 ELSE 0 END),
+    CASE WHEN {wait} THEN r.turns + 1 ELSE 1 END,
+    CASE WHEN {wait} THEN CASE WHEN {taken} AND r.step < {last} THEN list_append(r.v, {value}) ELSE r.v END ELSE [] END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT r.user_id, number::INTEGER AS number, command, coalesce(state, 'open') AS state,
+  CASE WHEN state IS NULL THEN (CASE command WHEN '/note' THEN ['title', 'content', 'tags', 'confirm'] WHEN '/event' THEN ['title', 'start', 'end', 'description', 'confirm'] ELSE ['name', 'patterns', 'destination', 'confirm'] END)[step + 1] END AS waits_for,
+  v[1] AS first, v[2] AS second, v[3] AS third, v[4] AS fourth, turns::INTEGER AS turns
+FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i WHERE command IS NOT NULL AND (state IS NOT NULL OR r.i = n)"""
+
+
+@query(_sayings_sql())
+def dialog_automaton(spark, sf_dir):
+    """All three dialogs, again and again in each user's turns, with answers that can't be read."""
+    e = table(spark, sf_dir, "events")
+    said = F.element_at(F.array(*(F.lit(s.replace("\\t", "\t")) for s in _SAYINGS)), ((F.col("event_id") * 7 + F.floor("value")) % len(_SAYINGS) + 1).cast("int"))
+    out = dialogs.run(e, key="user_id", order=["ts", "event_id"], text=said)
+    by_place = [F.coalesce(*(F.when(F.col("command") == d.command, F.element_at("values", F.lit(d.steps[i].field))) for d in (dialogs.NOTE, dialogs.EVENT, dialogs.RULE) if i < len(d.steps) - 1)) for i in range(4)]
+    return out.select("user_id", "number", "command", "state", "waits_for", *(c.alias(n) for c, n in zip(by_place, ("first", "second", "third", "fourth"), strict=True)), "turns")
+
+
 @query("SELECT event_id, ts AS starts, ts + to_minutes(floor(value)::INTEGER) AS ends, event_type FROM events WHERE ts + to_minutes(floor(value)::INTEGER) > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-17' ORDER BY ts, event_id LIMIT 10")
 def agenda_window(spark, sf_dir):
     """The first ten events that overlap a week."""
