@@ -147,6 +147,40 @@ def agenda_window(spark, sf_dir):
     return calendar.agenda(e, F.to_timestamp_ntz(F.lit("2024-01-10 00:00:00")), 7, start="starts", end="ends", key="event_id")
 
 
+#: Rules by event, of every kind, and starts that don't take place.
+_RULES = ["RRULE:FREQ=DAILY", "FREQ=DAILY;INTERVAL=3;COUNT=20", "RRULE:FREQ=WEEKLY", "RRULE:FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,WE,SU;COUNT=11", "FREQ=WEEKLY;BYDAY=FR,TU;UNTIL=20240309T120000Z", "FREQ=MONTHLY;COUNT=4", "FREQ=MONTHLY;INTERVAL=2", "FREQ=YEARLY", "", "FREQ=DAILY;UNTIL=20240303"]
+#: Every day from the start to the window's end is looked at, and what the rule takes is numbered from the first.
+_OCCURRENCES = f"""e AS (SELECT event_id, ts, to_minutes(floor(value)::INTEGER * 30 + 1) AS len, event_id % {len(_RULES)} AS k FROM events),
+p AS (SELECT *, CASE k WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS step, CASE k WHEN 1 THEN 20 WHEN 3 THEN 11 WHEN 5 THEN 4 WHEN 8 THEN 1 END AS most,
+  CASE k WHEN 4 THEN TIMESTAMP '2024-03-09 12:00:00' WHEN 9 THEN TIMESTAMP '2024-03-03 23:59:59' END AS last, CASE k WHEN 2 THEN [isodow(ts)] WHEN 3 THEN [1, 3, 7] WHEN 4 THEN [2, 5] END AS days FROM e),
+d AS (SELECT *, ts + to_days(i::INTEGER) AS moment, i FROM (SELECT *, unnest(range(0, date_diff('day', ts, TIMESTAMP '2024-03-15') + 2)) AS i FROM p)),
+t AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY moment) AS n FROM d WHERE CASE WHEN k IN (0, 1, 9) THEN i % step = 0
+  WHEN k IN (2, 3, 4) THEN list_contains(days, isodow(moment)) AND (date_diff('day', date_trunc('week', ts), date_trunc('week', moment)) // 7) % step = 0
+  WHEN k IN (5, 6) THEN day(moment) = day(ts) AND ((year(moment) - year(ts)) * 12 + month(moment) - month(ts)) % step = 0 WHEN k = 7 THEN day(moment) = day(ts) AND month(moment) = month(ts) ELSE i = 0 END),
+o AS (SELECT event_id, n::INTEGER AS occurrence, moment AS starts, moment + len AS ends FROM t WHERE (most IS NULL OR n <= most) AND (last IS NULL OR moment <= last) AND moment + len > TIMESTAMP '2024-03-01' AND moment < TIMESTAMP '2024-03-15' AND NOT (event_id % 3 = 0 AND moment IN (ts + to_days(42), ts + to_days(45))))"""
+
+
+def _occurrences(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rule = F.element_at(F.array(*map(F.lit, _RULES)), (F.col("event_id") % len(_RULES) + 1).cast("int"))
+    day = lambda n: F.col("ts") + F.make_dt_interval(days=F.lit(n))
+    e = e.select("event_id", F.col("ts").alias("starts"), (F.col("ts") + F.make_dt_interval(mins=(F.floor("value") * 30 + 1).cast("int"))).alias("ends"), rule.alias("rule"), F.when(F.col("event_id") % 3 == 0, F.array(day(42), day(45))).alias("except"))
+    window = (F.to_timestamp_ntz(F.lit(f"2024-03-{d} 00:00:00")) for d in ("01", "15"))
+    return calendar.occurrences(e, *window, start="starts", end="ends", rule="rule", except_="except").select("event_id", "occurrence", "starts", "ends")
+
+
+@query(f"WITH {_OCCURRENCES} SELECT * FROM o")
+def recurring_occurrences(spark, sf_dir):
+    """What repeating events put into two weeks, each with its number since the first."""
+    return _occurrences(spark, sf_dir)
+
+
+@query(f"WITH {_OCCURRENCES} SELECT * FROM o WHERE ends > TIMESTAMP '2024-03-08' AND starts < TIMESTAMP '2024-03-09' ORDER BY starts, event_id LIMIT 10")
+def recurring_agenda(spark, sf_dir):
+    """The first ten occurrences of a day."""
+    return calendar.agenda(_occurrences(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-03-08 00:00:00")), 1, start="starts", end="ends", key="event_id")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'upcoming' ELSE 'past' END AS phase FROM orders")
 def upcoming_and_past(spark, sf_dir):
     return calendar.split_at(table(spark, sf_dir, "orders"), F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")), "o_orderdate").select("o_orderkey", "phase")
