@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ingest
+from ..scratch import new_folder
 from ..sources import files
+from ..streaming import ingest as ingestion
 from .registry import Registry
 from .tables import bare, dealt, table
 
@@ -150,3 +154,63 @@ def catalog_listing(spark, sf_dir):
     have = [(t.name.removeprefix("listed_"),) for t in spark.catalog.listTables() if t.name.startswith("listed_")]
     names = spark.createDataFrame(have, "name string")
     return names.where(F.col("name").isin("orders", "nation", "missing"))
+
+
+#: Documents as dropped files: several folders and endings, names that repeat, two batches.
+_DROPPED = """f AS (SELECT doc_id, doc_id % 2 AS batch, CASE doc_id % 5 WHEN 0 THEN 'books' WHEN 1 THEN 'articles' WHEN 2 THEN 'elsewhere' ELSE 'drafts' END || '/s' || doc_id || '/d' || doc_id // 9 AS stem_path, CASE doc_id % 8 WHEN 0 THEN '.MD' WHEN 1 THEN '.xyz' ELSE '.txt' END AS ending, text AS raw FROM documents)"""
+_STORED = "length(content) % 7 > 1"
+
+
+def _dropped(spark, sf_dir):
+    n = F.col("doc_id")
+    folder = F.when(n % 5 == 0, "books").when(n % 5 == 1, "articles").when(n % 5 == 2, "elsewhere").otherwise("drafts")
+    ending = F.when(n % 8 == 0, ".MD").when(n % 8 == 1, ".xyz").otherwise(".txt")
+    path = F.concat(folder, F.lit("/s"), n.cast("string"), F.lit("/d"), F.floor(n / 9).cast("string"), ending)
+    return dealt(table(spark, sf_dir, "documents")).select(path.alias("path"), path.alias("relative_path"), F.encode("text", "UTF-8").alias("content"), (n % 2).alias("batch"))
+
+
+def _taken_in(spark, sf_dir):
+    """Both batches, the first of them twice."""
+    store, dropped = ingestion.Store(spark, new_folder(spark)), _dropped(spark, sf_dir)
+    for batch in (0, 1, 0):
+        at = datetime(2024, 1, 1) + timedelta(seconds=batch)
+        ingestion.ingest_batch(store, dropped.where(F.col("batch") == batch).drop("batch"), batch, at=at, accepts=F.length("content") % 7 > 1)
+    return store
+
+
+_INGESTED = f"""{_DROPPED},
+t AS (SELECT *, {bare('raw')} AS text FROM f),
+e AS (SELECT *, CASE WHEN ending = '.xyz' THEN 'ValueError: no parser for .xyz' WHEN raw IS NULL THEN 'TypeError' WHEN length(text) < 50 THEN 'text too short: ' || length(text) END AS parse FROM t),
+c AS ({_chunks_sql(bare('text'), 2000, 200)}),
+n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER ({_STORED}) AS n_stored FROM c GROUP BY 1),
+o AS (SELECT e.doc_id, batch, stem_path || ending AS relative_path, CASE WHEN split_part(stem_path, '/', 1) = 'elsewhere' THEN 'misc' ELSE split_part(stem_path, '/', 1) END AS wing, split_part(stem_path, '/', 3) AS stem, ending,
+  coalesce(parse, CASE WHEN n_stored = 0 THEN 'no chunk was stored' END) AS error, CASE WHEN parse IS NULL THEN n_chunks ELSE 0 END AS n_chunks, CASE WHEN parse IS NULL THEN n_stored ELSE 0 END AS n_stored FROM e LEFT JOIN n USING (doc_id)),
+k AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed' WHEN n_stored < 0.8 * n_chunks THEN 'warning' ELSE 'processed' END AS outcome FROM o),
+a AS (SELECT *, CASE WHEN outcome = 'failed' THEN 'failed' ELSE 'processed' END AS root FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY root, wing, stem, ending, batch ORDER BY relative_path) - CASE WHEN min(batch) OVER (PARTITION BY root, wing, stem, ending) < batch THEN 0 ELSE 1 END AS late FROM a)"""
+
+
+@query(f"""WITH {_INGESTED} SELECT batch, relative_path, wing, outcome, error, n_chunks::BIGINT AS n_chunks, n_stored::BIGINT AS n_stored,
+  root || '/' || wing || '/' || stem || CASE WHEN late = 0 THEN '' ELSE '_20240101_00000' || batch || CASE WHEN late > 1 THEN '_' || late ELSE '' END END || ending AS archived_as FROM p""")
+def ingest_outcomes(spark, sf_dir):
+    """What became of each dropped file, after a batch was run again."""
+    return _taken_in(spark, sf_dir).outcomes().select("batch", "relative_path", "wing", "outcome", "error", "n_chunks", "n_stored", "archived_as")
+
+
+@query(f"""WITH {_INGESTED} SELECT batch, count(*) AS files, count(*) FILTER (outcome = 'processed') AS processed, count(*) FILTER (outcome = 'warning') AS warning,
+  count(*) FILTER (outcome = 'failed') AS failed, sum(n_stored)::BIGINT AS stored FROM p GROUP BY 1""")
+def ingest_ledger(spark, sf_dir):
+    """The counts of each batch, as observed while it was written."""
+    return _taken_in(spark, sf_dir).ledger().select("batch", "files", "processed", "warning", "failed", "stored")
+
+
+@query(f"WITH {_INGESTED} SELECT sha256(k.relative_path || ':' || chunk_index) AS id, k.wing, k.batch, c.chunk_index, c.content FROM c JOIN k USING (doc_id) WHERE k.n_chunks > 0 AND {_STORED}")
+def ingest_drawers(spark, sf_dir):
+    """The drawers that dropped files left."""
+    return _taken_in(spark, sf_dir).drawers().select("id", "wing", "batch", "chunk_index", "content")
+
+
+@query(f"WITH {_INGESTED} SELECT k.wing, k.relative_path, t.text FROM k JOIN t USING (doc_id) JOIN e USING (doc_id) WHERE e.parse IS NULL")
+def ingest_markdown(spark, sf_dir):
+    """The markdown copies of what could be read."""
+    return _taken_in(spark, sf_dir).markdown().select("wing", "relative_path", "text")

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: ingestion of dropped files, and the rate limiter with state."""
+"""The rate limiter over a stream, with state."""
 
 from __future__ import annotations
 
@@ -9,44 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import gated, numbered_chunks, wing_of
-from ..sources.files import PARSERS, extension, parsed
-from ..sources.sinks import split_failures, write_drawers
-
-
-def drawers_of(files: DataFrame, failures: str | None, target: int = 2000, overlap: int = 200) -> DataFrame:
-    """Files (path, relative_path, content) as drawers: parsed, gated, chunked; what fails goes to the table of failures."""
-    texts = parsed(files)
-    good = split_failures(gated_errors(texts), failures)
-    named = good.withColumns({"wing": wing_of(F.col("relative_path")), "stem": F.regexp_extract("relative_path", r"([^/]+?)(?:\.[^./]*)?$", 1)})
-    drawers = numbered_chunks(named, key="relative_path", text="text", base="stem", target=target, overlap=overlap)
-    return drawers.withColumn("wing", wing_of(F.col("relative_path"))).withColumn("added_by", F.lit("ingest"))
-
-
-def gated_errors(texts: DataFrame, least: int = 50) -> DataFrame:
-    """Parse errors stay; texts that are too short get one."""
-    short = gated(texts.withColumnRenamed("error", "__parse"), "text", least)
-    return short.withColumn("error", F.coalesce("__parse", "error")).drop("__parse")
-
-
-def ingest_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, archive: str | None = None, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
-    """Reads files as they are dropped and appends their drawers to ``out``/drawers, failures to ``out``/failed.
-
-    The checkpoint, not a file's place, tells what was handled; ``archive`` moves handled files there.
-    """
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    files = reader.load(inbox).where(extension(F.col("path")).isin(*PARSERS))
-    root = inbox.rstrip("/").split(":", 1)[-1] + "/"
-    relative = F.substring(F.col("path"), F.instr("path", root) + len(root), F.length("path"))
-    files = files.withColumn("relative_path", relative).select("path", "relative_path", "content", "length")
-
-    def store(batch: DataFrame, _: int) -> None:
-        write_drawers(drawers_of(batch, f"{out}/failed"), f"{out}/drawers")
-
-    writer = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def passed(batches: Iterator[pa.RecordBatch], span: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -86,27 +48,44 @@ _NAMES = ["user", "id", "accepted", "kept"]
 _VERDICTS = "user long, id long, accepted boolean, kept array<long>"
 
 
-def limit_stream(events: DataFrame, out: str, checkpoint: str, *, user: str = "user_id", time: str = "ts", key: str = "event_id", window_seconds: float = 60, most: int = 30, once: bool = False) -> StreamingQuery:
+def limit_stream(events: DataFrame, out: str, checkpoint: str, *, user: str = "user_id", time: str = "ts", key: str = "event_id", window_seconds: float = 60, most: int = 30, lateness_seconds: float = 0, once: bool = False) -> StreamingQuery:
     """The rate limiter over a stream: each event's key and whether it is accepted, in time order within a batch.
 
     A user's rows pass as a sorted stream, never as a group.  The state of a user is the accepted
     times still in the window, at most ``most``; it is written with a batch's verdicts and is the
-    next one's beginning.  A batch that is run again overwrites what it wrote.  ``verdicts`` reads them.
+    next one's beginning.  A user whose times all lie a window and ``lateness_seconds`` before the newest accepted time has
+    no state any more, so a batch costs its own rows and the users of the last window.  An event that comes later than that
+    is judged by the times that are left.  A batch that is run again overwrites what it wrote; states before
+    the last two are removed.  ``verdicts`` reads the verdicts.
     """
-    span = int(window_seconds * 1_000_000)
+    span, late = int(window_seconds * 1_000_000), int(lateness_seconds * 1_000_000)
     rows = events.select(F.col(user).alias("user"), F.unix_micros(F.col(time).cast("timestamp")).alias("micros"), F.col(key).alias("id"), F.lit(None).cast("array<long>").alias("kept"))
 
     def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         if number:
-            last = batch.sparkSession.read.schema(_VERDICTS).parquet(f"{out}/batch={number - 1}").where(F.col("kept").isNotNull())
+            last = spark.read.schema(_VERDICTS).parquet(f"{out}/batch={number - 1}/state=true")
+            newest = last.agg(F.max(F.array_max("kept"))).first()[0]
+            if newest is not None:
+                last = last.withColumn("kept", F.filter("kept", lambda t: newest - t < span + late)).where(F.size("kept") > 0)
             batch = batch.unionByName(last.select("user", F.lit(None).cast("long").alias("micros"), F.lit(None).cast("long").alias("id"), "kept"))
         ordered = batch.repartition("user").sortWithinPartitions("user", F.col("kept").isNull(), "micros", "id")
-        ordered.mapInArrow(lambda batches: passed(batches, span, most), _VERDICTS).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        judged = ordered.mapInArrow(lambda batches: passed(batches, span, most), _VERDICTS).withColumn("state", F.col("kept").isNotNull())
+        # Both folders are there even if a batch has no rows of a kind.
+        judged = judged.unionByName(spark.createDataFrame([(None, None, None, None, True), (None, None, None, None, False)], f"{_VERDICTS}, state boolean"))
+        judged.write.mode("overwrite").partitionBy("state").parquet(f"{out}/batch={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={number - 2}/state=true")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def states(spark: SparkSession, out: str, number: int) -> DataFrame:
+    """The state that a batch left: user and kept times (microseconds)."""
+    return spark.read.schema(_VERDICTS).parquet(f"{out}/batch={number}/state=true").where(F.col("user").isNotNull()).select("user", "kept")
+
+
 def verdicts(spark: SparkSession, out: str) -> DataFrame:
     """What ``limit_stream`` wrote: user, id, accepted."""
-    return spark.read.schema(_VERDICTS).parquet(out).where(F.col("accepted").isNotNull()).select("user", "id", "accepted")
+    return spark.read.schema(f"{_VERDICTS}, batch long, state boolean").parquet(out).where(~F.col("state") & F.col("accepted").isNotNull()).select("user", "id", "accepted")

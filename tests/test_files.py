@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quarrylight.sources import files
-from quarrylight.streaming import jobs
+from quarrylight.streaming import ingest
 
 
 def docx(*paragraphs):
@@ -42,15 +42,15 @@ def test_folder_and_stream(spark, tmp_path):
         (inbox / name).write_bytes(b"not a zip" if text is None else text.encode())
     found = files.found_files(spark, str(inbox))
     assert sorted(r["relative_path"] for r in found.collect()) == ["b.MD", "books/a.txt", "books/d.docx", "other/c.txt"]
-    batch = jobs.drawers_of(found, None).select("relative_path", "chunk_index", "wing", "tag")
+    batch = ingest.chunked(ingest.read_texts(found)).select("relative_path", "chunk_index", "wing", "tag")
     assert {r["relative_path"]: r["wing"] for r in batch.collect()} == {"b.MD": "misc", "books/a.txt": "books"}
-    out = str(tmp_path / "out")
+    store = ingest.Store(spark, str(tmp_path / "out"))
     for _ in range(2):  # the second run finds nothing new
-        jobs.ingest_stream(spark, str(inbox), out, str(tmp_path / "state"), once=True).awaitTermination()
-        stored = spark.read.parquet(f"{out}/drawers")
-        assert sorted(map(tuple, stored.select("relative_path", "chunk_index", "wing", "tag").collect())) == sorted(map(tuple, batch.collect()))
-        failed = {r["relative_path"]: r["error"] for r in spark.read.parquet(f"{out}/failed").collect()}
+        ingest.ingest_stream(spark, str(inbox), store.folder, str(tmp_path / "state"), once=True).awaitTermination()
+        assert sorted(map(tuple, store.drawers().select("relative_path", "chunk_index", "wing", "tag").collect())) == sorted(map(tuple, batch.collect()))
+        failed = {r["relative_path"]: r["error"] for r in store.failures().collect()}
         assert set(failed) == {"books/d.docx", "other/c.txt"} and failed["other/c.txt"].startswith("text too short")
+        assert [(r["files"], r["processed"], r["failed"]) for r in store.ledger().collect()] == [(4, 2, 2)]
 
 
 def test_key_values_and_front_matter(spark):

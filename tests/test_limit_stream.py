@@ -44,3 +44,17 @@ def test_batches_in_time_order_equal_the_batch_limiter(spark, tmp_path):
     want = sorted(map(tuple, want.select("user_id", "event_id", "accepted").collect()))
     assert sorted(map(tuple, jobs.verdicts(spark, f"{tmp_path}/out").collect())) == want
     assert 50 < sum(r[2] for r in want) < 350
+
+
+def test_state_ends_with_the_window(spark, tmp_path):
+    """A user's state goes once the window behind the newest time is empty, and old batches' states are removed."""
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=s), u) for i, (s, u) in enumerate([(0, 1), (1, 1), (2, 2), (100, 3), (101, 3), (200, 4), (201, 4), (202, 4), (90, 1)])]
+    for part, ids in enumerate([(0, 1, 2), (3, 4), (5, 6), (7, 8)]):
+        spark.createDataFrame([rows[i] for i in ids], "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema("event_id long, ts timestamp, user_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.limit_stream(events, f"{tmp_path}/out", f"{tmp_path}/state", window_seconds=60, most=2, once=True).awaitTermination()
+    assert not (tmp_path / "out/batch=0/state=true").exists() and not (tmp_path / "out/batch=1/state=true").exists()
+    assert {r["user"] for r in jobs.states(spark, f"{tmp_path}/out", 2).collect()} == {3, 4}  # user 1's and 2's times were over before
+    got = {r["id"]: r["accepted"] for r in jobs.verdicts(spark, f"{tmp_path}/out").collect()}
+    assert got == {i: i != 7 for i in range(9)}  # the late row of user 1 meets no times any more
