@@ -240,19 +240,32 @@ def log_probabilities(strings: DataFrame, depth: int, scratch: Scratch) -> DataF
     return strings.groupBy("tail").cogroup(tops.groupBy("tail")).applyInArrow(down, "key long, seen long, score double")
 
 
-def _head(frame: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent keys, at most so many, with their values, and the frequency from which they are all there."""
-    tail = frame.groupBy(F.least("seen", F.lit(4096)).alias("seen")).count().orderBy(F.desc("seen")).collect()  # at most 4096 rows
-    least, total = 1 << 62, 0
-    for r in tail:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["seen"]
-    got = frame.where(F.col("seen") >= least).select("key", value).toArrow()
-    keys, values = got["key"].to_numpy().view(np.uint64), got[value].to_numpy()
+def _head(frame: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys, at most so many, with their values.
+
+    Frequencies are counted exactly up to 4096 and in 64 steps for each doubling beyond.  The step that doesn't fit as a whole is
+    taken in part, by a hash of the key, so the table is full to within a thousandth of that step whatever the frequencies.
+    """
+    large = F.lit(4096) + F.floor(F.log2(F.col("seen") / 4096) * 64)
+    ranked = frame.select("key", F.col(value).alias("value"), F.when(F.col("seen") < 4096, F.col("seen")).otherwise(large).cast("long").alias("step"), F.pmod(F.xxhash64("key"), F.lit(1024)).cast("int").alias("part"))
+
+    def fitting(column: str, rows: DataFrame, room: int, down: bool) -> tuple[int | None, int]:
+        """The first value that doesn't fit, in order of size, and the room that is left."""
+        for r in rows.groupBy(column).count().orderBy(F.desc(column) if down else column).collect():  # some thousand rows at most
+            if r["count"] > room:
+                return r[column], room
+            room -= r["count"]
+        return None, room
+
+    cut, room = fitting("step", ranked, most, down=True)
+    if cut is not None:
+        inside = ranked.where(F.col("step") == cut)
+        last, _ = fitting("part", inside, room, down=False)
+        ranked = ranked.where(F.col("step") > cut).unionByName(inside.where(F.col("part") < last) if last is not None else inside)
+    got = ranked.select("key", "value").toArrow()
+    keys, values = got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order], least
+    return keys[order], values[order]
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +290,8 @@ def score(docs: DataFrame, learn_from: Column, *, doc_id: str = "doc_id", text:
     n_train, n_distinct = words.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count("*")).first()
     strings = scratch.keep(log_probabilities(counts.where(F.col("kind") == STRING).select("key", "seen", "learned"), depth, scratch), "strings")
     scratch.drop("roots", "tops")
-    string_keys, string_scores, _ = _head(strings, head, "score")
-    word_keys, word_counts, _ = _head(words, head, "learned")
+    string_keys, string_scores = _head(strings, head, "score")
+    word_keys, word_counts = _head(words, head, "learned")
     tables = spark.sparkContext.broadcast((string_keys, string_scores, word_keys, word_counts))  # at most 2 * head * 16 bytes
     whole = n_train + 0.5 * (n_distinct + 1)
     base_of = lambda c: np.log10((c + 0.5) / whole)

@@ -106,3 +106,14 @@ def test_held_out_text_takes_few_bits(spark):
     got = ctw.score(docs, F.col("doc_id") % 5 != 1).join(docs.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").where(F.col("doc_id") % 5 == 1)
     r = got.agg(F.sum("score").alias("score"), F.sum("bytes").alias("bytes")).first()
     assert -r["score"] * math.log2(10) / r["bytes"] < 3  # bits a byte
+
+
+@pytest.mark.parametrize("frequencies", [[5_000] * 20, list(range(5_000, 5_020)), [10**9] * 20 + [7] * 30, [1] * 3_000, [1] * 5])
+def test_the_broadcast_table_is_filled(spark, frequencies):
+    frame = spark.createDataFrame([(i, f, float(i)) for i, f in enumerate(frequencies)], "key long, seen long, score double")
+    for most in (10, 1000):
+        keys, values = ctw._head(frame, most, "score")
+        assert min(most, len(frequencies)) - 1 - len(frequencies) // 200 <= len(keys) <= most
+        assert keys.tolist() == values.astype(int).tolist() == sorted(keys.tolist())
+        worst = min(frequencies[k] for k in keys)
+        assert sum(f > 1.02 * worst for f in frequencies) <= len(keys)
