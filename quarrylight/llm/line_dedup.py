@@ -52,7 +52,9 @@ def boilerplate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     named = own_columns(docs, doc_id=doc_id, text=text, site=site)
     site_name = F.when(F.col("site").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("site").cast("string")))
-    lines = named.select("doc_id", F.xxhash64("text").alias("version"), site_name.alias("site"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    # Hashed before the explode, else each line would have its whole text hashed.
+    named = named.select("doc_id", F.xxhash64("text").alias("version"), site_name.alias("site"), F.split("text", "\n").alias("lines"))
+    lines = named.select("doc_id", "version", "site", F.posexplode("lines").alias("position", "line"))
     lines = lines.select("doc_id", "version", "site", "position", _stripped(F.col("line")).alias("line"))
     lines = lines.where(F.col("line") != "").select("doc_id", "version", "site", "position", F.xxhash64("line").alias("hash"), F.length("line").alias("size"))
     found = spread(lines, scratch, min_sites)
@@ -69,9 +71,11 @@ def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remo
     gone = boilerplate(docs, doc_id=doc_id, text=text, **options)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("positions").alias("__positions"))
     same = docs[f"`{doc_id}`"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["__version"])
-    joined = docs.join(gone, same, "left")
-    lines = F.split(docs[f"`{text}`"], "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone["__positions"], i)), "\n")
+    name = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # that no column has
+    joined = docs.join(gone, same, "left").withColumn(name, F.when(F.col("__positions").isNotNull(), F.split(docs[f"`{text}`"], "\n")))
+    # Places that stay are what the removed ones leave of all, by a set; each is then looked up: linear in the text's lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(name) - 1), gone["__positions"])
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(name), i)), "\n")
     rest = F.when(gone["__positions"].isNull(), docs[f"`{text}`"]).otherwise(kept)
     columns = [rest.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns]
     return joined.select(*columns, *([F.coalesce(F.size(gone["__positions"]), F.lit(0)).cast("long").alias(removed)] if removed else []))

@@ -37,3 +37,18 @@ def test_defined_cases(spark):
     got = sorted(((r["doc_id"], r["text"], r["gone"]) for r in out.collect()), key=repr)
     assert got == sorted([(None, "y", 1), *ones, *[(i, "", 2) for i in range(2, 12)]], key=repr)
     assert line_dedup.cleaned(frame.limit(0)).count() == 0
+
+
+def test_long_text_in_linear_time(spark):
+    """A text of 200,000 lines, all of which go: ten times the lines take far less than a hundred times as long."""
+    import time
+
+    took = []
+    for n in (100, 20_000, 200_000):
+        docs = [(d, f"s{d}", "\n".join(f"shared {i}" for i in range(50))) for d in range(11)] + [(99, "s99", "\n".join(f"shared {i % 50}" for i in range(n)) + "\nown")]
+        frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+        began = time.perf_counter()
+        got = {r["doc_id"]: (r["gone"], r["text"][-9:]) for r in line_dedup.cleaned(frame, removed="gone").collect()}
+        took.append(time.perf_counter() - began)
+        assert got == {0: (0, "shared 49"), 99: (n, "own")} | {d: (50, "") for d in range(1, 11)}
+    assert took[2] < 12 * took[1]
