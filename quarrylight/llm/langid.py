@@ -4,7 +4,7 @@ A text's subwords are the runs of 2, 3 and 4 bytes of its A-Z lower-cased text i
 everything ASCII but letters is a blank.  Each hashes to one of ``BUCKETS`` embeddings; a linear
 softmax over their average gives the languages' probabilities.  Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on at most ``SAMPLE`` documents of each
-language (those with the smallest hash of their id) and ``SAMPLE_IN_ALL`` of all languages, of which the
+language (rows with the smallest hash of their id and text, repeated ones once) and ``SAMPLE_IN_ALL`` of all languages, of which the
 ``LANGUAGES`` with most documents are learned; whole texts are turned to counts by
 the executors.  A fifth of the sample is set aside to calibrate: a temperature makes the
 probabilities match what is observed.  Each text set aside also gives a text that is no language,
@@ -17,8 +17,8 @@ A prediction reads a text and the model, nothing else.  As the model is linear a
 embeddings times softmax weights is one table of ``BUCKETS`` rows that executors look up.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected, and so
-is every text if there is nothing to learn from; documents with a null or empty label or null
-text are not learned from; repeated rows are each predicted; other columns are not read.
+is every text if there is nothing to learn from; documents with a null label or text are not
+learned from, an empty label is one like others; repeated rows are each predicted; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +47,6 @@ ASIDE = 5
 #: Documents of all languages that are learned from, at most (about 20 KB each in the task that trains), and languages.
 SAMPLE_IN_ALL = 6000
 LANGUAGES = 512
-#: Up to so many sampled ids are broadcast, so that the texts need no shuffle; more are joined by one.
-BROADCAST_IDS = 200_000
 REJECTED_SHARE = 0.001
 ACCEPTED_JUNK = 0.02
 UNKNOWN = "und"
@@ -169,20 +167,20 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def learn(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, in_all: int = SAMPLE_IN_ALL, most_languages: int = LANGUAGES) -> Model | None:
     """A model from the labelled documents where ``usable`` (over doc_id) holds."""
-    rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & (F.col("lang") != ""))
-    # A share of each language that leaves about three times the sample goes into the ranking, however many there are.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    rows = own_columns(docs, doc_id=doc_id, text=text, lang=lang).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("drawn"))
+    # A share of each language's different rows that leaves about three times the sample goes into the ranking, however many there are.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("drawn").alias("different")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang", "different").collect()
     if not sizes:
         return None
     sample = max(1, min(sample, in_all // len(sizes)))
-    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, n long")
+    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, different long")
     span = 1 << 30
-    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n")) * span
-    drawn = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share)  # at most `most_languages` rows
-    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(span)), "doc_id")
-    ids = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang").distinct()
-    n_ids = ids.limit(BROADCAST_IDS + 1).count()
-    rows = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    place = F.pmod("drawn", F.lit(span))
+    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.greatest("different", F.lit(1))) * span
+    near = rows.join(F.broadcast(sizes), "lang").where((place < share) & F.col("text").rlike(r"\p{L}")).select("lang", "drawn", "text")  # at most `most_languages` sizes
+    first = Window.partitionBy("lang").orderBy(place, "drawn")
+    rows = near.dropDuplicates(["lang", "drawn"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

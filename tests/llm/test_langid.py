@@ -24,9 +24,9 @@ def train(spark, rows):
 
 def test_defined_cases(spark):
     rows = [(i, f"the cat and the dog number {i} sat on the mat", "en") for i in range(60)] + [(100 + i, f"der Hund und die Katze {i} sitzen auf der Matte", "de") for i in range(60)]
-    rows += [(500, None, "en"), (501, "123 !?", "de"), (502, "", "en"), (503, "the cat", None), (None, "der Hund", "")]
+    rows += [(500, None, "en"), (501, "123 !?", "de"), (502, "", "en"), (503, "the cat", None), (None, "der Hund", "de"), (504, "xq zzv", "")]
     docs, model = train(spark, rows)
-    assert model.languages == ["de", "en"]
+    assert model.languages == ["", "de", "en"]
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
     assert [got[d]["lang_pred"] for d in (500, 501, 502)] == ["und"] * 3 and [got[d]["score"] for d in (500, 501, 502)] == [0.0] * 3
     assert got[503]["lang_pred"] == "en" and got[None]["lang_pred"] == "de"
@@ -49,3 +49,23 @@ def test_training_twice_gives_the_same(spark):
     rows = [(i, f"word{i % 7} text {i % 3}", "ab"[i % 2]) for i in range(50)]
     one, two = train(spark, rows)[1], train(spark, rows)[1]
     assert (one.table == two.table).all() and one.threshold == two.threshold
+
+
+def rows_in_training(spark, rows, monkeypatch, **options):
+    """How many texts each label has in the training task."""
+    import json
+    import tempfile
+    from pathlib import Path
+
+    seen = Path(tempfile.mkdtemp()) / "seen"
+    monkeypatch.setattr(langid, "train", lambda samples, at=str(seen): Path(at).write_text(json.dumps([s[0] for s in samples])) and None)
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), **options)
+    labels = json.loads(seen.read_text())
+    return {x: labels.count(x) for x in set(labels)}
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id on very many rows, a row that repeats, and many rows: no more than the sample of each."""
+    rows = [(7, f"text number {i} of the many", "en") for i in range(3000)] + [(9, "immer derselbe Text", "de")] * 3000 + [(i, f"texte {i}", "fr") for i in range(500)]
+    assert rows_in_training(spark, rows, monkeypatch, sample=10, in_all=30) == {"en": 10, "de": 1, "fr": 10}
+    assert rows_in_training(spark, rows, monkeypatch, sample=10, in_all=6) == {"en": 2, "de": 1, "fr": 2}
