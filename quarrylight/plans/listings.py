@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cut, first_line_title, like_folded, preview
 from ..operators import search
+from ..operators.textindex import TextIndex
 from .registry import Registry
-from .tables import NO_TITLE, NOTES_SQL, TITLE_SQL, bare, notes, table
+from .tables import NO_TITLE, NOTES_SQL, TITLE_SQL, bare, dealt, notes, table
 
 registry = Registry()
 query = registry.query
@@ -108,6 +109,20 @@ def site_search_ranked(spark, sf_dir):
     return search.by_shared_words(english, "The Apache Software License", key="doc_id", most=50).select("doc_id", "score")
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_all, sum(len(w))::BIGINT AS l_all FROM w),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, floor(ln(1 + (n_all::DOUBLE - count(*) + 0.5) / (count(*) + 0.5)) * 1000000)::BIGINT AS weight FROM tf, s GROUP BY term, n_all),
+q AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(phrase), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM (SELECT doc_id AS query_id, left(text, 80) AS phrase FROM documents WHERE doc_id % 100 = 0)),
+r AS (SELECT query_id, doc_id AS id, sum((weight * 2200 * tf) // (1000 * tf + 300 + (900 * n * n_all) // l_all))::BIGINT AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2 HAVING score > 0)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS place, id, score FROM r) WHERE place <= 10""")
+def site_search_bm25(spark, sf_dir):
+    """The ten best documents for the beginning of every hundredth, by an inverted index."""
+    d = dealt(table(spark, sf_dir, "documents"))
+    index = TextIndex.build(d, key="doc_id", text="text")
+    return index.search(d.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(80)).alias("phrase")))
+
+
 _LOCAL = "local AS (SELECT doc_id AS id, text AS title FROM documents WHERE lang = 'fr' AND doc_id % 7 = 3 ORDER BY doc_id DESC LIMIT {0}), remote AS (SELECT doc_id AS id, text AS title FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT {0})"
 
 
