@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -74,14 +77,36 @@ def parse_text(content: bytes) -> str:
         return content.decode("cp1251", errors="replace")
 
 
+_PAGES = (".xhtml", ".html", ".htm")
+
+
+def epub_pages(book: zipfile.ZipFile) -> list[str]:
+    """The book's pages in the order of its package's manifest; without a package that can be read, all pages by name, numbers
+    in them in order of size.
+
+    The container names the package, whose manifest names the files, from the package's folder on.
+    """
+    names = set(book.namelist())
+    try:
+        container = ElementTree.fromstring(book.read("META-INF/container.xml"))
+        package = next(e.get("full-path") for e in container.iter() if e.tag.rpartition("}")[2] == "rootfile")
+        items = [e for e in ElementTree.fromstring(book.read(package)).iter() if e.tag.rpartition("}")[2] == "item"]
+        pages = [posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(e.get("href", "").partition("#")[0]))) for e in items if "html" in e.get("media-type", "")]
+        found = [p for p in dict.fromkeys(pages) if p in names]
+    except (KeyError, StopIteration, TypeError, ElementTree.ParseError, zipfile.BadZipFile, zlib.error):
+        found = []
+    by_number = lambda name: [(0, int(part), "") if part.isdecimal() else (1, 0, part) for part in re.split(r"([0-9]+)", name)]
+    return found or sorted((n for n in names if n.lower().endswith(_PAGES)), key=by_number)
+
+
 def parse_epub(content: bytes) -> str:
-    """The pages of the archive in the order of their names; those that can't be read are skipped."""
+    """The pages of the book as markdown; those that can't be read or have no text are skipped."""
     parts = []
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        for name in sorted(n for n in book.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))):
+        for name in epub_pages(book):
             try:
                 parts.append(parse_html(book.read(name)))
-            except (zipfile.BadZipFile, OSError, ValueError):
+            except (zipfile.BadZipFile, zlib.error, OSError, ValueError):
                 continue
     return "\n\n".join(p for p in parts if p)
 
