@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ingest
+from ..operators import changes, ingest
 from ..scratch import new_folder
 from ..sources import files
 from ..streaming import ingest as ingestion
@@ -123,12 +123,13 @@ def error_collecting_load(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.when(number.isNull(), F.concat(F.lit("number: "), given)).alias("error"))
 
 
-@query("SELECT unnest(['_init_books', '_init_misc']) AS id, unnest(['books', 'misc']) AS wing, true AS is_active")
+@query("SELECT DISTINCT '_init_' || coalesce(source, 'misc') AS id, coalesce(source, 'misc') AS wing, true AS is_active FROM documents")
 def placeholder_seeds(spark, sf_dir):
-    """Seeding twice leaves one placeholder for each collection."""
-    seeds = spark.createDataFrame([("books",), ("misc",), ("books",), ("misc",)], "wing string")
-    seeds = seeds.select(F.concat(F.lit("_init_"), "wing").alias("id"), "wing", F.lit(True).alias("is_active"))
-    return seeds.dropDuplicates(["id"])
+    """A placeholder for each collection of documents; seeding twice writes the same rows over themselves."""
+    wings = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("misc")).alias("wing")).distinct()
+    seeds = wings.select(F.concat(F.lit("_init_"), "wing").alias("id"), "wing", F.lit(True).alias("is_active"))
+    log = seeds.withColumn("seq", F.lit(1)).unionByName(seeds.withColumn("seq", F.lit(2)))
+    return changes.fold(log, "id", ["seq"], take_last=["wing", "is_active"])
 
 
 @query("SELECT 'k' || n_nationkey AS line, n_name AS token FROM nation")
@@ -146,14 +147,11 @@ def hit_defaults(spark, sf_dir):
     return hits.select("id", F.coalesce("distance", F.lit(1.0)).alias("distance"), F.coalesce("content", F.lit("")).alias("content"))
 
 
-@query("SELECT 'orders' AS name UNION ALL SELECT 'nation'")
+@query("SELECT lang AS name, count(*) AS n, true AS is_active FROM documents WHERE lang IN ('de', 'fr', 'missing') GROUP BY 1")
 def catalog_listing(spark, sf_dir):
-    """Which of some names the catalog has."""
-    for name in ("orders", "nation"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"listed_{name}")
-    have = [(t.name.removeprefix("listed_"),) for t in spark.catalog.listTables() if t.name.startswith("listed_")]
-    names = spark.createDataFrame(have, "name string")
-    return names.where(F.col("name").isin("orders", "nation", "missing"))
+    """Which of a list of names there are, each with how many objects it has and the constant flag of seed rows."""
+    names = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr", "missing"))
+    return names.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("n")).withColumn("is_active", F.lit(True))
 
 
 #: Documents as dropped files: several folders and endings, names that repeat, two batches.
