@@ -72,7 +72,7 @@ def cleaned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remo
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("positions").alias("__positions"))
     same = docs[f"`{doc_id}`"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["__version"])
     name = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # that no column has
-    joined = docs.join(gone, same, "left").withColumn(name, F.when(F.col("__positions").isNotNull(), F.split(docs[f"`{text}`"], "\n")))
+    joined = docs.join(gone, same, "left").withColumn(name, F.when(gone["__positions"].isNotNull(), F.split(docs[f"`{text}`"], "\n")))
     # Places that stay are what the removed ones leave of all, by a set; each is then looked up: linear in the text's lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size(name) - 1), gone["__positions"])
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(name), i)), "\n")
