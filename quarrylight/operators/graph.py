@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .logstore import PUT, LogStore
+
+TRIPLES = "subject string, predicate string, object string, valid_from timestamp_ntz, source string"
+
 
 def facts(triples: DataFrame, entity: str, *, as_of: object = None, direction: str = "both") -> DataFrame:
     """Triples (subject, predicate, object, valid_from) of an entity that hold at a time; undated ones always hold."""
@@ -13,6 +17,16 @@ def facts(triples: DataFrame, entity: str, *, as_of: object = None, direction: s
     return found if as_of is None else found.where(F.col("valid_from").isNull() | (F.col("valid_from") <= F.lit(as_of)))
 
 
+def triple_id(subject: str = "subject", predicate: str = "predicate", object_: str = "object", valid_from: str = "valid_from") -> Column:
+    """A triple's id, the same whenever the same triple is added: a hash of its parts and the second from which it holds."""
+    return F.sha2(F.concat_ws("\x1f", subject, predicate, object_, F.coalesce(F.date_format(valid_from, "yyyy-MM-dd HH:mm:ss"), F.lit(""))), 256)
+
+
+def add_triples(store: LogStore, triples: DataFrame, batch: int) -> bool:
+    """Appends triples (subject, predicate, object, valid_from, source, seq) to a store keyed by id; one that is there already only gets the later source."""
+    return store.append(triples.withColumns({"id": triple_id(), "op": F.lit(PUT)}), batch)
+
+
 def graph_stats(triples: DataFrame) -> DataFrame:
     """Triples, entities and predicates, and triples per predicate: metric, name, n."""
     total = triples.agg(F.count("*").alias("n")).select(F.lit("triples").alias("metric"), F.lit("").alias("name"), "n")

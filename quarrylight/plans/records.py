@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar, changes, dialogs, sequences
+from ..operators.logstore import DELETE, PATCH, PUT, LogStore
+from ..scratch import new_folder
 from .registry import Registry
 from .tables import bare, table
 
@@ -236,3 +238,27 @@ def drawer_store(spark, sf_dir):
     log = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"), (F.col("doc_id") % 9 == 0).alias("gone"))
     out = changes.fold(log, "id", ["seq"], take_last=["content"], deleted=F.col("gone"))
     return out.crossJoin(F.broadcast(out.agg(F.count("*").alias("total"))))  # one row
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 14 = 0 THEN 'again' WHEN o_orderkey % 3 = 0 THEN 'moved' ELSE o_orderpriority END AS summary,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 14 <> 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS start,
+  CASE WHEN o_orderkey % 14 = 0 OR o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS location FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0""")
+def event_store(spark, sf_dir):
+    """Events created, patched and deleted in batches, one of which comes twice, between compactions; patches of events that aren't there do nothing."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_orderpriority").alias("summary"), F.col("o_orderdate").alias("start"), F.col("o_orderstatus").alias("location"))
+    every = lambda n: orders.where(F.col("id") % n == 0)
+    change = lambda rows, op, seq, **values: rows.withColumns(values | {"op": F.lit(op), "seq": F.lit(seq)})
+    patch = lambda rows, seq, **values: change(rows, PATCH, seq, given=F.array(*map(F.lit, values)), **values)
+    store = LogStore(spark, new_folder(spark), "id", "long", "summary string, start timestamp_ntz, location string", buckets=8)
+    moved = patch(every(3), 0, summary=F.lit("moved"), start=F.col("start") + F.expr("INTERVAL 1 DAY"))
+    unplaced = patch(every(5), 1, location=F.lit(None).cast("string"))
+    absent = patch(orders.withColumn("id", -F.col("id")), 2, summary=F.lit("nobody"))
+    patches = moved.unionByName(unplaced).unionByName(absent)
+    store.append(change(orders, PUT, 0), 0)
+    store.append(patches, 1)
+    store.compact()
+    store.append(patches, 1)
+    store.append(change(every(7), DELETE, 0), 2)
+    store.append(change(every(14), PUT, 0, summary=F.lit("again"), location=F.lit(None).cast("string")), 3)
+    return store.read()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, metric, vectors
+from ..operators.logstore import DELETE, LogStore
+from ..scratch import new_folder
 from .registry import Registry
 from .tables import NOTES_SQL, notes, table
 
@@ -90,3 +92,26 @@ def vector_two_key_filter(spark, sf_dir):
     """Both keys must match before the search."""
     hits = vectors.nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), key="vec_id", max_distance=4, before=(F.col("label") == 3) & (F.col("vec_id") % 2 == 1))
     return hits.select("query_id", "vec_id", "place")
+
+
+_ADDED = "SELECT 'c' || o_custkey AS subject, l_returnflag AS predicate, 'p' || l_partkey AS object, CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS valid_from, 'o' || o_orderkey AS source, l_linenumber % 3 AS batch, o_orderkey * 10 + l_linenumber AS seq, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+_ID = "sha256(subject || chr(31) || predicate || chr(31) || object || chr(31) || coalesce(strftime(valid_from, '%Y-%m-%d %H:%M:%S'), ''))"
+
+
+@query(f"""WITH a AS (SELECT *, {_ID} AS id FROM ({_ADDED})), gone AS (SELECT id FROM a WHERE predicate = 'R' AND l_linenumber = 4)
+SELECT id, subject, predicate, object, valid_from, arg_max(source, batch * 1000000000000 + seq) AS source FROM a WHERE id NOT IN (SELECT id FROM gone) GROUP BY ALL""")
+def triple_store(spark, sf_dir):
+    """Triples added in batches, one of them twice, some deleted, between compactions."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    added = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(
+        text("c", "o_custkey").alias("subject"), F.col("l_returnflag").alias("predicate"), text("p", "l_partkey").alias("object"), F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")).alias("valid_from"),
+        text("o", "l_orderkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_linenumber")
+    store = LogStore(spark, new_folder(spark), "id", "string", graph.TRIPLES, buckets=8)
+    for batch in (0, 1, 0, 2):
+        graph.add_triples(store, added.where(F.col("l_linenumber") % 3 == batch), batch)
+        if batch == 1:
+            store.compact()
+    gone = added.where((F.col("predicate") == "R") & (F.col("l_linenumber") == 4))
+    store.append(gone.withColumns({"id": graph.triple_id(), "op": F.lit(DELETE)}), 3)
+    return store.read()
