@@ -212,3 +212,27 @@ def ingest_drawers(spark, sf_dir):
 def ingest_markdown(spark, sf_dir):
     """The markdown copies of what could be read."""
     return _taken_in(spark, sf_dir).markdown().select("wing", "relative_path", "text")
+
+
+# Encodings that files come in, and words for texts in Russian.
+ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-32-be", "cp1252", "cp1251", "koi8-r", "cp866")
+WORDS = "завтра будет дождь возьми зонт старый дом стоит лесом добрый кузнец играют собака столом книга лежит открой окно сегодня жарко поезд приходит полдень встреча начнётся".split()
+_RUSSIAN = f"'Первая строка, номер ' || doc_id || '. ' || array_to_string(list_transform(string_split(text, ' '), lambda w: {WORDS}[1 + (length(w) * 7 + (CASE WHEN w = '' THEN 0 ELSE unicode(w) END)) % {len(WORDS)}]), ' ')"
+
+
+@query(f"SELECT doc_id, {bare(f'CASE WHEN doc_id % 9 >= 6 THEN {_RUSSIAN} ELSE text END')} AS text, text IS NULL AS failed FROM documents")
+def decoded_files(spark, sf_dir):
+    """Documents as text files in many encodings, read without being told which; those for Cyrillic get Russian words."""
+    d = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text", (F.col("doc_id") % 9).alias("n"))
+    number = lambda w: F.pmod(F.length(w) * 7 + F.ascii(w), F.lit(len(WORDS))) + 1
+    words = F.transform(F.split("text", " "), lambda w: F.element_at(F.lit(WORDS), number(w)))
+    russian = F.concat(F.lit("Первая строка, номер "), F.col("doc_id").cast("string"), F.lit(". "), F.array_join(words, " "))
+    raw = d.select("doc_id", "n", F.when(F.col("n") >= 6, russian).otherwise(F.col("text")).alias("raw"))
+
+    def encode(frames):
+        for frame in frames:
+            content = [None if t is None else t.encode(ENCODINGS[n]) for t, n in zip(frame["raw"], frame["n"], strict=True)]
+            yield frame[["doc_id"]].assign(path=frame["doc_id"].astype(str) + ".txt", content=content)
+
+    read = files.parsed(raw.mapInPandas(encode, "doc_id long, path string, content binary"))
+    return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))

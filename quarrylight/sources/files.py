@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
+from .charsets import decoded
 
 Parser = Callable[[bytes], str]
 
@@ -68,13 +69,8 @@ def parse_html(content: bytes) -> str:
 
 
 def parse_text(content: bytes) -> str:
-    """UTF-8 (with or without mark), UTF-16 with mark, else Windows Cyrillic; what can't be decoded is replaced."""
-    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return content.decode("utf-16", errors="replace")
-    try:
-        return content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return content.decode("cp1251", errors="replace")
+    """The text in the encoding that it is found to be in; what can't be decoded is replaced."""
+    return decoded(content)
 
 
 _PAGES = (".xhtml", ".html", ".htm")
