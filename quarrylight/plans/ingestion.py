@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import changes, ingest
 from ..scratch import new_folder
-from ..sources import files
+from ..sources import files, remote
 from ..streaming import ingest as ingestion
 from .registry import Registry
 from .tables import bare, dealt, table
@@ -236,3 +236,32 @@ def decoded_files(spark, sf_dir):
 
     read = files.parsed(raw.mapInPandas(encode, "doc_id long, path string, content binary"))
     return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
+
+
+def _service(spark, sf_dir):
+    """Events behind a service, which files in the shared folder stand in for: the rows, the folder and the name of the service's format."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    folder = new_folder(spark)
+    name = f"events_{folder[-32:]}"
+    remote.register(spark, name, remote.ParquetClient(f"{folder}/items", "event_id", e.columns), "event_id long, user_id long, event_type string, value double")
+    return e, folder, name
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def remote_listing(spark, sf_dir):
+    """A service's items, read page by page in parallel."""
+    e, folder, name = _service(spark, sf_dir)
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(f"{folder}/items")
+    return spark.read.format(name).options(after=-1, page=5000).load()
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def remote_updates(spark, sf_dir):
+    """A service's items as a stream that is stopped, and started again when later ones have come."""
+    e, folder, name = _service(spark, sf_dir)
+    half = e.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] // 2
+    updates = spark.readStream.format(name).options(after=-1, page=5000).load()
+    for come in (F.col("event_id") <= half, F.col("event_id") > half):
+        e.where(come).repartitionByRange("event_id").sortWithinPartitions("event_id").write.mode("append").parquet(f"{folder}/items")
+        updates.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(updates.schema).parquet(f"{folder}/out")
