@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
+
 # Marks at the beginning of files, longer ones first.
 MARKS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 # Cyrillic encodings to choose from, the first of those that read equally well; and the one of accented letters.
@@ -14,11 +17,10 @@ PAIRS = frozenset(
     "ак ал ам ан ар ас ат бо бы ва ве ви во вс вы га ги го да де до ду ед ей ел ем ен ер ес ет же за зн ив ие ий ил им ин ис ит их ка ки ко кр ла ле ли ло лу ль ля ма ме ми мо мы на не ни но ну ны об ов ог од ое ой ок ол ом он ор ос от па пе пи по пр ра ре ри ро ру са се си ск сл со ст сь ся та те ти то тр ту ты ть ув уд ук ум ут хо ча че чт ше ши ые ый ых эт ют ят ая ию ии".split()
 )
 _ASCII = re.compile(rb"[A-Za-z]")
-_HIGH = re.compile(rb"[\x80-\xff]")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _BESIDE = frozenset("«»—–…№„“”\xa0")
-#: Bytes that are looked at for zeros and letters; they are taken from all parts of a long text.
-SAMPLE, PARTS = 1 << 13, 64
+#: Bytes at the beginning that are searched for zeros, and bytes that are weighed at a time.
+HEAD, BLOCK = 1 << 13, 1 << 20
 
 
 def _decodes(content: bytes, name: str) -> bool:
@@ -31,7 +33,7 @@ def _decodes(content: bytes, name: str) -> bool:
 
 def _wide(content: bytes) -> str | None:
     """UTF-16 or UTF-32 without a mark, by where the zero bytes of blanks, line ends and ASCII letters lie."""
-    head = content[: SAMPLE & ~3]
+    head = content[:HEAD]
     zeros = [head[i::4].count(0) for i in range(4)]
     quarter = len(head) / 4
     if len(content) % 4 == 0 and quarter:
@@ -45,37 +47,42 @@ def _wide(content: bytes) -> str | None:
     return None
 
 
-def _sample(content: bytes) -> bytes:
-    """Stretches from the first byte above ASCII in each part of the content."""
-    step, out = max(SAMPLE // PARTS, -(-len(content) // PARTS)), []
-    for at in range(0, len(content), step):
-        found = _HIGH.search(content, at, at + step)
-        if found:
-            out.append(content[max(at, found.start() - 1) : min(at + step, found.start() + SAMPLE // PARTS)])
-    return b" ".join(out)
-
-
-def reads_as_russian(text: str) -> float:
-    """How well a text reads: the share of pairs of letters that are usual ones, less twice the share of pairs that nobody writes (a small letter
-    before a capital, letters of two alphabets beside each other, a sign of a table or a letter of another language)."""
-    good = bad = pairs = 0
+def _weight(a: str, b: str) -> int:
+    """1 for a usual pair of Russian letters, -2 for one that nobody writes (a small letter before a capital, letters of two alphabets
+    beside each other, a sign of a table or a letter of another language), 0 for others."""
     russian = lambda c: "а" <= c <= "я" or c == "ё"
     odd = lambda c: not (c < "\x80" or c in _BESIDE or russian(c))
-    for a, b in zip(text, text[1:]):
-        if a < "\x80" and b < "\x80":
-            continue
-        x, y = a.lower(), b.lower()
-        pairs += 1
-        if odd(x) or odd(y):
-            bad += 1
-        elif russian(x) and russian(y):
-            if a == x and b != y:
-                bad += 1
-            elif x + y in PAIRS:
-                good += 1
-        elif x.isalpha() and y.isalpha():
-            bad += 1
-    return (good - 2 * bad) / pairs if pairs else 0.0
+    x, y = a.lower(), b.lower()
+    if a < "\x80" and b < "\x80":
+        return 0
+    if odd(x) or odd(y):
+        return -2
+    if russian(x) and russian(y):
+        return -2 if a == x and b != y else int(x + y in PAIRS)
+    return -2 if x.isalpha() and y.isalpha() else 0
+
+
+@functools.cache
+def _weights(name: str) -> np.ndarray:
+    """The weight of each pair of bytes in an encoding."""
+    letters = [bytes([i]).decode(name, errors="replace") for i in range(256)]
+    return np.array([_weight(a, b) for a in letters for b in letters], np.int8)
+
+
+def _weighed(content: bytes) -> tuple[int, int, dict[str, int]]:
+    """Bytes above ASCII, how many of them stand beside another one, and the sum of all pairs' weights in each Cyrillic encoding."""
+    high = beside = 0
+    sums = dict.fromkeys(CYRILLIC, 0)
+    for at in range(0, len(content), BLOCK):
+        block = np.frombuffer(content[max(0, at - 1) : at + BLOCK], np.uint8)
+        above = block > 127
+        both = above[1:] & above[:-1]
+        high += int(above[min(at, 1) :].sum())
+        beside += int((np.append(both, False) | np.append(False, both)).sum())
+        pairs = block[:-1].astype(np.uint16) << 8 | block[1:]
+        for name in CYRILLIC:
+            sums[name] += int(_weights(name)[pairs].sum(dtype=np.int64))
+    return high, beside, sums
 
 
 def detected(content: bytes) -> str:
@@ -92,16 +99,14 @@ def detected(content: bytes) -> str:
         return wide
     if _decodes(content, "utf-8"):
         return "utf-8"
-    if 10 * sum(len(c) for c in _UTF8.findall(content)) >= 9 * len(_HIGH.findall(content)):
+    high, beside, sums = _weighed(content)
+    if 10 * (len(content) - len(_UTF8.sub(b"", content))) >= 9 * high:
         return "utf-8"
-    sample = _sample(content)
-    runs = [len(r) for r in re.findall(rb"[\x80-\xff]+", sample)]
     latin = _ASCII.search(content) is not None
-    if latin and 2 * sum(n for n in runs if n > 1) < sum(runs):
+    if latin and 2 * beside < high:
         return LATIN
-    scores = {name: reads_as_russian(sample.decode(name, errors="replace")) for name in CYRILLIC}
-    best = max(CYRILLIC, key=scores.__getitem__)
-    return LATIN if latin and scores[best] < 0 else best
+    best = max(CYRILLIC, key=sums.__getitem__)
+    return LATIN if latin and sums[best] < 0 else best
 
 
 def decoded(content: bytes) -> str:
