@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from datetime import datetime, timedelta
+from html import escape
 
 from pyspark.sql import functions as F
 
@@ -265,3 +268,53 @@ def remote_updates(spark, sf_dir):
         e.where(come).repartitionByRange("event_id").sortWithinPartitions("event_id").write.mode("append").parquet(f"{folder}/items")
         updates.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(updates.schema).parquet(f"{folder}/out")
+
+
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def _packed(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as packed:
+        for name, content in parts.items():
+            packed.writestr(name, content)
+    return out.getvalue()
+
+
+def _docx(lines: list[str]) -> bytes:
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in lines)
+    return _packed({"word/document.xml": f'<w:document xmlns:w="{_W}"><w:body>{body}</w:body></w:document>'})
+
+
+def _epub(lines: list[str]) -> bytes:
+    """Two pages, of which the manifest names the later one by name first."""
+    page = lambda part: "<html><body>" + "".join(f"<p>{escape(line)}</p>" for line in part) + "</body></html>"
+    half = len(lines) // 2
+    items = "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in ("b", "a"))
+    return _packed({"META-INF/container.xml": '<container><rootfiles><rootfile full-path="in/p.opf"/></rootfiles></container>', "in/p.opf": f"<package><manifest>{items}</manifest></package>", "in/a.xhtml": page(lines[half:]), "in/b.xhtml": page(lines[:half])})
+
+
+def _rtf(lines: list[str]) -> bytes:
+    letter = lambda c: f"\\u{ord(c)}?" if ord(c) > 127 else f"\\{c}" if c in "\\{}" else c
+    return ("{\\rtf1{\\fonttbl{\\f0 Any;}}" + "\\par ".join("".join(map(letter, line)) for line in lines) + "}").encode()
+
+
+_WRITERS = (("docx", _docx), ("epub", _epub), ("rtf", _rtf))
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN {bare('text')} ELSE array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {bare('x')}), lambda x: x <> ''), chr(10) || chr(10)) END AS text, text IS NULL AS failed FROM documents""")
+def packed_files(spark, sf_dir):
+    """Documents as Word, EPUB and RTF files, a paragraph a line, read by the parser of their ending."""
+    d = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+    def pack(frames):
+        for frame in frames:
+            paths, contents = [], []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                ending, write = _WRITERS[doc_id % len(_WRITERS)]
+                paths.append(f"{doc_id}.{ending}")
+                contents.append(None if text is None else write(text.split("\n")))
+            yield frame[["doc_id"]].assign(path=paths, content=contents)
+
+    read = files.parsed(d.mapInPandas(pack, "doc_id long, path string, content binary"))
+    return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
