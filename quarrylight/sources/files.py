@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
 from .charsets import decoded
+from .pdf import parse_pdf
 
 Parser = Callable[[bytes], str]
 
@@ -141,8 +142,8 @@ def parse_rtf(content: bytes) -> str:
     return "".join(out)
 
 
-#: By extension; entries can be added, e.g. for PDF where a library for it is at hand.
-PARSERS: dict[str, Parser] = {".txt": parse_text, ".md": parse_text, ".markdown": parse_text, ".html": parse_html, ".htm": parse_html, ".epub": parse_epub, ".docx": parse_docx, ".rtf": parse_rtf}
+#: By extension; entries can be added.
+PARSERS: dict[str, Parser] = {".txt": parse_text, ".md": parse_text, ".markdown": parse_text, ".html": parse_html, ".htm": parse_html, ".epub": parse_epub, ".docx": parse_docx, ".rtf": parse_rtf, ".pdf": parse_pdf}
 
 
 def extension(path: Column) -> Column:
