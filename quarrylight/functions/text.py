@@ -113,3 +113,14 @@ def chunks(text: Column, target: int = 2000, overlap: int = 200) -> Column:
     whole = strip(text)
     short = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
     return F.when(text.isNull(), F.array().cast("array<string>")).when(F.length(text) <= target, short).otherwise(F.aggregate(units, empty, add, end))
+
+
+def query_parameter(url: Column, name: str) -> Column:
+    """The first value of a parameter in a URL's query string, decoded; empty without an equals sign, null where it isn't there.
+
+    A plus sign is a blank, bytes are UTF-8; what isn't decodable stays as it is written.
+    """
+    given = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
+    decoded = lambda part: F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+    found = F.filter(given, lambda pair: (pair != "") & (decoded(F.substring_index(pair, "=", 1)) == name))
+    return decoded(F.regexp_extract(F.get(found, F.lit(0)), r"^[^=]*=?(?s:(.*))$", 1))

@@ -22,10 +22,24 @@ def inherit(frame: DataFrame, related: DataFrame, foreign: str, key: str, column
     return out.drop("__key", *(f"__{c}" for c in columns))
 
 
+#: Parts of the rows that each block of channels meets apart, where channels are too many to be sent to all executors.
+STRIPS = 64
+
+
 def fan_out(frame: DataFrame, channels: DataFrame, variants: Sequence[str], most_channels: int = 10_000) -> DataFrame:
-    """Every row with every channel and variant.  Up to ``most_channels`` channels are sent to all executors; more meet the rows part by part."""
-    few = channels.limit(most_channels + 1).count() <= most_channels
-    return frame.crossJoin(F.broadcast(channels) if few else channels).withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
+    """Every row with every channel and variant.  Up to ``most_channels`` channels are sent to all executors.
+
+    More are dealt into blocks of about that many, and rows into strips; a block meets a strip by an equal key, so each pair meets once, in
+    one of many tasks.
+    """
+    variant = F.explode(F.array(*map(F.lit, variants)))
+    if channels.limit(most_channels + 1).count() <= most_channels:
+        return frame.crossJoin(F.broadcast(channels)).withColumn("variant", variant)
+    blocks, strips = -(-channels.count() // most_channels), STRIPS
+    dealt = lambda n: F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(n)).cast("int")  # noqa: E731  # the same when a task runs again
+    rows = frame.withColumn("__strip", dealt(strips)).withColumns({"__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    sides = channels.withColumn("__block", dealt(blocks)).withColumns({"__strip": F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))})
+    return rows.join(sides, ["__strip", "__block"]).drop("__strip", "__block").withColumn("variant", variant)
 
 
 #: Prefixes of media types and their folders, in the order in which they are tried.

@@ -79,6 +79,17 @@ def locale_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, url).otherwise(F.concat(F.lit("/en"), url)).alias("path"), F.parse_url(url, F.lit("HOST")).alias("host"))
 
 
+_VALUE_SQL = "url_decode(replace(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: starts_with(x, '{0}='))[1][len('{0}=') + 1:], '+', ' '))"
+
+
+@query(f"SELECT page_id, {_VALUE_SQL.format('utm_source')} AS source, {_VALUE_SQL.format('email')} AS email FROM (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'email=a%2Bb+' || page_id || '%40example.org#end' AS url FROM pages)")
+def form_prefill(spark, sf_dir):
+    """What a form is filled with from its page's address."""
+    mail = F.concat(F.lit("email=a%2Bb+"), F.col("page_id").cast("string"), F.lit("%40example.org#end"))
+    url = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), mail)
+    return table(spark, sf_dir, "pages").select("page_id", tx.query_parameter(url, "utm_source").alias("source"), tx.query_parameter(url, "email").alias("email"))
+
+
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN '1' ELSE '2' END AS tone, CASE WHEN event_type IN ('signup', 'error', 'purchase') THEN 'medium' ELSE 'long' END AS length, coalesce(map {'click': '#112233', 'view': '#445566'}[event_type], '#000000') AS color FROM events")
 def keyed_rules(spark, sf_dir):
     """Values by key, with a default."""
