@@ -13,7 +13,8 @@ the path that has it.  Rules of the tokenizer that are kept:
 Where no piece holds a blank after another character, the best path of a text is made of the
 best paths of its units (blanks and the characters up to the next blank); the same holds at
 line breaks if no piece has one.  So each distinct unit is solved once and remembered, within a
-bound.  A vocabulary with such pieces is handled too, text by text.
+bound of bytes.  A vocabulary with such pieces is handled too, text by text.  Solving holds as many
+positions as the longest piece has, however long the unit is.
 
 Defined results: null and empty texts have 0 tokens and score 0; a null id stays null;
 repeated rows are each counted; other columns are not read.
@@ -34,8 +35,8 @@ from .shared import own_columns
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Solved units that a worker remembers (about 150 bytes each).
-REMEMBERED = 400_000
+#: Bytes of solved units that a worker remembers; a unit of over a hundredth of that is solved each time.
+REMEMBERED = 60_000_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -49,6 +50,7 @@ class Counter:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
+        self.longest = max(len(piece) for piece, _ in pieces)
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
@@ -61,12 +63,13 @@ class Counter:
         else:
             self.units = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if breaks else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
         self.known: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def solve(self, text: str) -> tuple[int, float]:
         """Piece count and score of the best path over the text."""
-        n = len(text)
-        score: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
+        n, width = len(text), self.longest + 1  # positions that a piece can still begin at, and its end
+        score: list[float | None] = [None] * width
+        count = [0] * width
         score[0] = 0.0
         done = 0
 
@@ -74,21 +77,23 @@ class Counter:
             """The ends up to `to` get no more pieces; what is left for each is to pass its character as unknown."""
             nonlocal done
             while done < to:
-                done += 1
+                before, done = done % width, done + 1
+                at = done % width
                 char = text[done - 1]
                 if char not in self.single:
-                    passed = score[done - 1] + self.unknown
-                    if score[done] is None or passed > score[done]:
-                        score[done], count[done] = passed, count[done - 1] + len(char.encode())
+                    passed = score[before] + self.unknown
+                    if score[at] is None or passed > score[at]:
+                        score[at], count[at] = passed, count[before] + len(char.encode())
+                score[(done + 1) % width] = None
 
         for last, (length, value) in self.automaton.iter(text):  # for each end the longest piece first
             close(last)
-            begin, end = last + 1 - length, last + 1
+            begin, end = (last + 1 - length) % width, (last + 1) % width
             reached = score[begin] + value
             if score[end] is None or reached > score[end]:
                 score[end], count[end] = reached, count[begin] + 1
         close(n)
-        return count[n], score[n]
+        return count[n % width], score[n % width]
 
     def count(self, text: str | None) -> tuple[int, float]:
         if not text:
@@ -97,12 +102,18 @@ class Counter:
         if self.units is None:
             return self.solve(text)
         known, tokens, total = self.known, 0, 0.0
-        for unit in self.units.findall(text):
+        for match in self.units.finditer(text):
+            unit = match[0]
             found = known.get(unit)
             if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[unit] = self.solve(unit)
+                found = self.solve(unit)
+                size = 150 + 4 * len(unit)
+                if size <= REMEMBERED // 100:
+                    if self.held + size > REMEMBERED:
+                        known.clear()
+                        self.held = 0
+                    known[unit] = found
+                    self.held += size
             tokens += found[0]
             total += found[1]
         return tokens, total

@@ -56,3 +56,39 @@ def test_defined_cases(spark, vocabulary, rows):
     counter = tc.Counter(vocabulary)
     assert got == sorted([(1, counter.count("the end")[0])] * 2 + [(2, 0), (3, 0), (None, counter.count("the")[0]), (5, counter.count("word " * 30_000)[0])], key=repr)
     assert tc.count_tokens(docs.limit(0), vocabulary).count() == 0
+
+
+def whole_paths(counter, text):
+    """Plain dynamic programming with a value for every position."""
+    best = [(0.0, 0)] + [None] * len(text)
+    scores = {piece: value for piece, (_, value) in counter.automaton.items()}
+    for end in range(1, len(text) + 1):
+        for begin in range(max(0, end - counter.longest), end):
+            value = scores.get(text[begin:end])
+            if value is not None and (best[end] is None or best[begin][0] + value > best[end][0]):
+                best[end] = best[begin][0] + value, best[begin][1] + 1
+        if text[end - 1] not in counter.single:
+            passed = best[end - 1][0] + counter.unknown
+            if best[end] is None or passed > best[end][0]:
+                best[end] = passed, best[end - 1][1] + len(text[end - 1].encode())
+    return best[-1][1], best[-1][0]
+
+
+def test_units_longer_than_the_window(vocabulary):
+    rng = random.Random(9)
+    counter = tc.Counter(vocabulary)
+    for n in (1, counter.longest - 1, counter.longest, counter.longest + 1, 5000):
+        text = "".join(rng.choices("abcdefghijklmnoprstuцщ🙂\n", k=n))
+        assert counter.solve(text) == whole_paths(counter, text)
+
+
+def test_bytes_that_are_remembered_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(tc, "REMEMBERED", 200_000)
+    rng = random.Random(3)
+    counter, fresh = tc.Counter(vocabulary), tc.Counter(vocabulary)
+    texts = ["".join(rng.choices("abcdef", k=rng.choice((5, 400, 3000)))) for _ in range(600)]
+    for text in texts + texts[:50]:
+        assert counter.count(text) == fresh.solve(tc.BLANK + text)
+        assert counter.held == sum(150 + 4 * len(u) for u in counter.known) <= 200_000
+        assert all(150 + 4 * len(u) <= 2000 for u in counter.known)
+    assert counter.known
