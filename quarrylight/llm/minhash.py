@@ -14,13 +14,17 @@ are then found, and only members that are still in different groups give pairs i
 round.  Buckets of up to ``SMALL`` members give those pairs directly.  The members of larger
 ones, a family around a hub, are known by their sets' differences from the hub, with which links
 are counted exactly: for sets x and y with differences X and Y from one hub,
-|x ^ y| = |X| + |Y| - 2 |X & Y|.  So a similar pair shares an element among the first few of each
+|x ^ y| = |X| + |Y| - 2 |X & Y|.  A family's members are dealt into blocks that meet, and of a
+meeting only a spanning forest of its links leaves, so what is shuffled is rows times blocks and no pair is
+ever a row.  A family that would give more than ``PART`` squared pairs is divided first: a similar pair shares
+an element among the first few of each
 difference in any fixed order (a prefix filter); what the hub lacks comes first, which in edited
 copies is mostly what no other copy has.  Members that share such an element are a smaller
-family.  One with up to ``PART`` members gives its pairs; in a larger one all members
+family.  If it is still too large, all its members
 are compared with a pivot, the one nearest to the hub, differences are taken from the pivot
-(X ^ P, without the edits that all share), and the family is divided again.  Each step is
-linear in a family's members, and members linked to a pivot count as one group from then on.
+(X ^ P, without the edits that all share), and the family is divided again; members linked to a
+pivot count as one group from then on.  A division repeats a member for each element of its prefix, so it is
+for families whose pairs would cost more.
 After ``DIVISIONS`` steps what is left gives its pairs, whatever its size.
 So every pair that shares a bucket is verified, or known to be connected, or ruled out by an
 exact bound.  Before texts are fetched for pairs of small buckets, pairs
@@ -53,8 +57,12 @@ from .tokens import chunks, mix64, ngram_hashes
 BANDS, ROWS_PER_BAND = 32, 4
 #: Members up to which a bucket gives its pairs of different groups directly.
 SMALL = 32
-#: The same for a part of a family; its pairs are compared where they meet, and only links leave the join.
-PART = 512
+#: A family of which no more pairs than this number's square count gives them in blocks that meet; one that exceeds it is divided.
+PART = 32768
+#: Members of a block, and elements in the differences of one.
+BLOCK, _ELEMENTS = 1024, 1 << 20
+#: Pairs of holders from which on an element is a column of a product, columns of a product, and pairs of holders counted at once.
+_DENSE, _COLUMNS, _MEETINGS = 4096, 1024, 1 << 22
 #: Times that a family is divided before it gives its pairs.
 DIVISIONS = 8
 _SHINGLES_AT_ONCE = 1024
@@ -222,39 +230,140 @@ def _around_pivots(members: DataFrame, percent: int, scratch: Scratch, name: str
     return found.select("family", "doc_id", "n", "linked", "length", "difference", "pivot", F.when(F.col("linked"), F.col("new")).otherwise(F.col("old")).alias("component"))
 
 
+def _overlaps(a: pa.Array, b: pa.Array | None) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b`` (or of ``a`` itself).
+
+    Elements that many sets hold are columns of a matrix product, of others each pair of holders is counted by itself.
+    """
+    rows_of = lambda x: np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))
+    held = a.flatten().to_numpy() if b is None else np.concatenate((a.flatten().to_numpy(), b.flatten().to_numpy()))
+    split = len(a.flatten())
+    _, code = np.unique(held, return_inverse=True)
+    n = int(code.max(initial=-1)) + 1
+    sides = []
+    for codes, rows in ((code[:split], rows_of(a)), (code, rows_of(a)) if b is None else (code[split:], rows_of(b))):
+        order = np.argsort(codes, kind="stable")
+        sides.append((codes[order], rows[order], np.bincount(codes, minlength=n)))
+    (code_a, row_a, count_a), (code_b, row_b, count_b) = sides
+    across = len(a) if b is None else len(b)
+    both = count_a * count_b
+    wide = both > max(_DENSE, len(a) * across // 64)
+    shared = np.zeros((len(a), across), dtype=np.int32)
+    columns = np.flatnonzero(wide)
+    for at in range(0, len(columns), _COLUMNS):
+        place = np.full(n, -1)
+        place[columns[at : at + _COLUMNS]] = np.arange(len(columns[at : at + _COLUMNS]))
+        grids = []
+        for codes, rows, height in ((code_a, row_a, len(a)), (code_b, row_b, across)):
+            here = place[codes] >= 0
+            grid = np.zeros((height, _COLUMNS), dtype=np.float32)
+            grid[rows[here], place[codes[here]]] = 1
+            grids.append(grid)
+        shared += (grids[0] @ grids[1].T).astype(np.int32)
+    some = np.flatnonzero(~wide[code_a] & (count_b[code_a] > 0))
+    start_b = np.concatenate(([0], np.cumsum(count_b)))
+    ends = np.cumsum(count_b[code_a[some]])
+    low = 0
+    while low < len(some):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _MEETINGS, "right")))
+        part = some[low:high]
+        times = count_b[code_a[part]]
+        other = np.repeat(start_b[code_a[part]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        shared += np.bincount(np.repeat(row_a[part], times) * across + row_b[other], minlength=shared.size).reshape(shared.shape).astype(np.int32)
+        low = high
+    return shared
+
+
+def _forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Of the links of a matrix so many that what it ties together stays tied."""
+    height, width = linked.shape
+    if same:
+        linked = linked | linked.T
+    new_a, new_b, found = linked.any(axis=1), np.ones(width, dtype=bool), []
+    for root in np.flatnonzero(new_a).tolist():
+        if not new_a[root]:
+            continue
+        new_a[root] = False
+        if same:
+            new_b[root] = False
+        ahead = [(root, True)]
+        while ahead:
+            at, is_row = ahead.pop()
+            met = np.flatnonzero(linked[at] & new_b if is_row else linked[:, at] & new_a).tolist()
+            (new_b if is_row else new_a)[met] = False
+            if same:
+                new_a[met] = False
+            found += [(at, x) if is_row else (x, at) for x in met]
+            ahead += [(x, same or not is_row) for x in met]
+    return found
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that tie the similar members of different components of each family together.
+
+    Members (family, doc_id, n, component, linked, difference) are dealt into blocks, those that aren't linked to the hub apart
+    from those that are, and blocks of which one is of the former meet.  Of a meeting only a spanning forest of its links leaves, so
+    pairs are never laid out as rows.
+    """
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(of, F.size("difference"))), F.lit(0)) / _ELEMENTS)).cast("int")
+    counts = members.groupBy("family").agg(blocks(~F.col("linked")).alias("alone"), blocks(F.col("linked")).alias("tied"), F.min("component").alias("x"), F.max("component").alias("y"))
+    dealt = members.join(counts.where("x <> y and alone > 0").select("family", "alone", "tied"), "family")
+    block = F.when(F.col("linked"), F.col("alone") + F.pmod(F.xxhash64("doc_id"), "tied")).otherwise(F.pmod(F.xxhash64("doc_id"), "alone")).cast("int")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("alone")).otherwise(F.col("alone") + F.col("tied")) - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "n", "component", "linked", "difference")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        block, two = table["block"].to_numpy(), table["two"][0].as_py()
+        same = table["one"][0].as_py() == two
+        component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        n, tied = table["n"].to_numpy(), table["linked"].to_numpy()
+        ids, difference = table["doc_id"].combine_chunks(), table["difference"].combine_chunks()
+        a = np.arange(len(block)) if same else np.flatnonzero(block != two)
+        b = a if same else np.flatnonzero(block == two)
+        if not len(a) or not len(b):
+            return pa.table([ids[:0], ids[:0]], ["a", "b"])
+        of = [difference.take(pa.array(x)) for x in (a, b)]
+        size = [np.diff(x.offsets.to_numpy()) for x in of]
+        sizes = n[a][:, None] + n[b][None, :]
+        apart = size[0][:, None] + size[1][None, :] - 2 * _overlaps(of[0], None if same else of[1])
+        linked = (component[a][:, None] != component[b][None, :]) & ~(tied[a][:, None] & tied[b][None, :]) & (apart < sizes) & (100 * (sizes - apart) >= percent * (sizes + apart))
+        found = np.array(_forest(linked, same), dtype=np.int64).reshape(-1, 2)
+        return pa.table([ids.take(pa.array(a[found[:, 0]])), ids.take(pa.array(b[found[:, 1]]))], ["a", "b"])
+
+    kind = members.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("family", "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def family_links(families: DataFrame, percent: int, scratch: Scratch) -> list[DataFrame]:
     """Tables of links (a, b) that tie all similar members of different components of a family together.
 
     ``families`` has family, doc_id, n, component, linked (to the hub), length (of the prefix) and difference (from the hub).
     """
     links: list[DataFrame] = []
+    own = ["family", "doc_id", "n", "component", "linked", "difference"]
+    few = F.col("size") * F.col("alone") <= PART * PART
     for turn in range(DIVISIONS + 1):
-        parts = families.select("family", "doc_id", "component", F.explode(F.slice("difference", 1, F.col("length").cast("int"))).alias("element"))
+        sizes = scratch.keep(families.groupBy("family").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("alone")), f"sizes-{turn}")
+        large = sizes.where(~few).select("family")
+        last = turn == DIVISIONS or not large.limit(1).count()
+        direct = families if last else families.join(sizes.where(few).select("family"), "family", "left_semi")
+        links.append(scratch.keep(_block_links(direct.select(*own), percent), f"family-links-{turn}"))
+        if last:
+            break
+        families = families.join(large, "family", "left_semi")
+        parts = families.select("family", "doc_id", "component", "linked", F.explode(F.slice("difference", 1, F.col("length").cast("int"))).alias("element"))
         parts = scratch.keep(parts, f"parts-{turn}")
-        groups = parts.groupBy("family", "element").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("doc_id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("two"))
-        groups = groups.where("x <> y").groupBy("family", "size", "one", "two").agg(F.min("element").alias("element"))  # elements with the same members once
-        groups = scratch.keep(groups.select("family", "element", "size", F.md5(F.concat_ws(" ", "family", "element").cast("binary")).alias("part")), f"groups-{turn}")
-        placed = parts.select("family", "doc_id", "element").join(groups, ["family", "element"]).select("family", "doc_id", "size", "part")
-        members = placed.join(families.select("family", "doc_id", "n", "component", "linked", "difference"), ["family", "doc_id"])
-        members = scratch.keep(members.select(F.col("part").alias("family"), "size", "doc_id", "n", "component", "linked", "difference"), f"members-{turn}")
-        direct = members if turn == DIVISIONS else members.where(F.col("size") <= PART)
-        one = direct.where(~F.col("linked")).select("family", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "component", "difference")))
-        two = direct.select("family", "linked", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component", "difference")))
-        sizes = F.col("n_a") + F.col("n_b")
-        d_a, d_b = F.size("difference_a"), F.size("difference_b")
-        once = F.col("linked") | (F.col("doc_id_a") < F.col("doc_id_b"))
-        apart = F.abs(d_a - d_b)
-        possible = (apart < sizes) & (100 * (sizes - apart) >= percent * (sizes + apart))
-        difference = d_a + d_b - 2 * F.size(F.array_intersect("difference_a", "difference_b"))
-        linked = (difference < sizes) & (100 * (sizes - difference) >= percent * (sizes + difference))
-        pairs = one.join(two, "family").where((F.col("component_a") != F.col("component_b")) & once & possible & linked)
-        links.append(scratch.keep(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), f"family-links-{turn}"))
-        large = members.where(F.col("size") > PART)
-        if turn == DIVISIONS or not large.limit(1).count():
-            scratch.drop(*(f"{t}-{n}" for t in ("parts", "groups", "members") for n in range(turn + 1)))
-            return links
-        families = scratch.keep(_around_pivots(large, percent, scratch, f"pivots-{turn}"), f"divided-{turn}")
+        groups = parts.groupBy("family", "element").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("alone"), F.min("component").alias("x"), F.max("component").alias("y"), F.bit_xor(F.xxhash64("doc_id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("two"))
+        groups = groups.where("x <> y").groupBy("family", "size", "alone", "one", "two").agg(F.min("element").alias("element"))  # elements with the same members once
+        groups = scratch.keep(groups.select("family", "element", "size", "alone", F.md5(F.concat_ws(" ", "family", "element").cast("binary")).alias("part")), f"groups-{turn}")
+        placed = parts.select("family", "doc_id", "element").join(groups, ["family", "element"]).select("family", "doc_id", "size", "alone", "part")
+        members = placed.join(families.select(*own), ["family", "doc_id"])
+        members = scratch.keep(members.select(F.col("part").alias("family"), "size", "alone", *own[1:]), f"members-{turn}")
+        links.append(scratch.keep(_block_links(members.where(few).select(*own), percent), f"part-links-{turn}"))
+        families = scratch.keep(_around_pivots(members.where(~few), percent, scratch, f"pivots-{turn}"), f"divided-{turn}")
         links.append(families.where("linked").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        scratch.drop(*(f"{t}-{turn}" for t in ("sizes", "parts", "groups", "members")))
     return links
 
 

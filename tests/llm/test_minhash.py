@@ -118,6 +118,48 @@ def test_families_are_divided_without_loss(spark, monkeypatch, divisions):
     assert got == brute_force(docs, 5)
 
 
+def differing_families(members, seed=7):
+    """A family's rows: sets that lack a half of the hub's 60 elements each, of which no two are similar, but for the last two."""
+    rng = random.Random(seed)
+    rows = [("f", d, 30, d, False, 30, rng.sample(range(60), 30)) for d in range(members)]
+    return rows[:-1] + [("f", members - 1, 31, members - 1, False, 31, [*rows[-2][6], 99])]
+
+
+def test_a_family_is_not_multiplied(spark, monkeypatch):
+    """700 members that share most elements: every division would repeat them for each element of a prefix."""
+    made = []
+    keep = minhash.Scratch.keep
+
+    def counted(self, frame, name):
+        out = keep(self, frame, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "keep", counted)
+    kind = "family string, doc_id long, n long, component long, linked boolean, length long, difference array<long>"
+    families = spark.createDataFrame(differing_families(700), kind)
+    links = {tuple(sorted(r)) for table in minhash.family_links(families, 80, minhash.Scratch(spark, "families")) for r in table.collect()}
+    assert links == {(698, 699)}
+    assert max(made) <= 700
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_overlaps_and_forests(monkeypatch, dense):
+    np, pa = minhash.np, minhash.pa
+    monkeypatch.setattr(minhash, "_DENSE", dense)
+    monkeypatch.setattr(minhash, "_COLUMNS", 7)
+    monkeypatch.setattr(minhash, "_MEETINGS", 50)
+    rng = random.Random(dense)
+    one, two = ([rng.sample(range(60), rng.randint(0, 30)) for _ in range(n)] for n in (40, 25))
+    a, b = (pa.array(x, pa.list_(pa.int64())) for x in (one, two))
+    assert minhash._overlaps(a, b).tolist() == [[len(set(x) & set(y)) for y in two] for x in one]
+    assert minhash._overlaps(a, None).tolist() == [[len(set(x) & set(y)) for y in one] for x in one]
+    chain = np.zeros((5, 5), dtype=bool)
+    chain[0, 1] = chain[1, 2] = chain[0, 2] = chain[3, 4] = True
+    assert len(minhash._forest(chain, same=True)) == 3
+    assert len(minhash._forest(np.ones((4, 6), dtype=bool), same=False)) == 9
+
+
 def test_text_longer_than_a_chunk(spark):
     rng = random.Random(2)
     words = [f"w{rng.randint(0, 10**7)}" for _ in range(90_000)]  # over 512 KB
