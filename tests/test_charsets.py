@@ -48,6 +48,12 @@ def test_edges():
     assert decoded(late).endswith("потом долго сидели у реки")
 
 
+@pytest.mark.parametrize("odd", ["öö", "èê", "îâ", "ñòî"])
+def test_accents_beside_each_other_in_ascii(odd):
+    text = "some plain words before it and " * 4 + f"{odd}, and some words behind it"
+    assert decoded(text.encode("cp1252")) == text
+
+
 def test_files(spark, tmp_path):
     texts = {f"{e}.txt": "Завтра будет дождь, поэтому возьми зонт." for e in (*CYRILLIC, "utf-8", "utf-16", "utf-16-be")}
     for name, text in texts.items():
