@@ -46,6 +46,17 @@ def test_grid_equals_the_broadcast_way(spark):
     assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and few.count() > 50
 
 
+@pytest.mark.parametrize("most", [1000, 7])
+def test_pairs_are_never_rows_and_odd_vectors_take_no_place(spark, most):
+    rows, frame, asked = frames(spark, 300, 40)
+    odd = [(1000, None, 1), (1001, [1.0, None, 1.0], 1), (1002, [float("nan")] * 3, 1), (1003, [1.0], 1), (1004, [], 1)]
+    found = vectors.nearest(frame.unionByName(spark.createDataFrame(odd, frame.schema)), asked, k=3, max_distance=9, most_queries=most, rows_per_cell=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+    want = {(q, place, i) for q, v, _ in rows[:40] for place, (_, i) in enumerate(sorted((DISTANCE["l2sq"](e, v), i) for i, e, _ in rows)[:3], 1)}
+    assert {(r["query_id"], r["place"], r["id"]) for r in found.collect()} == want
+
+
 def test_more_than_a_thousand_queries_are_answered(spark):
     _, frame, asked = frames(spark, 1100, 1001)
     found = vectors.nearest(frame, asked, k=1)
