@@ -8,6 +8,7 @@ import zlib
 from datetime import datetime, timedelta
 from html import escape
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -224,6 +225,18 @@ WORDS = "завтра будет дождь возьми зонт старый 
 _RUSSIAN = f"'Первая строка, номер ' || doc_id || '. ' || array_to_string(list_transform(string_split(text, ' '), lambda w: {WORDS}[1 + (length(w) * 7 + (CASE WHEN w = '' THEN 0 ELSE unicode(w) END)) % {len(WORDS)}]), ' ')"
 
 
+def _made(texts, column, write, ending):
+    """Texts as files (doc_id, path, content): ``write`` gives a file's ending and bytes; a null text is a null content of that ending."""
+
+    def pack(batches):
+        for part in (part for batch in batches for part in files.pieces(batch, column)):
+            made = [(ending, None) if (text := t.as_py()) is None else write(n.as_py(), text) for n, t in zip(part.column("doc_id"), part.column(column), strict=True)]
+            paths = [f"{n}{e}" for n, (e, _) in zip(part.column("doc_id").to_pylist(), made, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(paths, pa.string()), pa.array([c for _, c in made], pa.binary())], ["doc_id", "path", "content"])
+
+    return texts.mapInArrow(pack, "doc_id long, path string, content binary")
+
+
 @query(f"SELECT doc_id, {bare(f'CASE WHEN doc_id % 9 >= 6 THEN {_RUSSIAN} ELSE text END')} AS text, text IS NULL AS failed FROM documents")
 def decoded_files(spark, sf_dir):
     """Documents as text files in many encodings, read without being told which; those for Cyrillic get Russian words."""
@@ -233,12 +246,7 @@ def decoded_files(spark, sf_dir):
     russian = F.concat(F.lit("Первая строка, номер "), F.col("doc_id").cast("string"), F.lit(". "), F.array_join(words, " "))
     raw = d.select("doc_id", "n", F.when(F.col("n") >= 6, russian).otherwise(F.col("text")).alias("raw"))
 
-    def encode(frames):
-        for frame in frames:
-            content = [None if t is None else t.encode(ENCODINGS[n]) for t, n in zip(frame["raw"], frame["n"], strict=True)]
-            yield frame[["doc_id"]].assign(path=frame["doc_id"].astype(str) + ".txt", content=content)
-
-    read = files.parsed(raw.mapInPandas(encode, "doc_id long, path string, content binary"))
+    read = files.parsed(_made(raw, "raw", lambda doc_id, text: (".txt", text.encode(ENCODINGS[doc_id % len(ENCODINGS)])), ".txt"))
     return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
 
 
@@ -308,16 +316,11 @@ def packed_files(spark, sf_dir):
     """Documents as Word, EPUB and RTF files, a paragraph a line, read by the parser of their ending."""
     d = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
-    def pack(frames):
-        for frame in frames:
-            paths, contents = [], []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ending, write = _WRITERS[doc_id % len(_WRITERS)]
-                paths.append(f"{doc_id}.{ending}")
-                contents.append(None if text is None else write(text.split("\n")))
-            yield frame[["doc_id"]].assign(path=paths, content=contents)
+    def pack(doc_id, text):
+        ending, write = _WRITERS[doc_id % len(_WRITERS)]
+        return f".{ending}", write(text.split("\n"))
 
-    read = files.parsed(d.mapInPandas(pack, "doc_id long, path string, content binary"))
+    read = files.parsed(_made(d, "text", pack, ".docx"))
     return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
 
 
@@ -353,12 +356,7 @@ def paged_files(spark, sf_dir):
     """Documents as PDF files of several pages, read by their parser; blank pages and lines are left out."""
     d = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
-    def pack(frames):
-        for frame in frames:
-            contents = [None if text is None else _pdf(text) for text in frame["text"]]
-            yield frame[["doc_id"]].assign(path=[f"{n}.pdf" for n in frame["doc_id"]], content=contents)
-
-    read = files.parsed(d.mapInPandas(pack, "doc_id long, path string, content binary"))
+    read = files.parsed(_made(d, "text", lambda doc_id, text: (".pdf", _pdf(text)), ".pdf"))
     return read.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
 
 

@@ -35,6 +35,17 @@ def test_other_formats():
     assert files.parse_epub(book.getvalue()) == "# one\n\ntwo"
 
 
+def test_contents_are_opened_a_piece_at_a_time(spark, monkeypatch):
+    pa = files.pa
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n if n else None for n in (3, 0, 4, 9, 30, 1, 1)])], ["content"])
+    assert [p.num_rows for p in files.pieces(batch, "content", 10)] == [3, 1, 1, 2]
+    assert list(files.pieces(batch.slice(0, 0), "content")) == []
+    frame = spark.createDataFrame([(i, f"{i}.txt", None if i % 7 == 0 else b"text %d " % i * 40_000) for i in range(30)], "id long, path string, content binary").coalesce(1)
+    read = files.parsed(frame)
+    assert "MapInArrow" in read._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: (r["text"], r["error"] is None) for r in read.drop("content").collect()} == {i: (None, False) if i % 7 == 0 else ((f"text {i} " * 40_000).strip(), True) for i in range(30)}
+
+
 def test_folder_and_stream(spark, tmp_path):
     inbox = tmp_path / "inbox"
     for name, text in {"books/a.txt": "Long enough. " * 300, "b.MD": "# T\n" + "word " * 30, "other/c.txt": "short", "books/d.docx": None, "e.bin": "x"}.items():
