@@ -46,10 +46,23 @@ def tag_pairs(tagged: DataFrame, *, key: str = "id", tag: str = "tag") -> DataFr
 SUBSET_TAGS = 6
 
 
+#: Weighed tags that are sent to all executors; more are joined by shuffle.
+MOST_WEIGHTS = 10_000
+
+
+def _shuffled(frame: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled: an estimate from a file's size knows nothing of the rows that exploding makes."""
+    return frame.hint("merge")
+
+
 def _weighed(frame: DataFrame, key: str, tags: str, weights: DataFrame | None, keep: list[str]) -> DataFrame:
     """Objects with their weighed tags, sorted: key, kept columns, tags, weights."""
     each = frame.select(F.col(key).alias("key"), *keep, F.explode(F.array_distinct(tags)).alias("tag")).where(F.col("tag").isNotNull())
-    each = each.withColumn("weight", F.lit(1.0)) if weights is None else each.join(weights.where("weight > 0"), "tag")
+    if weights is None:
+        each = each.withColumn("weight", F.lit(1.0))
+    else:
+        few = weights.limit(MOST_WEIGHTS + 1).count() <= MOST_WEIGHTS
+        each = each.join((F.broadcast if few else _shuffled)(weights.where("weight > 0")), "tag")
     found = each.groupBy("key", *keep).agg(F.array_sort(F.collect_list(F.struct("tag", "weight"))).alias("t"))
     return found.select("key", *keep, F.col("t.tag").alias("tags"), F.col("t.weight").alias("weights"))
 
@@ -71,12 +84,12 @@ def related(items: DataFrame, candidates: DataFrame, *, key: str = "id", tags: s
     place = Window.partitionBy("subset").orderBy("penalty", "other")
     best = right.where(few).select(F.col("key").alias("other"), "penalty", subsets.alias("subset")).withColumn("place", F.row_number().over(place)).where(F.col("place") <= most + 1)
     asked = left.where(few).select(F.col("key").alias("id"), "tags", "weights", subsets.alias("subset")).select("id", "subset", value.alias("value"))
-    scored = asked.join(best, "subset").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.max("value").alias("value"))
+    scored = asked.join(_shuffled(best), "subset").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.max("value").alias("value"))
 
     def by_tag(left: DataFrame, right: DataFrame) -> DataFrame:
         one = left.select(F.col("key").alias("id"), F.inline(F.arrays_zip(F.col("tags").alias("tag"), F.col("weights").alias("weight"))))
         two = right.select(F.col("key").alias("other"), "penalty", F.explode("tags").alias("tag"))
-        return one.join(two, "tag").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.sum("weight").alias("value"))
+        return one.join(_shuffled(two), "tag").where(F.col("id") != F.col("other")).groupBy("id", "other", "penalty").agg(F.sum("weight").alias("value"))
 
     scored = scored.unionByName(by_tag(left.where(few), right.where(many))).unionByName(by_tag(left.where(many), right))
     scored = scored.select("id", "other", (F.col("value") - F.col("penalty")).alias("score"))

@@ -23,6 +23,15 @@ def test_related_equals_brute_force_for_few_and_many_tags(spark):
     assert {(r["id"], r["other"], round(r["score"], 6), r["rank"]) for r in got} == want
 
 
+def test_exploded_tags_are_not_broadcast(spark):
+    """However small a table's file: what exploding makes of it can be too large for the driver."""
+    frame = spark.createDataFrame([(i, ["a", f"b{i % 3}"]) for i in range(30)], "id long, tags array<string>")
+    weights = spark.createDataFrame([("a", 1.0), ("b0", 2.0), ("b1", 2.0)], "tag string, weight double")
+    plan = graph.related(frame, frame, weights=weights)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("BroadcastHashJoin") == 6  # of the weights only
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)] + [(200, [0.0] * 4), (201, [0.0] * 4), (202, [0.1, 0.0, 0.0, 0.0]), (203, None), (None, [0.0] * 4)]
