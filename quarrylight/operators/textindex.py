@@ -10,12 +10,19 @@ share (weight * 2200 * tf) div (1000 * tf + 300 + (900 * n * N) div L), for n of
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import new_folder, written
 
 BUCKETS = 64
+#: Parts of a bucket by document, and documents whose words are counted at once.
+STRIPS, ROWS_AT_ONCE = 8, 256
 #: Up to so many different words of all queries are named in the scan's filter; more are joined.
 FEW_WORDS = 2000
 #: Lists of at most so many documents are read in full for the first bound.
@@ -27,6 +34,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's words once, with how often they occur in it: counted where the row is, so that occurrences are never shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            row, id_, words_ = (c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)
+            found = [Counter(w) for w in words_]
+            sizes = [len(c) for c in found]
+            spread = lambda values, kind: pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([spread(row, pa.int64()), spread(id_, pa.int64()), spread([len(w) for w in words_], pa.int64()), pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())], ["row", "id", "n", "term", "tf"])
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
@@ -51,16 +69,16 @@ class TextIndex:
         spark = frame.sparkSession
         folder = folder or new_folder(spark)
         each = frame.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), words(F.col(text)).alias("words"))
-        each = each.select("row", "id", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
-        counts = written(each.groupBy("row", "id", "n", "term").agg(F.count("*").alias("tf")))
+        counts = written(each.where(F.size("words") > 0).mapInArrow(_counted, "row long, id long, n long, term string, tf long"))
         n_all = counts.select("row").distinct().count()
         l_all = counts.agg(F.coalesce(F.sum("tf"), F.lit(1))).first()[0]
         df = counts.groupBy("term").agg(F.count("*").alias("df"))
         weight = F.floor(F.log(1 + (F.lit(float(n_all)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * 1_000_000)
         part = _div(weight * 2200 * F.col("tf"), 1000 * F.col("tf") + 300 + _div(900 * F.col("n") * n_all, F.lit(l_all)))
         placed = counts.join(df, "term").select("term", "row", "id", part.alias("part"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-        # By range, so that the postings of one frequent word are several tasks' and files'.
-        placed.repartitionByRange("bucket", "term", "row").sortWithinPartitions("bucket", "term", "row").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        # A frequent word's postings are several tasks' and files', and nothing is read twice to find ranges.
+        strip = F.pmod(F.xxhash64("row"), F.lit(STRIPS))
+        placed.repartition("bucket", strip).sortWithinPartitions("bucket", "term", "row").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         index = cls(spark, folder, buckets)
         index.postings().groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("best")).write.mode("overwrite").parquet(f"{folder}/terms")
         return index

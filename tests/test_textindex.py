@@ -68,3 +68,13 @@ def test_no_rows(spark, corpus, index):
     empty = textindex.TextIndex.build(spark.createDataFrame([], DOCS), key="id", text="text")
     assert empty.search(spark.createDataFrame(corpus[1], QUERIES)).collect() == []
     assert index.search(spark.createDataFrame([], QUERIES)).collect() == []
+
+
+def test_occurrences_are_counted_where_they_are(spark, monkeypatch):
+    plans = []
+    keep = textindex.written
+    monkeypatch.setattr(textindex, "written", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or keep(frame))
+    docs = spark.createDataFrame([(1, "a b a a", ""), (2, None, ""), (3, "b", "")], DOCS)
+    index = textindex.TextIndex.build(docs, key="id", text="text")
+    assert "Exchange" not in plans[0] and "MapInArrow" in plans[0]
+    assert {(r["term"], r["df"]) for r in index.terms().collect()} == {("a", 1), ("b", 2)}
