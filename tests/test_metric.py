@@ -61,3 +61,40 @@ def test_equal_distances_and_no_rows(spark):
     assert {(r["a"], r["b"]) for r in index.pairs(0.01).collect()} == brute(rows, 0.01)
     assert max(r["n"] for r in index.cells.collect()) <= 40
     assert metric.near_pairs(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def shuffled_rows(spark, run):
+    """Rows that a job writes for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for stage, n in stages().items() if stage > last)
+
+
+def test_a_row_is_sent_as_often_in_larger_tables(spark):
+    """Where every cell meets every other, too."""
+    sent = {}
+    for n in (500, 2000):
+        points = np.random.default_rng(6).normal(size=(n, 16))
+        frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points / np.linalg.norm(points, axis=1)[:, None])], SCHEMA)
+        sent[n] = shuffled_rows(spark, lambda: metric.near_pairs(frame, max_distance=0.9, rows_per_cell=25).count())  # noqa: B023
+    assert sent[2000] < 5 * sent[500]  # not 16 times
+
+
+def test_strips_give_the_pairs_of_all_cells(spark, monkeypatch):
+    """Strips of a few cells, single numbers, and keys that different vectors share."""
+    monkeypatch.setattr(metric, "NUMBERS_PER_STRIP", 200)
+    monkeypatch.setattr(metric, "PAIRS_AT_ONCE", 7)
+    points = np.random.default_rng(7).normal(size=(300, 4)).astype(np.float32)
+    rows = [(i // 2 if i < 60 else i, p.astype(float).tolist()) for i, p in enumerate(points)]
+    frame = spark.createDataFrame([(i, v, "") for i, v in rows], "id long, embedding array<float>, v string")
+    index = metric.BallIndex(frame, key="id", vector="embedding", rows_per_cell=20)
+    assert index.rows.select("strip").distinct().count() > 5
+    want = sorted((min(i, j), max(i, j)) for x, (i, v) in enumerate(rows) for j, w in rows[:x] if i != j and ((np.array(v) - np.array(w)) ** 2).sum() <= 0.7)
+    assert sorted((r["a"], r["b"]) for r in index.pairs(0.7).collect()) == want
