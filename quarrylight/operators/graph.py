@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .logstore import PUT, LogStore
+from .logstore import DELETE, PUT, LogStore
 
 TRIPLES = "subject string, predicate string, object string, valid_from timestamp_ntz, source string"
 
@@ -23,8 +23,25 @@ def triple_id(subject: str = "subject", predicate: str = "predicate", object_: s
 
 
 def add_triples(store: LogStore, triples: DataFrame, batch: int) -> bool:
-    """Appends triples (subject, predicate, object, valid_from, source, seq) to a store keyed by id; one that is there already only gets the later source."""
-    return store.append(triples.withColumns({"id": triple_id(), "op": F.lit(PUT)}), batch)
+    """Appends triples (subject, predicate, object, valid_from, source, seq) to a store keyed by id; one that is there already only gets the later source.
+
+    The id is kept as text or, in a store with a binary key, as its bytes, which take half the room.
+    """
+    return store.append(triples.withColumns({"id": _kept_id(store), "op": F.lit(PUT)}), batch)
+
+
+def delete_triples(store: LogStore, triples: DataFrame, batch: int) -> bool:
+    """Appends deletes of triples (subject, predicate, object, valid_from, seq)."""
+    return store.append(triples.withColumns({"id": _kept_id(store), "op": F.lit(DELETE)}), batch)
+
+
+def stored_triples(store: LogStore) -> DataFrame:
+    """The triples of a store as of its last batch, with their ids as text."""
+    return store.read().withColumn("id", F.lower(F.hex("id")) if store.key_type == "binary" else F.col("id"))
+
+
+def _kept_id(store: LogStore) -> Column:
+    return F.unhex(triple_id()) if store.key_type == "binary" else triple_id()
 
 
 def graph_stats(triples: DataFrame) -> DataFrame:

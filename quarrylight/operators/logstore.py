@@ -4,6 +4,8 @@ Rows of a batch put a whole row, patch some columns of one, or delete one.  A ba
 written: one that broke off is written over when it is appended again, one that is in the ledger changes nothing.
 Compaction folds the buckets that the log has touched into new base files and then writes the list of what
 file a bucket is read from; the base of other buckets stays as it is.  Nothing that a reader may have open is changed.
+
+A batch is written as it comes, without a shuffle.  Folding shuffles the rows of keys that have several, and of the others only a hash of the key.
 """
 
 from __future__ import annotations
@@ -12,8 +14,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PUT, PATCH, DELETE = "put", "patch", "delete"
+#: A filter of keys has at most 2 to this power of bits (16 MB), which are sent to all tasks.
+MOST_BITS = 27
+#: A compaction whose tasks would write fewer rows into a file of a bucket brings a bucket's rows together first.
+ROWS_PER_FILE = 2**17
 
 
 def patched(log: DataFrame, key: str, order: Sequence[str | Column], columns: Sequence[str], *, op: str = "op", given: str = "given") -> DataFrame:
@@ -39,7 +46,7 @@ class LogStore:
     """The table below a folder that all executors reach; ``columns`` is its schema without the key, as DDL."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, key_type: str, columns: str, buckets: int = 64):
-        self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), key, buckets
+        self.spark, self.folder, self.key, self.key_type, self.buckets = spark, folder.rstrip("/"), key, key_type, buckets
         empty = spark.createDataFrame([], f"{key} {key_type}, {columns}")
         self.columns, self._base = empty.columns[1:], empty.schema.add("bucket", "integer").add("upto", "long")
         self._log = spark.createDataFrame([], f"{key} {key_type}, {columns}, op string, given array<string>, seq long, batch long, bucket int").schema
@@ -57,7 +64,7 @@ class LogStore:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.write.mode("overwrite").partitionBy(*(c for c in rows.columns if c == "bucket")).parquet(path)
 
     def append(self, rows: DataFrame, batch: int) -> bool:
         """Takes in rows (key, columns, op, seq, and given if it likes); False if the batch is there already.
@@ -91,14 +98,35 @@ class LogStore:
             found = self.spark.read.schema(self._base).option("basePath", f"{self.folder}/base").parquet(*paths)
             base = found.select(self.key, *self.columns, F.lit(PUT).alias("op"), F.lit(None).cast("array<string>").alias("given"), F.lit(0).cast("long").alias("seq"), F.lit(upto).cast("long").alias("batch"), "bucket")
         if batches:
-            log = self.spark.read.schema(self._log).option("basePath", f"{self.folder}/log").parquet(*(f"{self.folder}/log/batch={n}" for n in batches)).select(*self._log.names)
+            written = StructType([f for f in self._log if f.name != "bucket"])
+            log = self.spark.read.schema(written).option("basePath", f"{self.folder}/log").parquet(*(f"{self.folder}/log/batch={n}" for n in batches)).withColumn("bucket", self._bucket()).select(*self._log.names)
         return base.unionByName(log)
 
+    def _folded(self, history: DataFrame, rows: int) -> DataFrame:
+        """The table that a history of so many rows leaves.
+
+        A key's only row is the table's row if it is a put, and none otherwise, so it stays where it is.  Keys with several rows are found by counting
+        hashes and set bits of a filter; all rows that it lets through are folded by key.  Other keys' rows among them come out as they
+        would have, so the filter's size decides how much is shuffled, not what comes out.
+        """
+        bits = 2 ** min(MOST_BITS, max(15, (8 * rows).bit_length()))
+        place = lambda of: F.pmod(of, F.lit(bits)) + 1
+        several = history.groupBy(F.xxhash64(self.key).alias("__hash")).agg(F.count("*").alias("__n")).where("__n > 1").select(place(F.col("__hash")).alias("__place"))
+        marks = several.groupBy(F.bitmap_bucket_number("__place").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits"))
+        own = place(F.xxhash64(self.key))
+        at = F.bitmap_bit_position(own)
+        byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        marked = history.withColumn("__part", F.bitmap_bucket_number(own)).join(F.broadcast(marks), "__part", "left")  # at most 4096 rows of 4 kB
+        met = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+        alone = marked.where(~met & (F.col("op") == PUT)).select(self.key, *self.columns)
+        return alone.unionByName(patched(marked.where(met), self.key, ["batch", "seq"], self.columns))
+
     def read(self) -> DataFrame:
         """The table as of the last batch."""
         upto, bases = self._manifest()
         later = [n for n in self._numbers("ledger", "batch") if upto is None or n > upto]
-        return patched(self._history(upto, bases, later), self.key, ["batch", "seq"], self.columns)
+        history = self._history(upto, bases, later)
+        return self._folded(history, history.count())
 
     def compact(self) -> int:
         """Folds all batches since the last compaction into the base of the buckets that they touch; how many buckets those are."""
@@ -108,9 +136,12 @@ class LogStore:
             return 0
         log = self._history(upto, {}, later)
         touched = sorted(r["bucket"] for r in log.select("bucket").distinct().collect())  # at most as many as there are buckets
-        rows = self._history(upto, {b: n for b, n in bases.items() if b in touched}, later)
+        history = self._history(upto, {b: n for b, n in bases.items() if b in touched}, later)
+        rows = history.count()
         target = f"{self.folder}/base/upto={later[-1]}"
-        self._write(patched(rows, self.key, ["batch", "seq"], self.columns), target)
+        folded = self._folded(history, rows).withColumn("bucket", self._bucket())
+        small = rows < ROWS_PER_FILE * self.buckets * history.rdd.getNumPartitions()
+        self._write(folded.hint("rebalance", "bucket") if small else folded, target)
         fs, at = self._fs(f"{target}/bucket=*")
         left = {int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(at) or []}  # a bucket whose keys are all deleted has no file
         new = {b: n for b, n in bases.items() if b not in touched} | dict.fromkeys(left, later[-1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, metric, vectors
-from ..operators.logstore import DELETE, LogStore
+from ..operators.logstore import LogStore
 from ..scratch import new_folder
 from .registry import Registry
 from .tables import NOTES_SQL, notes, table
@@ -107,11 +107,11 @@ def triple_store(spark, sf_dir):
     added = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(
         text("c", "o_custkey").alias("subject"), F.col("l_returnflag").alias("predicate"), text("p", "l_partkey").alias("object"), F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")).alias("valid_from"),
         text("o", "l_orderkey").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_linenumber")
-    store = LogStore(spark, new_folder(spark), "id", "string", graph.TRIPLES, buckets=8)
+    store = LogStore(spark, new_folder(spark), "id", "binary", graph.TRIPLES, buckets=8)
     for batch in (0, 1, 0, 2):
         graph.add_triples(store, added.where(F.col("l_linenumber") % 3 == batch), batch)
         if batch == 1:
             store.compact()
     gone = added.where((F.col("predicate") == "R") & (F.col("l_linenumber") == 4))
-    store.append(gone.withColumns({"id": graph.triple_id(), "op": F.lit(DELETE)}), 3)
-    return store.read()
+    graph.delete_triples(store, gone, 3)
+    return graph.stored_triples(store)

@@ -4,7 +4,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quarrylight.operators import graph, logstore
 from quarrylight.operators.logstore import DELETE, PATCH, PUT, LogStore
+from shuffles import shuffled
 
 SCHEMA = "k long, a string, b long, op string, given array<string>, seq long"
 
@@ -100,3 +104,49 @@ def test_compaction_leaves_other_buckets_and_empties_deleted_ones(spark, tmp_pat
     assert store.compact() == 8 and content(store) == []
     store.vacuum()
     assert content(store) == []
+
+
+def test_only_rows_that_meet_others_are_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(logstore, "ROWS_PER_FILE", 0)
+    store = store_of(spark, tmp_path)
+    text = F.concat(*(F.sha2((F.col("id") * 40 + i).cast("string"), 256) for i in range(16)))
+    rows = spark.range(4000).select(F.col("id").alias("k"), text.alias("a"), F.col("id").alias("b"), F.lit(PUT).alias("op"), F.lit(0).alias("seq"))
+    size = 4000 * 16 * 64
+
+    def run():
+        for n in range(4):
+            store.append(rows.where(F.col("k") % 4 == n), n)
+            if n == 1:
+                store.compact()
+        assert store.read().count() == store.read().agg(F.sum(F.length("a") / 1024)).first()[0] == 4000
+
+    assert shuffled(spark, run)[1] < size / 10  # not some times the size
+    store.append(rows.where("k < 4").withColumn("op", F.lit(DELETE)), 4)
+    assert shuffled(spark, store.compact)[1] < size / 10
+    assert store.read().count() == 3996
+
+
+@pytest.mark.parametrize("most_bits", [1, 8, 27])
+def test_the_filter_decides_nothing(spark, tmp_path, monkeypatch, most_bits):
+    """Few bits let rows of keys that have no others through."""
+    monkeypatch.setattr(logstore, "MOST_BITS", most_bits)
+    monkeypatch.setattr(logstore, "ROWS_PER_FILE", 0)
+    store, rng, batches = store_of(spark, tmp_path), random.Random(9), {}
+    for n in range(3):
+        batches[n] = [(rng.choice([None, *range(400)]), *r[1:]) for r in a_batch(rng, 150)]
+        store.append(spark.createDataFrame(batches[n], SCHEMA), n)
+        if n == 1:
+            store.compact()
+    assert sorted(comparable(content(store))) == sorted(comparable(replayed(batches)))
+
+
+def test_triples_with_ids_as_text_and_as_bytes(spark, tmp_path):
+    schema = "subject string, predicate string, object string, valid_from timestamp_ntz, source string, seq long"
+    added = spark.createDataFrame([("a", "r", "b", None, "s", 0), ("a", "r", "c", None, "t", 1), ("a", "r", "b", None, "u", 2)], schema)
+    found = []
+    for kind in ("string", "binary"):
+        store = LogStore(spark, str(tmp_path / kind), "id", kind, graph.TRIPLES, buckets=2)
+        assert graph.add_triples(store, added, 0) and graph.delete_triples(store, added.where("object = 'c'"), 1)
+        found.append([tuple(r) for r in graph.stored_triples(store).collect()])
+    want = added.where("seq = 2").select(graph.triple_id(), "subject", "predicate", "object", "valid_from", "source").collect()
+    assert found == [[tuple(r) for r in want]] * 2

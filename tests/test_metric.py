@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quarrylight.operators import metric
+from shuffles import shuffled
 
 SCHEMA = "id long, embedding array<double>, v string"
 
@@ -63,27 +64,13 @@ def test_equal_distances_and_no_rows(spark):
     assert metric.near_pairs(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def shuffled_rows(spark, run):
-    """Rows that a job writes for shuffles."""
-    context = spark.sparkContext._jsc.sc()
-
-    def stages():
-        context.listenerBus().waitUntilEmpty()
-        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
-        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
-
-    last = max(stages(), default=-1)
-    run()
-    return sum(n for stage, n in stages().items() if stage > last)
-
-
 def test_a_row_is_sent_as_often_in_larger_tables(spark):
     """Where every cell meets every other, too."""
     sent = {}
     for n in (500, 2000):
         points = np.random.default_rng(6).normal(size=(n, 16))
         frame = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points / np.linalg.norm(points, axis=1)[:, None])], SCHEMA)
-        sent[n] = shuffled_rows(spark, lambda: metric.near_pairs(frame, max_distance=0.9, rows_per_cell=25).count())  # noqa: B023
+        sent[n] = shuffled(spark, lambda: metric.near_pairs(frame, max_distance=0.9, rows_per_cell=25).count())[0]  # noqa: B023
     assert sent[2000] < 5 * sent[500]  # not 16 times
 
 
