@@ -54,6 +54,14 @@ def test_accents_beside_each_other_in_ascii(odd):
     assert decoded(text.encode("cp1252")) == text
 
 
+@pytest.mark.parametrize("odd", ["éè", "èè", "ééê", "éè èè"])
+def test_repeated_words_of_accents_only(odd):
+    text = "some treê plain étreoi words stand here\n" + f"{odd} " * 80 + "and there"
+    assert decoded(text.encode("cp1252")) == text
+    preface = "a preface of plain words in ASCII, " * 40
+    assert decoded(preface.encode() + ("потом долго сидели у реки " * 20).encode("koi8-r")).endswith("сидели у реки ")
+
+
 def test_files(spark, tmp_path):
     texts = {f"{e}.txt": "Завтра будет дождь, поэтому возьми зонт." for e in (*CYRILLIC, "utf-8", "utf-16", "utf-16-be")}
     for name, text in texts.items():
