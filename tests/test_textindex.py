@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+from shuffles import shuffled
+
 from quarrylight.operators import textindex
 
 DOCS, QUERIES = "id long, text string, bucket string", "query_id long, phrase string"
@@ -78,3 +80,28 @@ def test_occurrences_are_counted_where_they_are(spark, monkeypatch):
     index = textindex.TextIndex.build(docs, key="id", text="text")
     assert "Exchange" not in plans[0] and "MapInArrow" in plans[0]
     assert {(r["term"], r["df"]) for r in index.terms().collect()} == {("a", 1), ("b", 2)}
+
+
+def test_words_in_common_are_not_rows(spark):
+    common = [f"w{i}" for i in range(6)]
+    docs = [(i, " ".join(common[i % 3 :] + [f"own{i}"] * (i % 5))) for i in range(2000)]
+    queries = [(q, " ".join(common) + f" own{q}") for q in range(100)]
+    index = textindex.TextIndex.build(spark.createDataFrame([(*d, "") for d in docs], DOCS), key="id", text="text")
+    found = []
+    rows = shuffled(spark, lambda: found.extend(index.search(spark.createDataFrame(queries, QUERIES), short=50).collect()))[0]
+    assert sorted((tuple(r) for r in found), key=repr) == plain(docs, queries)
+    assert rows < 20_000  # 200,000 pairs of a query and a document have words in common
+
+
+def test_rounds(spark, corpus, index, monkeypatch):
+    monkeypatch.setattr(textindex, "ASKED_AT_ONCE", 20)
+    queries = corpus[1][:6] + corpus[1][30:]
+    got = index.search(spark.createDataFrame(queries, QUERIES), short=60)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(corpus[0], queries)
+
+
+def test_words_that_a_document_repeats(spark):
+    docs = [(1, "a b " * 300), (2, "a " * 70_000 + "b"), (3, "a b"), (4, "c")]
+    queries = [(1, "a b"), (2, "c a")]
+    index = textindex.TextIndex.build(spark.createDataFrame([(*d, "") for d in docs], DOCS).coalesce(1), key="id", text="text")
+    assert sorted((tuple(r) for r in index.search(spark.createDataFrame(queries, QUERIES)).collect()), key=repr) == plain(docs, queries)
